@@ -90,6 +90,12 @@ class Stage:
         _remove(self.spark, f"{self.root}/{name}")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Keep what crosses to Python at once small, also where texts are very long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+
+
 def text_bytes(df: DataFrame, text_col: str) -> tuple[int, int]:
     """Rows and bytes of text, by a scan of that one column."""
     r = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text_col))).alias("b")).first()
