@@ -27,7 +27,7 @@ from pyspark.sql.window import Window
 MAX_SOURCES = 1000
 BLOCK_ROWS = 16
 RESOLUTION = 1000
-RUN_ROWS = 50_000  # rows that one sort of a source's order holds, on average
+RUN_ROWS = 4_000  # rows that one sort of a source's order holds, on average
 
 _PHASES = "array<struct<k:string,first:bigint,past:bigint,slot0:bigint,q:bigint,n:bigint,base:bigint,slots:array<bigint>>>"
 ADDED = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
