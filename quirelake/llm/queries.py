@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality
+from . import decontaminate, mixing, near_dedup, quality, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -33,4 +37,4 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op4_quality, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_substring_dedup, op4_quality, op9_near_dedup)}
