@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, quality, substring_dedup
+from . import decontaminate, lm_scoring, mixing, near_dedup, quality, substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,5 +36,9 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_substring_dedup, op4_quality, op9_near_dedup)}
+    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_substring_dedup, op4_quality, op9_near_dedup, op10_lm_scoring)}
