@@ -25,6 +25,30 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM doc d LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
+OP6 = """
+WITH raw AS (
+  SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)),
+plain AS (SELECT doc_id, pos, line, trim(regexp_replace(line, '[\\t\\x0B\\f\\r ]+', ' ', 'g')) AS p FROM raw),
+ranked AS (SELECT *, row_number() OVER (ORDER BY doc_id, pos) AS r FROM plain WHERE p <> ''),
+uniq AS (SELECT p, min(r) AS r, string_split(p, ' ') AS w FROM ranked GROUP BY p),
+long AS (SELECT r, p, w, len(w) AS n FROM uniq WHERE len(w) >= 5),
+variant AS (
+  SELECT r, n, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS v
+  FROM (SELECT r, w, n, unnest(range(1, n + 1)) AS i FROM long)),
+replaced AS (SELECT r FROM (SELECT r, min(r) OVER (PARTITION BY v, i, n) AS e FROM variant) WHERE e < r),
+edit AS (SELECT a.r AS a, b.r AS b FROM variant a JOIN long b ON a.v = b.p AND a.n = b.n + 1),
+gone AS (SELECT r FROM replaced UNION SELECT a FROM edit WHERE b < a UNION SELECT b FROM edit WHERE a < b),
+stay AS (SELECT u.r FROM uniq u LEFT JOIN gone g ON u.r = g.r WHERE g.r IS NULL),
+marked AS (
+  SELECT p.doc_id, p.pos, p.line, p.p = '' OR s.r IS NOT NULL AS kept
+  FROM plain p LEFT JOIN ranked k USING (doc_id, pos) LEFT JOIN stay s ON k.r = s.r),
+out AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT kept) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE kept), '') AS t FROM marked GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM documents d LEFT JOIN out USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2}
+    return {"op2_decontaminate": OP2, "op6_line_dedup": OP6}
