@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stage, bound_batches, components, lower_space_words, window_hashes, word_hashes
+from .common import Stage, bound_batches, components, in_sorted, lower_space_words, window_hashes, word_hashes
 
 SHINGLE = 5
 PERCENT = 75
@@ -63,7 +63,7 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, 255).astype(np.uint8)
 
 
-_GRID = np.linspace(0, 1, 101)
+_GRID = np.linspace(0, 1, 41)
 
 
 def joint_estimate(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -106,6 +106,11 @@ def exact_shingles(text: bytes | None, width: int = SHINGLE) -> set:
     return set(zip(*(words[k:] for k in range(width)), strict=False))
 
 
+def similar(a: set, b: set) -> bool:
+    both = len(a & b)
+    return 100 * both >= PERCENT * (len(a) + len(b) - both)
+
+
 @F.arrow_udf(T.BooleanType())
 def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
     out, last, held = [], None, set()
@@ -113,9 +118,7 @@ def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
         x = x.as_py()
         if x != last:
             last, held = x, exact_shingles(x)
-        other = exact_shingles(y.as_py())
-        both = len(held & other)
-        out.append(100 * both >= PERCENT * (len(held) + len(other) - both))
+        out.append(similar(held, exact_shingles(y.as_py())))
     return pa.array(out, pa.bool_())
 
 
@@ -131,39 +134,82 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, stage: Sta
     return stage.cut(both.where(_linked("ta", "tb")).select("a", "b"), f"{name}-links")
 
 
-def _compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    """Likely pairs between the rows of one block that stand out (side 0) and all others of it."""
-    rep, comp = rows.column("rep"), rows.column("comp").to_numpy()
-    regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint8).reshape(len(rep), M)
-    n, side = rows.column("n").to_numpy().astype(np.float64), rows.column("side").to_numpy()
-    left, x, y = np.flatnonzero(side == 0), [], []
-    for k in range(0, len(left), 16):
-        some = left[k : k + 16]
-        same = (regs[some][:, None, :] == regs[None, :, :]).sum(2, dtype=np.int16) >= EQUAL
-        same &= comp[some][:, None] != comp[None, :]
-        i, j = np.nonzero(same)
-        x.append(some[i])
-        y.append(j)
-    x, y = (np.concatenate(z) if z else np.zeros(0, np.int64) for z in (x, y))
-    x, y = x[keep := 4 * np.minimum(n[x], n[y]) >= 3 * np.maximum(n[x], n[y])], y[keep]
-    for k in range(0, len(x), 4096):
-        keep = joint_estimate(regs[x[k : k + 4096]], regs[y[k : k + 4096]], n[x[k : k + 4096]], n[y[k : k + 4096]]) >= ESTIMATE
-        x[k : k + 4096] = np.where(keep, x[k : k + 4096], -1)
-    keep = x >= 0
-    return pa.table({"x": rep.take(pa.array(x[keep])), "y": rep.take(pa.array(y[keep]))})
-
-
-def _likely_in_blocks(placed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (x, y) of one bucket, of different components, that their registers make likely.
-
-    Members outside a bucket's largest component stand out. They and the others are dealt into
-    blocks, and each block of the former meets each block of either.
+_LIKELY = "gid bigint, i int, j int, rep {0}, partners array<{0}>"
+
+
+def _compare(kind: pa.DataType):
+    """Likely partners, within one block, of the rows that stand out (side 0): a row for each that
+    has some, and a row without partners for each partner."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rep, comp = rows.column("rep"), rows.column("comp").to_numpy()
+        regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint8).reshape(len(rep), M)
+        n, side = rows.column("n").to_numpy().astype(np.float64), rows.column("side").to_numpy()
+        left, partners, met = np.flatnonzero(side == 0), {}, set()
+        for k in range(0, len(left), 16):
+            some = left[k : k + 16]
+            same = (regs[some][:, None, :] == regs[None, :, :]).sum(2, dtype=np.int16) >= EQUAL
+            same &= comp[some][:, None] != comp[None, :]
+            same &= 4 * np.minimum(n[some][:, None], n) >= 3 * np.maximum(n[some][:, None], n)
+            same &= (side == 1) | (np.arange(len(rep)) < some[:, None])  # two that stand out meet once
+            i, y = np.nonzero(same)
+            x = some[i]
+            if len(x):
+                keep = joint_estimate(regs[x], regs[y], n[x], n[y]) >= ESTIMATE
+                for a, b in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                    partners.setdefault(a, []).append(b)
+                    met.add(b)
+        ids = rep.to_pylist()
+        out = [(ids[a], [ids[b] for b in bs]) for a, bs in partners.items()] + [(ids[b], []) for b in met - partners.keys()]
+        gid, i, j = (k.as_py() for k in key)
+        whole = [pa.array([x] * len(out), t) for x, t in ((gid, pa.int64()), (i, pa.int32()), (j, pa.int32()))]
+        return pa.table([*whole, pa.array([a for a, _ in out], kind), pa.array([b for _, b in out], pa.list_(kind))], ["gid", "i", "j", "rep", "partners"])
+
+    return run
+
+
+def _confirm(kind: pa.DataType):
+    """Links among likely partners of a block: counted on full hashed sets, then on the words."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        at = {r: k for k, r in enumerate(rows.column("rep").to_pylist())}
+        text, x, y = rows.column("text"), [], []
+        sets = [shingle_hashes(lower_space_words(t.as_py())) for t in text]
+        for k, some in enumerate(rows.column("partners").to_pylist()):
+            if not some:
+                continue
+            other = [at[b] for b in some]
+            size = np.array([len(sets[b]) for b in other])
+            start = np.concatenate(([0], np.cumsum(size)[:-1]))
+            both = np.add.reduceat(in_sorted(np.concatenate([sets[b] for b in other]), sets[k]), start, dtype=np.int64)
+            mine = None
+            for m in np.flatnonzero(100 * both >= PERCENT * (size + len(sets[k]) - both)).tolist():
+                mine = exact_shingles(text[k].as_py()) if mine is None else mine
+                if similar(mine, exact_shingles(text[other[m]].as_py())):
+                    x.append(k)
+                    y.append(other[m])
+        rep = rows.column("rep")
+        return pa.table([rep.take(pa.array(x, pa.int64())).combine_chunks(), rep.take(pa.array(y, pa.int64())).combine_chunks()], ["a", "b"])
+
+    return run
+
+
+def _linked_in_blocks(placed: DataFrame, open_keys: DataFrame, classes: DataFrame, texts: DataFrame, stage: Stage) -> DataFrame:
+    """Links (a, b) between members of one bucket that are of different components.
+
+    Buckets whose largest component holds a quarter of them are taken together by that component,
+    which spares comparing the same members once a band; other buckets stand alone. Members
+    outside the largest component stand out. They and the others are dealt into blocks, and each
+    block of the former meets each block of either; texts come only to likely partners.
     """
-    rows = placed.join(classes.select("rep", "n", "regs"), "rep")
-    few = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
-    rest = F.ceil(F.col("most") / BLOCK).cast("int")
-    out = F.col("comp") != F.col("main")
-    rows = rows.withColumn("few", few).withColumn("rest", rest).withColumn("out", out)
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    gid = F.when(F.col("most") * 4 >= F.col("all"), F.xxhash64(F.lit(1), "main")).otherwise(F.col("key"))
+    rows = placed.join(open_keys, "key").select(gid.alias("gid"), "rep", "comp", (F.col("comp") != F.col("main")).alias("out"))
+    rows = stage.cut(rows.groupBy("gid", "rep", "comp").agg(F.max("out").alias("out")), "blocks")
+    count = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c.cast("int")) / BLOCK)).cast("int")
+    sizes = rows.groupBy("gid").agg(count(F.col("out")).alias("few"), count(~F.col("out")).alias("rest"))
+    rows = rows.join(sizes, "gid").join(classes.select("rep", "n", "regs"), "rep")
     at = F.when(F.col("out"), F.pmod(F.xxhash64("rep"), "few")).otherwise(F.col("few") + F.pmod(F.xxhash64("rep"), "rest"))
     rows = rows.withColumn("at", at.cast("int"))
     # groups (i, j): i a block of those that stand out, j >= i any block
@@ -171,9 +217,13 @@ def _likely_in_blocks(placed: DataFrame, classes: DataFrame) -> DataFrame:
     top = F.least(F.col("at"), F.col("few")) - 1
     as_right = F.when(top >= 0, F.transform(F.sequence(F.lit(0), top), lambda i: F.struct(i.alias("i"), F.col("at").alias("j"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
     places = F.when(F.col("out"), F.concat(as_left, as_right)).otherwise(as_right)
-    kind = dict(placed.dtypes)["rep"]
-    dealt = rows.select("key", "rep", "comp", "n", "regs", F.inline(places))
-    return dealt.groupBy("key", "i", "j").applyInArrow(_compare, f"x {kind}, y {kind}")
+    dealt = rows.select("gid", "rep", "comp", "n", "regs", F.inline(places))
+    rep = placed.schema["rep"].dataType
+    kind = to_arrow_type(rep)
+    likely = dealt.groupBy("gid", "i", "j").applyInArrow(_compare(kind), _LIKELY.format(rep.simpleString()))
+    likely = stage.cut(likely, "likely-blocks")
+    held = likely.join(texts, "rep")
+    return stage.cut(held.groupBy("gid", "i", "j").applyInArrow(_confirm(kind), f"a {rep.simpleString()}, b {rep.simpleString()}").distinct(), "links-blocks")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,15 +274,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if by_key.isEmpty():
             break
         if step == ROUNDS:
-            pairs = _likely_in_blocks(placed.join(by_key, "key"), classes)
+            found = _linked_in_blocks(placed, by_key, classes, texts, stage)
         else:
             centre = placed.groupBy("key").agg(F.min(F.struct((F.xxhash64("rep", F.lit(step)) if step else F.col("rep")).alias("o"), "rep", "comp")).alias("m"))
             centre = centre.select("key", F.col("m.rep").alias("y"), F.col("m.comp").alias("cy"))
             pairs = placed.join(by_key.select("key"), "key", "left_semi").join(centre, "key").where("comp <> cy").select(F.col("rep").alias("x"), "y")
-        pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        pairs = stage.cut(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), f"pairs{step}")
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        found = _verified(pairs, classes, texts, stage, f"v{step}")
+            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            pairs = stage.cut(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), f"pairs{step}")
+            checked = pairs if checked is None else checked.unionByName(pairs)
+            found = _verified(pairs, classes, texts, stage, f"v{step}")
         if found.isEmpty():
             continue
         links = links.unionByName(found)
