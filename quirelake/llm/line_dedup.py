@@ -66,7 +66,8 @@ def _later_lines(stage: Stage, base: DataFrame, distinct: DataFrame, min_words:
     found = texts.select("id", "rk", F.inline(lines)).dropDuplicates(["h1", "h2"])
     found = stage.cut(found.select("h1", "h2", "n", F.struct("id", "rk", "pos").alias("first"), F.split(_plain(F.col("line")), " ").alias("words")), "near-lines")
 
-    word = found.select("h1", "h2", "n", "first", F.posexplode("words").alias("i", "w"))
+    # one line is one row until its words are exploded where its window is
+    word = found.select("h1", "h2", "n", "words").repartition("h1", "h2").select("h1", "h2", "n", F.posexplode("words").alias("i", "w"))
     here, left = F.xxhash64("w", "i"), F.xxhash64("w", F.col("i") - 1)
     line = Window.partitionBy("h1", "h2")
     before = line.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,14 +76,18 @@ def _later_lines(stage: Stage, base: DataFrame, distinct: DataFrame, min_words:
     word = word.withColumn("whole", F.bit_xor(here).over(line)).withColumn("moved", F.bit_xor(left).over(line))
     gap = F.coalesce(F.bit_xor(here.bitwiseXOR(left)).over(before), F.lit(0))
     word = word.withColumn("v", F.col("moved").bitwiseXOR(gap).bitwiseXOR(left))
-    variants = stage.cut(word.select("h1", "h2", "n", "first", "i", "v", "whole"), "variants")
-
-    me = F.struct("first", "h1", "h2")
-    replaced = variants.groupBy("v", "i", "n").agg(F.min(me).alias("e"), F.count(F.lit(1)).alias("c")).where("c > 1").select("v", "i", "n", "e")
-    replaced = variants.join(replaced, ["v", "i", "n"]).where(F.col("first") > F.col("e.first"))
+    word = word.select("h1", "h2", "i", F.xxhash64("v", "i", "n").alias("k"), F.xxhash64("v", F.col("n") - 1).alias("d"), F.when(F.col("i") == 0, F.xxhash64("whole", "n")).alias("f"))
+    variants = stage.cut(word, "variants")
+
+    places = found.select("h1", "h2", "first")
+    same = variants.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
+    same = stage.cut(variants.select("k", "h1", "h2", "i").join(same, "k", "left_semi").join(places, ["h1", "h2"]), "same")
+    earliest = same.groupBy("k").agg(F.min(F.struct("first", "h1", "h2")).alias("e"))
+    replaced = same.join(earliest, "k").where(F.col("first") > F.col("e.first"))
     replaced = replaced.select("h1", "h2", F.col("e.h1").alias("g1"), F.col("e.h2").alias("g2"), F.col("i").alias("ix"), F.col("i").alias("iy"))
-    whole = variants.where("i = 0").select(F.col("whole").alias("v"), F.col("n").alias("m"), F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("first").alias("wf"))
-    edits = variants.withColumn("m", F.col("n") - 1).join(whole, ["v", "m"])
+    whole = variants.where("f IS NOT NULL").select(F.col("f").alias("d"), F.col("h1").alias("w1"), F.col("h2").alias("w2"))
+    edits = variants.select("d", "h1", "h2", "i").join(whole, "d").join(places, ["h1", "h2"])
+    edits = stage.cut(edits.join(places.select(F.col("h1").alias("w1"), F.col("h2").alias("w2"), F.col("first").alias("wf")), ["w1", "w2"]), "edits")
     none = F.lit(None).cast("int")
     inserted = edits.where(F.col("wf") < F.col("first")).select("h1", "h2", F.col("w1").alias("g1"), F.col("w2").alias("g2"), F.col("i").alias("ix"), none.alias("iy"))
     deleted = edits.where(F.col("first") < F.col("wf")).groupBy("w1", "w2").agg(F.min(F.struct("first", "h1", "h2", "i")).alias("e"))
@@ -107,9 +112,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stage = Stage(docs.sparkSession)
     docs = docs.drop("n_lines", "n_removed")
     base = _rows(docs, id_col, text_col)
-    lines = base.select("id", "rk", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    lines = lines.withColumn("p", _plain(F.col("line"))).where("p <> ''")
-    n = (F.length("p") - F.length(F.replace(F.col("p"), F.lit(" "), F.lit(""))) + 1).cast("int")
+    # most texts hold single spaces only, and a search for anything else is cheaper than a pattern
+    odd = F.lit(False)
+    for blank in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains("text", F.lit(blank))
+    even = base.withColumn("text", F.when(odd, F.regexp_replace("text", _BLANKS, " ")).otherwise(F.col("text")))
+    lines = even.select("id", "rk", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = lines.withColumn("p", F.trim("line")).where("p <> ''")
+    n = (F.octet_length("p") - F.octet_length(F.replace(F.col("p"), F.lit(" "), F.lit(""))) + 1).cast("int")
     lines = lines.withColumn("n", n)
     kp, ks = _half_keys(F.col("p"), F.col("n"), F.col("n"))
     lp, ls = _half_keys(F.col("p"), F.col("n"), F.col("n") - 1)
