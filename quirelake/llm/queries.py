@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, lm_scoring, mixing, near_dedup, neighbours, quality, substring_dedup
+from . import decontaminate, line_dedup, lm_scoring, mixing, near_dedup, neighbours, quality, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,10 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -49,4 +53,4 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_substring_dedup, op4_quality, op6_line_dedup, op7_neighbours, op9_near_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_substring_dedup, op4_quality, op6_line_dedup, op7_neighbours, op8_toxicity, op9_near_dedup, op10_lm_scoring)}
