@@ -62,6 +62,13 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
+# the tables hold no tool calls, so every row is a plain message
+OP5 = """
+SELECT conv_id, turn, CAST(0 AS INTEGER) AS level, CAST(0 AS INTEGER) AS pos, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status,
+  CAST(json_object('content', coalesce(text, ''), 'role', coalesce(role, '')) AS VARCHAR) AS json
+FROM conversations
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2, "op6_line_dedup": OP6, "op7_neighbours": OP7}
+    return {"op2_decontaminate": OP2, "op5_chat": OP5, "op6_line_dedup": OP6, "op7_neighbours": OP7}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, lm_scoring, mixing, near_dedup, neighbours, quality, substring_dedup, toxicity
+from . import chat, decontaminate, line_dedup, lm_scoring, mixing, near_dedup, neighbours, quality, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +32,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(_table(spark, sf_dir, "conversations"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
@@ -53,4 +57,4 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_substring_dedup, op4_quality, op6_line_dedup, op7_neighbours, op8_toxicity, op9_near_dedup, op10_lm_scoring)}
+    return {f.__name__: f for f in (op1_mixing, op2_decontaminate, op3_substring_dedup, op4_quality, op5_chat, op6_line_dedup, op7_neighbours, op8_toxicity, op9_near_dedup, op10_lm_scoring)}
