@@ -1,10 +1,14 @@
-"""Corpus pipeline: quality, line dedup, near-dedup, decontamination, mixing."""
+"""Corpus pipeline: five operators, each over all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quirelake.llm import decontaminate, mixing, quality
+from quirelake.llm import decontaminate, line_dedup, mixing, near_dedup, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,18 +16,39 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the classifier rejects; the classifier learns from these documents."""
     return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose lines that stand, equal or near, in an earlier place; n_chars follows the text."""
+    out = line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one of least id."""
+    return near_dedup.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark window."""
     return decontaminate.remove_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with their place in an even mixture of the sources."""
     return mixing.mix(docs)
 
 
-STAGES = [("quality", quality_filter), ("decontamination", decontamination), ("mixing", mixing_stage)]
+STAGES = [
+    ("quality", quality_filter),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+#: Classifier and schedule are no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
