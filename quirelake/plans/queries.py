@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as G
 from ..functions import runs as R
 from ..functions import text as T
-from ..operators import groups, relate, vocab
+from ..operators import compare, groups, passes, relate, vocab
 from ..operators import pages as P
 from ..sources.lines import read_lines
 
@@ -377,3 +377,43 @@ def debug_json(spark, sf_dir):
     from ..sources.sinks import debug_rows
 
     return debug_rows(read_lines(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- pages in sequence
+
+
+def _for_passes(lines: DataFrame) -> DataFrame:
+    rgb = lambda c: F.array(*[F.col(c)[k] for k in "rgb"])
+    none = F.lit(None).cast("double")
+    return lines.withColumns(
+        {
+            "angle": F.lit(0.0), "arc": F.lit(0.0), "max_fit_pt": none, "clamp_pt": F.when(F.col("pos") % 4 == 1, F.col("font_pt") + 1.0),
+            "ink_top_px": none, "ink_bottom_px": none, "text_rgb": rgb("text_rgb"), "bg_rgb": F.when(F.col("pos") % 5 != 4, rgb("bg_rgb")),
+        }
+    )
+
+
+@query
+def junk_flood(spark, sf_dir):
+    return passes.flood(_for_passes(_columns(read_lines(spark, sf_dir)).withColumn("font_pt", F.when(F.col("pos") % 3 == 0, 9.0).otherwise(F.col("font_pt")))))
+
+
+@query
+def ordered_passes(spark, sf_dir):
+    return passes.run_passes(_for_passes(_columns(read_lines(spark, sf_dir))))
+
+
+@query
+def merged_blocks(spark, sf_dir):
+    from ..config import Options
+
+    return passes.run_passes(_for_passes(_columns(read_lines(spark, sf_dir))), Options(merge_lines=True, keep_tiny_text=True))
+
+
+@query
+def fuzzy_recall(spark, sf_dir):
+    """Benchmark items found again among themselves: item k against the items of its slide but itself
+    and a cut copy of it."""
+    items = _table(spark, sf_dir, "benchmark").select((F.col("item_id") % 20).cast("int").alias("slide"), F.col("item_id").cast("int").alias("shape_idx"), "text")
+    gen = items.withColumn("text", F.when(F.col("shape_idx") % 3 == 0, F.left("text", F.length("text") - 30)).otherwise(F.col("text")))
+    return compare.recall(compare.matches(gen, items))
