@@ -6,8 +6,8 @@ training time they are as uncertain as they will be on new texts.
 
 A text's features are the 64-bit hashes of its distinct words (ASCII letters lower-cased,
 runs of other ASCII marks taken as blanks) and of their first four and five bytes. A model
-keeps the features that are clearly more frequent in one class than in the other, at most
-``MAX_FEATURES``. The fit sees a bounded sample of labelled rows (``N_POSITIVE`` and
+keeps the features that are clearly more frequent in texts of the category, at most
+``MAX_FEATURES``; a text without any of them is judged by what speaks for no category. The fit sees a bounded sample of labelled rows (``N_POSITIVE`` and
 ``N_NEGATIVE`` for each category, least hashes of the id); scoring reads every whole text
 in one scan.
 """
@@ -72,8 +72,8 @@ def fit_linear(xs: list[np.ndarray], y: np.ndarray, before: np.ndarray, steps: i
     in_pos = np.bincount(inverse, weights=y[row], minlength=len(keys))
     in_neg = np.bincount(inverse, minlength=len(keys)) - in_pos
     odds = np.log((in_pos + 0.5) / (positive + 1)) - np.log((in_neg + 0.5) / (negative + 1))
-    often = np.maximum(in_pos, in_neg) >= max(4, 0.004 * min(positive, negative))
-    value = np.where(often & (np.abs(odds) > 1.5), np.abs(odds) * np.sqrt(np.maximum(in_pos / positive, in_neg / negative)), 0)
+    often = in_pos >= max(4, 0.004 * positive)
+    value = np.where(often & (odds > 1.5), odds * np.sqrt(in_pos / positive), 0)
     best = np.sort(np.argsort(-value, kind="stable")[:MAX_FEATURES])
     best = best[value[best] > 0]
     place = np.full(len(keys), -1)
