@@ -58,12 +58,12 @@ class Stage:
         self.root = f"{shared_dir(spark)}/quirelake-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, self.root)
 
-    def cut(self, df: DataFrame, name: str) -> DataFrame:
+    def cut(self, df: DataFrame, name: str, codec: str = "lz4_raw") -> DataFrame:
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            df.write.mode("overwrite").option("compression", codec).parquet(path)
         finally:
             self.spark.conf.set(_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -92,8 +92,8 @@ class Stage:
 
 def bound_batches(spark: SparkSession) -> None:
     """Keep what crosses to Python at once small, also where texts are very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def text_bytes(df: DataFrame, text_col: str) -> tuple[int, int]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stage, cover, in_sorted, item_words, text_bytes, window_hashes, word_hashes
+from .common import Stage, bound_batches, cover, in_sorted, item_words, text_bytes, window_hashes, word_hashes
 
 WIDTH = 10
 SLICE_BYTES = 64 << 20
@@ -124,6 +124,7 @@ def find_contamination(
     an input column named ``found`` is replaced.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     items = benchmark.select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("binary").alias("t")).dropna()
     _, total = text_bytes(items, "t")
     slices = max(1, -(-total // slice_bytes))

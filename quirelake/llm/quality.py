@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bound_batches
+
 N_POSITIVE = 4000
 N_UNLABELLED = 8000
 HASHED = 256
@@ -166,6 +168,7 @@ def train(
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
     """Documents with ``out_col``, the probability of good quality; 0.5 without a model."""
+    bound_batches(docs.sparkSession)
     if model is None:
         return docs.withColumn(out_col, F.lit(0.5))
 
