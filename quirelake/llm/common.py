@@ -58,7 +58,7 @@ class Stage:
         self.root = f"{shared_dir(spark)}/quirelake-{uuid.uuid4().hex}"
         atexit.register(_remove, spark, self.root)
 
-    def cut(self, df: DataFrame, name: str, codec: str = "lz4_raw") -> DataFrame:
+    def cut(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         path = f"{self.root}/{name}"
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
