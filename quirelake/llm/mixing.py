@@ -141,16 +141,17 @@ def mix(
     placed = placed.withColumn("__block", F.floor(F.col("__pos") / block_rows))
 
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(phases)), T._parse_datatype_string(_PHASES))))
-    plan = F.broadcast(plan)  # at most MAX_SOURCES phases of `resolution` slots
-    j = F.col("__block") - F.col("base")
-    at = F.element_at("slots", (j % F.col("n") + 1).cast("int"))
-    slot = F.col("slot0") + F.floor(j / F.col("n")) * F.col("q") + at
-    mixed = placed.join(plan, (F.col("__k") == F.col("k")) & (F.col("__block") >= F.col("first")) & (F.col("__block") < F.col("past")))
+    p = lambda c: F.col(f"__p_{c}")
+    plan = F.broadcast(plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns]))  # at most MAX_SOURCES phases of `resolution` slots
+    j = F.col("__block") - p("base")
+    at = F.element_at(p("slots"), (j % p("n") + 1).cast("int"))
+    slot = p("slot0") + F.floor(j / p("n")) * p("q") + at
+    mixed = placed.join(plan, (F.col("__k") == p("k")) & (F.col("__block") >= p("first")) & (F.col("__block") < p("past")))
     return mixed.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         (F.col("__block") + 1).alias("mix_block"),
-        F.floor(j * F.col("q") / F.col("n")).alias("mix_release"),
-        F.ceil((j + 1) * F.col("q") / F.col("n")).alias("mix_deadline"),
+        F.floor(j * p("q") / p("n")).alias("mix_release"),
+        F.ceil((j + 1) * p("q") / p("n")).alias("mix_deadline"),
         slot.alias("mix_slot"),
         (slot * block_rows + F.col("__pos") % block_rows).alias("mix_position"),
     )
