@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, empty
 
 #: JSON schema type: pattern of the variant types that satisfy it.
 TYPES = {
@@ -131,7 +131,7 @@ def format_chats(messages: DataFrame, tools: DataFrame | None = None) -> DataFra
     if calls.isEmpty() and results.isEmpty():
         return text
     if tools is None:
-        tools = spark.createDataFrame([], "name string, parameters string")
+        tools = empty(spark, "name string, parameters string")
     place = F.struct("turn", "pos", "name", "arguments")
     owner = calls.where("call_id IS NOT NULL AND conv_id IS NOT NULL").groupBy(*_KEY).agg(F.min(place).alias("own"))
     levels = topological_levels(calls.where("conv_id IS NOT NULL"), stage)

@@ -10,6 +10,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _MASK_TABLE = bytes(
     (b + 32) if 65 <= b <= 90 else (b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32)
@@ -90,6 +91,12 @@ class Stage:
         _remove(self.spark, f"{self.root}/{name}")
 
 
+def empty(spark: SparkSession, schema: str) -> DataFrame:
+    """A DataFrame without rows that needs no Python worker."""
+    fields = T._parse_datatype_string(schema).fields
+    return spark.range(0).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in fields])
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Keep what crosses to Python at once small, also where texts are very long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
@@ -222,6 +229,5 @@ def components(stage: Stage, edges: DataFrame, name: str) -> DataFrame:
         )
         step += 1
     if labels is None:
-        t = dict(edges.dtypes)["a"]
-        return spark.createDataFrame([], f"node {t}, component {t}")
+        return empty(spark, f"node {dict(edges.dtypes)['a']}, component {dict(edges.dtypes)['a']}")
     return labels

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Stage, bound_batches
+from .common import Stage, bound_batches, empty
 
 CURVES, DIMS, BITS = 24, 16, 2
 BLOCKS, LEAST = 80, 512
@@ -214,7 +214,7 @@ def nearest(
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
-        return spark.createDataFrame([], schema)
+        return empty(spark, schema)
     dim = sizes[0]["d"]
     rows = rows.where(F.size("v") == dim)
     # of equal vectors, only the k + 1 least ids can be an answer

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, bound_batches, cover, in_sorted, space_words, text_bytes, window_hashes, word_hashes
+from .common import Stage, bound_batches, cover, empty, in_sorted, space_words, text_bytes, window_hashes, word_hashes
 
 WIDTH = 20
 CHUNK_BYTES = (8 << 20, 256 << 20)
@@ -221,7 +221,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     out_schema = f"doc_id {id_type}, n_words bigint, n_removed bigint, {kept} string"
     n, size = text_bytes(base, "text")
     if not n:
-        return spark.createDataFrame([], out_schema)
+        return empty(spark, out_schema)
     chunk_bytes = min(max(CHUNK_BYTES[0], size // 2000), CHUNK_BYTES[1])
     chunks = max(1, -(-size // chunk_bytes))
     buckets = max(1, -(-size // 6 // BUCKET_WINDOWS))
