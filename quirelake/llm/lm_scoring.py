@@ -248,12 +248,29 @@ def _score(shared, id_type: pa.DataType):
 # ---------------------------------------------------------------- operator
 
 
+def head_words(vocab: DataFrame, most: int) -> list[tuple[bytes, int]]:
+    """The most frequent words and the end token, at most ``most`` + 1, by falling count.
+
+    Counts are put in classes of a twelfth of a doubling, of which there are a few hundred; whole
+    classes are taken, so no more than the answer reaches the driver.
+    """
+    level = F.floor(F.log2("c") * 12).cast("int")
+    sizes = vocab.groupBy(level.alias("l")).agg(F.count(F.lit(1)).alias("n")).collect()
+    taken, least = 0, None
+    for r in sorted(sizes, key=lambda r: -r["l"]):
+        if taken + r["n"] > most:
+            break
+        taken, least = taken + r["n"], r["l"]
+    wanted = (F.col("word") == F.lit(END)) | (level >= least if least is not None else F.lit(False))
+    return sorted(((bytes(r["word"]), r["c"]) for r in vocab.where(wanted).collect()), key=lambda x: (-x[1], x[0]))
+
+
 def train(train_texts: DataFrame, stage: Stage, head_size: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[Model, DataFrame]:
     """The model and the whole count table (word, c), from one binary text column."""
     spark = stage.spark
     vocab = stage.cut(train_texts.mapInArrow(_count, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "vocab")
     total, types = (int(x or 0) for x in vocab.agg(F.sum("c"), F.count(F.lit(1))).first())
-    head = [(bytes(r["word"]), r["c"]) for r in vocab.orderBy(F.desc("c"), "word").limit(head_size).collect()]
+    head = head_words(vocab, head_size)
     units = make_units(head, clustered)
     n = units.size
     shared = spark.sparkContext.broadcast(units)

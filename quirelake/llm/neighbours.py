@@ -222,9 +222,10 @@ def nearest(
     ranked = rows.dropDuplicates(["id", "v"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("id", F.lit(False).alias("asks"), "v")
     index = stage.cut(ranked.select("id", "asks", _packed("v").alias("vec")), "index")
     queries = rows.where("asks").select("id", "asks", _packed("v").alias("vec"))
-    n = index.count()
+    n = max(1, index.count())
     blocks = max(1, min(blocks, n // LEAST))
-    sample = index.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vec").collect()
+    # about SAMPLE rows, chosen by a hash of their ids
+    sample = index.where(F.pmod(F.xxhash64("id"), F.lit(n)) < SAMPLE).select("vec").collect()
     shared = spark.sparkContext.broadcast(Curves(np.array([np.frombuffer(r["vec"], np.float64) for r in sample]), blocks, curves))
     parts = np.ones((curves, blocks), np.int64)
     counted = index.select("vec").mapInArrow(_blocks_of(shared), "c int, b int, n bigint").groupBy("c", "b").agg(F.sum("n").alias("n"))
