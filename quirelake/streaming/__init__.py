@@ -1 +1 @@
-
+"""Streaming entry points; the layout operators are batch, pages are independent."""
