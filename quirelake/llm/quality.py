@@ -148,7 +148,8 @@ def train(
 ) -> Model | None:
     """Model from rows outside the held-out fold; None where there is no positive or no other text.
 
-    The class prior is the share of positives among the labelled rows of the training folds.
+    The class prior is the share of positives among the labelled rows of the training folds. Rows
+    without an id or a label take no part; a repeated id counts once as a label.
     """
     seen = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(~held_out("i")).dropna()
     prior = seen.agg(F.avg((F.col("y") == 1).cast("double")).alias("p")).first()["p"]
@@ -167,7 +168,11 @@ def train(
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
-    """Documents with ``out_col``, the probability of good quality; 0.5 without a model."""
+    """Documents with ``out_col``, the probability of good quality; 0.5 without a model.
+
+    Defined cases: null, empty and blank texts score as a text whose features are all zero; repeated
+    rows keep their places; an input column named ``out_col`` is replaced, all others are kept.
+    """
     bound_batches(docs.sparkSession)
     if model is None:
         return docs.withColumn(out_col, F.lit(0.5))
