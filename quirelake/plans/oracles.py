@@ -246,6 +246,17 @@ def oracle_sql() -> dict[str, str]:
     )
     q["reading_order"] = over("SELECT page, pos, CAST(row_number() OVER (PARTITION BY page ORDER BY y0, x0, pos) AS INTEGER) AS ord FROM lines")
     q["x_order"] = over("SELECT page, pos, CAST(row_number() OVER (PARTITION BY page ORDER BY x0, pos) AS INTEGER) AS ord FROM lines")
+    emu = lambda c, of, size: f"CAST(round_even({c} * {size} / {of}::DOUBLE, 0) AS BIGINT)"
+    ex, ey = (lambda c: emu(c, "1728.0", C.SLIDE_EMU)), (lambda c: emu(c, "972.0", 6858000))
+    marks = q["watermark_split"].removeprefix(LINES)
+    q["wipe_rows"] = over(f", m AS ({marks}) SELECT page, pos AS i, greatest(0, {ex('x0')}) AS left, greatest(0, {ey('y0')}) AS top, {ex('x1')} - {ex('x0')} AS width, {ey('y1')} - {ey('y0')} AS height FROM m")
+    q["arc_cover_strips"] = over(
+        ", a AS (SELECT page, pos AS block, x0, x1, y0 + 10 AS ym, y1 + 10 AS ye, y1 - y0 AS g FROM lines WHERE pos % 10 = 0), "
+        "s AS (SELECT *, (k + 0.5::DOUBLE) / 12 * 2 - 1 AS t, (x1 - x0) / 2 AS half FROM a, (SELECT unnest(range(0, 12)) AS k)), "
+        "b AS (SELECT *, (ye - ym) * 2 * t / half AS slope FROM s) "
+        "SELECT page, block, CAST(k AS INTEGER) AS k, round((x0 + x1) / 2 + half * t, 6) AS cx, round(ym + (ye - ym) * t * t, 6) AS cy, round(half * 2 / 12 * sqrt(slope * slope + 1), 6) AS w, "
+        "round(g * 1.5, 6) AS h, round(degrees(atan(slope)), 6) AS rotation FROM b"
+    )
     q["longest_run"], q["role_runs"], q["gap_split"] = _RUNS, _ROLES, _GAPS
     q["prefix_cuts"] = over(
         ", c AS (SELECT page, pos, n, sum(n) OVER (PARTITION BY page ORDER BY pos ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY page) AS total FROM lines) "

@@ -14,6 +14,7 @@ from ..functions import text as T
 from ..operators import compare, groups, passes, relate, vocab
 from ..operators import pages as P
 from ..sources.lines import read_lines
+from . import shapes
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {}
@@ -379,6 +380,41 @@ def debug_json(spark, sf_dir):
     return debug_rows(read_lines(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- shapes
+
+
+@query
+def wipe_rows(spark, sf_dir):
+    """Cover rectangles, in slide units, of the watermarks of ``watermark_split``."""
+    marks = watermark_split(spark, sf_dir).withColumnRenamed("pos", "i")
+    sized = marks.withColumns({"fill": F.lit(0), "img_w": F.lit(1728.0), "img_h": F.lit(972.0), "slide_h": F.lit(6858000)})
+    return shapes.wipe_shapes(sized).drop("fill")
+
+
+@query
+def arc_cover_strips(spark, sf_dir):
+    """Tangent strips of lines taken as arcs between their upper and lower edge."""
+    lines = read_lines(spark, sf_dir).where("pos % 10 = 0")
+    arcs = lines.select("page", F.col("pos").alias("block"), "x0", "x1", (F.col("y0") + 10).alias("y_mid"), (F.col("y1") + 10).alias("y_edge"), (F.col("y1") - F.col("y0")).alias("glyph_h"))
+    out = shapes.arc_strips(arcs)
+    return out.select("page", "block", "k", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h", "rotation")])
+
+
+@query
+def shape_rows(spark, sf_dir):
+    """Text shapes and covers of single-line blocks; every ninth is turned."""
+    lines = read_lines(spark, sf_dir)
+    none = F.lit(None).cast("double")
+    turned = F.col("pos") % 9 == 8
+    blocks = lines.select(
+        "page", F.col("pos").cast("int").alias("block"), "x0", "y0", "x1", "y1", "font_pt", F.lit("left").alias("align"), F.when(F.col("pos") % 5 != 4, F.col("bg_rgb")).alias("bg_rgb"),
+        F.when(turned, 12.0).otherwise(0.0).alias("angle"), F.when(turned, (F.col("x0") + F.col("x1")) / 2).alias("cx"), F.when(turned, (F.col("y0") + F.col("y1")) / 2).alias("cy"),
+        F.when(turned, F.col("x1") - F.col("x0")).alias("w"), F.when(turned, F.col("y1") - F.col("y0")).alias("h"), (F.col("y0") + 4).alias("ink_top_px"), (F.col("y1") - 4).alias("ink_bottom_px"),
+        none.alias("cover_x0_px"), none.alias("cover_x1_px"), (F.col("pos") % 11 == 3).alias("highlight_removed"), F.lit(False).alias("vertical"), F.lit(1728.0).alias("img_w"), F.lit(972.0).alias("img_h"), F.lit(6858000).alias("slide_h"),
+    )
+    return shapes.text_shapes(blocks).select("page", "block", "z", "kind", "name", "left", "top", "width", "height", "rotation", F.col("fill.r").alias("fill_r"), "margin_top")
+
+
 # ---------------------------------------------------------------- pages in sequence
 
 
