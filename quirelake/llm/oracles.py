@@ -49,6 +49,34 @@ SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(
 FROM documents d LEFT JOIN out USING (doc_id)
 """
 
+_BLANK = "[^\\x20\\x09-\\x0D]+"
+OP3 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_BLANK}') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w WHERE len(w) >= 20)),
+later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM later)),
+word AS (SELECT doc_id, j, w[j] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS j FROM w)),
+kept AS (SELECT a.doc_id, string_agg(a.x, ' ' ORDER BY a.j) AS t FROM word a LEFT JOIN gone b ON a.doc_id = b.doc_id AND a.j = b.j WHERE b.j IS NULL GROUP BY a.doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(lost.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP9 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_BLANK}') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+ee AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT x AS doc_id, x AS root FROM ee UNION SELECT ee.y, r.root FROM r JOIN ee ON ee.x = r.doc_id),
+k AS (SELECT doc_id, min(root) AS root FROM r GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(k.root, w.doc_id) AS component_id, coalesce(k.root, w.doc_id) = w.doc_id AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
 # exact search; the operator's windows hold whole tables of this size
 OP7 = """
 WITH v AS (
@@ -71,4 +99,4 @@ FROM conversations
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2, "op5_chat": OP5, "op6_line_dedup": OP6, "op7_neighbours": OP7}
+    return {"op2_decontaminate": OP2, "op3_substring_dedup": OP3, "op5_chat": OP5, "op6_line_dedup": OP6, "op7_neighbours": OP7, "op9_near_dedup": OP9}
