@@ -1,15 +1,18 @@
 """LM scoring with Brown class-based bigrams.
 
-p(w_i | w_{i-1}) = p(class_i | class_{i-1}) * p(w_i | class_i). The most frequent words are
-assigned to classes by exchange clustering, which moves one word at a time to the class that
-raises the likelihood of the class bigrams most. All other words, unknown ones too, form
-``TAIL`` groups by their ending, and the groups are exchanged between classes like words.
-Transitions are smoothed with class frequencies; a word's share of its group is smoothed by
-adding ``DELTA``, with room for one unknown word in each group.
-
-All counts cover the whole training corpus: words are counted before the shuffle, class
-statistics come from a bigram table over the clustered words and the groups (a fixed size). Tables that are broadcast are bounded by ``HEAD`` words and ``CLUSTERED`` classes
-parameters; counts of all other words are joined by shuffle.
+p(w_i | w_{i-1}) = p(class_i | class_{i-1}) * p(w_i | class_i). The ``CLUSTERED`` most frequent
+words are assigned to classes by exchange clustering, which moves one word at a time to the
+class that raises the likelihood of the class bigrams most. All other words first go with one of
+``TAIL`` groups by their ending, which are exchanged like words. Then every other word of the
+training corpus, however rare, is exchanged by its own transitions: one sweep in which all of
+them are judged against the same class bigrams. Only words that never occurred in training stay
+with the class of their group. Transitions are counted again over the final classes and smoothed
+with class frequencies; a word's share of its class is smoothed by adding ``DELTA``, with room
+for one unknown word of each group.
+
+All counts cover the whole training corpus. Tables that are broadcast or collected are bounded by
+``HEAD``, ``CLUSTERED``, ``TAIL`` and ``CLASSES``; counts and classes of all other words are
+tables that are joined by shuffle.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,6 +42,8 @@ BETA = 0.1
 DELTA = 0.5
 END = b"\n"  # never a word
 FLUSH = 400_000
+HELD = 2_000_000  # transitions of one flush
+ENTRIES = 20_000  # transitions judged at a time
 _MARKS = b".,;:!?)\"'"
 
 
@@ -210,41 +216,261 @@ class Model:
     cls: np.ndarray  # class of a unit
     step: np.ndarray  # log10 p(class | class)
     room: list[float]  # log10 of p(group | class) over the group's denominator
+    pairs: np.ndarray  # class bigrams
+    count: np.ndarray  # of a head word
 
-    def score(self, words: list[bytes]) -> tuple[float, float, int, Counter]:
-        """Base and model log10 over what is in the head, all transitions, head tokens, other words."""
-        rank, unit = self.units.ids(words)
-        head = rank[rank >= 0]
-        chain = np.concatenate(([0], self.cls[unit], [0]))
-        base = self.base[head].sum() + self.base[0]
-        model = self.emit[head].sum() + self.emit[0] + self.step[chain[:-1], chain[1:]].sum()
-        return float(base), float(model), len(head) + 1, Counter(words[k] for k in np.flatnonzero(rank < 0).tolist())
+    @property
+    def group_cls(self) -> np.ndarray:
+        return self.cls[1 + self.units.clustered :]
+
+
+# ---------------------------------------------------------------- words outside the clustered ones
 
+_ENCODED = "rid bigint, id {}, held_out boolean, chain binary, words array<binary>, groups array<int>"
+_HITS = "word binary, keys binary, times binary"
 
-_SCORED = "rid bigint, id {}, held_out boolean, n_tokens bigint, known bigint, base double, model double, words array<binary>, times array<int>, classes array<int>"
 
+def _encode(shared, id_type: pa.DataType):
+    """Texts as head ranks; -1 - k stands for the k-th of the row's distinct other words."""
 
-def _score(shared, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = shared.value
+        units: Units = shared.value
         at = TaskContext.get().partitionId() << 36
         for batch in batches:
-            rows = []
+            chains, words, groups = [], [], []
             for t in batch.column(2):
-                words = lower_space_words(t.as_py())
-                base, model, known, rest = m.score(words)
-                rows.append((at, len(words) + 1, known, base, model, list(rest), list(rest.values()), [tail_group(w) for w in rest]))
-                at += 1
-            rid, n, known, base, model, w, k, c = zip(*rows, strict=True) if rows else [[]] * 8
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+                found = lower_space_words(t.as_py())
+                chain = np.fromiter(map(units.rank.get, found, _minus()), np.int32, len(found))
+                rest: dict[bytes, int] = {}
+                for k in np.flatnonzero(chain < 0).tolist():
+                    chain[k] = -1 - rest.setdefault(found[k], len(rest))
+                chains.append(chain.astype("<i4").tobytes())
+                words.append(list(rest))
+                groups.append([tail_group(w) for w in rest])
+            rid = pa.array(range(at, at + len(chains)), pa.int64())
+            at += len(chains)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rid, pa.int64()), batch.column(0).cast(id_type), batch.column(1), *[pa.array(x, y) for x, y in zip((n, known, base, model, w, k, c), kinds, strict=True)]],
-                ["rid", "id", "held_out", "n_tokens", "known", "base", "model", "words", "times", "classes"],
+                [rid, batch.column(0).cast(id_type), batch.column(1), pa.array(chains, pa.binary()), pa.array(words, pa.list_(pa.binary())), pa.array(groups, pa.list_(pa.int32()))],
+                ["rid", "id", "held_out", "chain", "words", "groups"],
             )
 
     return run
 
 
+def _packed(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A binary array of the values between starts."""
+    ends = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _transitions(shared):
+    """Of each word outside the clustered ones: classes after it, and (from k on) before it, with counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units, head_cls, group_cls, k = shared.value
+        names = list(units.rank)
+        head = len(names)
+        rest: dict[bytes, int] = {}
+        wait, held = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            key, n = np.unique(np.concatenate(wait), return_counts=True)
+            word = key // (2 * k)
+            starts = np.flatnonzero(np.diff(word, prepend=-1))
+            other = list(rest)
+            for i in range(0, len(starts), 20_000):
+                part = starts[i : i + 20_000]
+                end = starts[i + 20_000] if i + 20_000 < len(starts) else len(key)
+                mine = [names[w] if w < head else other[w - head] for w in word[part].tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mine, pa.binary()), _packed((key[part[0] : end] % (2 * k)).astype("<u2"), part - part[0]), _packed(n[part[0] : end].astype("<u4"), part - part[0])],
+                    ["word", "keys", "times"],
+                )
+
+        for batch in batches:
+            for chain, words, groups in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                rank = np.frombuffer(chain.as_py(), "<i4").astype(np.int64)
+                words = words.as_py()
+                cls, word = head_cls[np.maximum(rank, 0)], rank.copy()
+                if words:
+                    out = np.flatnonzero(rank < 0)
+                    local = -1 - rank[out]
+                    cls[out] = group_cls[np.array(groups.as_py())[local]]
+                    word[out] = np.array([head + rest.setdefault(w, len(rest)) for w in words])[local]
+                cls = np.concatenate(([0], cls, [0]))
+                own = word > units.clustered
+                wait += [word[own] * (2 * k) + cls[2:][own], word[own] * (2 * k) + k + cls[:-2][own]]
+                held += 2 * int(own.sum())
+                if held > HELD:
+                    yield from flush()
+                    rest.clear()
+                    wait, held = [], 0
+        if held:
+            yield from flush()
+
+    return run
+
+
+def best_classes(pairs: np.ndarray, word: np.ndarray, key: np.ndarray, n: np.ndarray, now: np.ndarray) -> np.ndarray:
+    """The class that raises the likelihood of the class bigrams most, for each word by itself.
+
+    Transition e of word[e] (rising, every word present) goes to class key[e], or comes from class
+    key[e] - k, and occurs n[e] times; ``pairs`` holds the words in the classes ``now``.
+    """
+    k = len(pairs)
+    table = np.vstack([pairs.T, pairs]).astype(np.float64)  # of a key, the counts with each class
+    level, starts = _xlogx(table), np.flatnonzero(np.diff(word, prepend=-1))
+    size = np.bincount(word[key < k], n[key < k], len(now))
+    a = now[word]
+    e = np.arange(len(word))
+    gain = _xlogx(table[key] + n[:, None]) - level[key]
+    gain[e, a] = level[key, a] - _xlogx(np.maximum(table[key, a] - n, 0))
+    gain = np.add.reduceat(gain, starts)
+    w = np.arange(len(now))
+    for side in (pairs.sum(1), pairs.sum(0)):
+        loss = _xlogx(side + size[:, None]) - _xlogx(side)
+        loss[w, now] = _xlogx(side)[now] - _xlogx(np.maximum(side[now] - size, 0))
+        gain -= loss
+    best = 1 + np.argmax(gain[:, 1:], axis=1)  # class 0 is the end alone
+    return np.where(gain[w, best] > gain[w, now] + 1e-9, best, now)
+
+
+def _decide(shared):
+    """Count and class of each word, from its transitions in the order of words."""
+
+    def judge(table: pa.Table) -> pa.RecordBatch:
+        pairs, group_cls = shared.value
+        k = len(pairs)
+        words = table.column("word").combine_chunks()
+        new = np.ones(len(words), bool)
+        if len(words) > 1:
+            new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+        names = words.filter(pa.array(new)).to_pylist()
+        keys = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<u2").astype(np.int64)
+        times = np.frombuffer(b"".join(table.column("times").to_pylist()), "<u4")
+        row = np.repeat(np.cumsum(new) - 1, pc.binary_length(table.column("keys")).to_numpy() // 2)
+        at, back = np.unique(row * (2 * k) + keys, return_inverse=True)
+        n = np.bincount(back, times)
+        word, key = at // (2 * k), at % (2 * k)
+        now = np.array([group_cls[tail_group(w)] for w in names], np.int64)
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        cls, i = now.copy(), 0
+        while i < len(names):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + ENTRIES)))
+            end = starts[j] if j < len(names) else len(word)
+            cls[i:j] = best_classes(pairs, word[starts[i] : end] - i, key[starts[i] : end], n[starts[i] : end], now[i:j])
+            i = j
+        count = np.bincount(word[key < k], n[key < k], len(names)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(count), pa.array(cls.astype(np.int32))], ["word", "c", "cls"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            last = batch.column(0)[-1]
+            if batch.column(0)[0] == last:
+                continue  # a word that goes on
+            whole = held.num_rows - pc.sum(pc.equal(batch.column(0), last)).as_py()
+            yield judge(held.slice(0, whole))
+            held = held.slice(whole)
+        if held is not None:
+            yield judge(held)
+
+    return run
+
+
+@dataclass
+class Lexicon:
+    """Classes of all words: of the head here, of the others in the table they were read from."""
+
+    head_cls: np.ndarray
+    room: np.ndarray  # log10 of the denominator of a word's share of its class
+
+
+def exchange_words(encoded: DataFrame, model: Model, stage: Stage) -> tuple[DataFrame, Lexicon]:
+    """Rows (word, c, cls) of all training words but the clustered ones and the end, and the lexicon."""
+    spark, units = stage.spark, model.units
+    k = len(model.pairs)
+    head_cls = model.cls[units.unit[: len(model.count)]]
+    shared = spark.sparkContext.broadcast((units, head_cls, model.group_cls, k))
+    hits = encoded.where("NOT held_out").select("chain", "words", "groups").mapInArrow(_transitions(shared), _HITS)
+    hits = hits.repartition("word").sortWithinPartitions("word")
+    words = stage.cut(hits.mapInArrow(_decide(spark.sparkContext.broadcast((model.pairs, model.group_cls))), "word binary, c bigint, cls int"), "words")
+    head_cls = head_cls.copy()
+    if len(model.count) > units.clustered + 1:
+        least = int(model.count[units.clustered + 1 :].min())
+        for r in words.where(F.col("c") >= least).collect():  # the head, whose words are those of so many occurrences
+            if (at := units.rank.get(bytes(r["word"]))) is not None:
+                head_cls[at] = r["cls"]
+    n, v = np.zeros(k), np.bincount(model.group_cls, minlength=k).astype(np.float64)
+    for r in words.groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        n[r["cls"]] += r["n"]
+        v[r["cls"]] += r["v"]
+    seeds = head_cls[1 : units.clustered + 1]
+    n += np.bincount(seeds, model.count[1 : units.clustered + 1], k)
+    v += np.bincount(seeds, minlength=k)
+    return words, Lexicon(head_cls, np.log10(np.maximum(n + DELTA * v, DELTA)))
+
+
+def transition_scores(pairs: np.ndarray) -> np.ndarray:
+    """log10 p(class | class), smoothed with class frequencies."""
+    k = len(pairs)
+    share = (pairs.sum(0) + 1) / (pairs.sum() + k)
+    return np.log10((pairs + ALPHA * k * share) / (pairs.sum(1, keepdims=True) + ALPHA * k))
+
+
+_FILLED = "id {}, held_out boolean, n_tokens bigint, known bigint, base double, emit double, classes binary"
+
+
+def _fill(shared, id_type: pa.DataType):
+    """Classes of all words of a text, and the scores that need no transition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head_base, head_emit, head_cls, room, total = shared.value
+        for batch in batches:
+            rows = []
+            for chain, cls, count in zip(batch.column(2), batch.column(3), batch.column(4), strict=True):
+                rank = np.frombuffer(chain.as_py(), "<i4")
+                out = rank < 0
+                head, local = rank[~out], -1 - rank[out]
+                base, emit, known = head_base[head].sum() + head_base[0], head_emit[head].sum(), len(head) + 1
+                classes = head_cls[np.maximum(rank, 0)]
+                if len(local):
+                    c, of = np.array(count.as_py(), np.float64), np.array(cls.as_py())
+                    base += np.log10((c + 1) / total)[local].sum()
+                    emit += (np.log10(c + DELTA) - room[of])[local].sum()
+                    known += int((c > 0)[local].sum())
+                    classes[out] = of[local]
+                rows.append((len(rank) + 1, known, float(base), float(emit), classes.astype("<u2").tobytes()))
+            n, known, base, emit, classes = zip(*rows, strict=True) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(id_type), batch.column(1), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(emit, pa.float64()), pa.array(classes, pa.binary())],
+                ["id", "held_out", "n_tokens", "known", "base", "emit", "classes"],
+            )
+
+    return run
+
+
+def _chain(classes: bytes) -> np.ndarray:
+    return np.concatenate(([0], np.frombuffer(classes, "<u2"), [0])).astype(np.int64)
+
+
+def _class_bigrams(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(k * k, np.int64)
+        for batch in batches:
+            for t in batch.column(0):
+                chain = _chain(t.as_py())
+                np.add.at(total, chain[:-1] * k + chain[1:], 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
+
+    return run
+
+
 # ---------------------------------------------------------------- operator
 
 
@@ -284,8 +510,7 @@ def train(train_texts: DataFrame, stage: Stage, head_size: int = HEAD, clustered
     member = np.zeros((n, k))
     member[np.arange(n), cls] = 1
     b = member.T @ g @ member
-    share = (b.sum(0) + 1) / (b.sum() + k)
-    step = np.log10((b + ALPHA * k * share) / (b.sum(1, keepdims=True) + ALPHA * k))
+    step = transition_scores(b)
 
     count = np.zeros(len(units.rank), np.int64)
     for w, c in head:
@@ -307,7 +532,7 @@ def train(train_texts: DataFrame, stage: Stage, head_size: int = HEAD, clustered
     mine = unit > units.clustered
     emit[mine] += np.log10((count[mine] + DELTA) / room[unit[mine] - 1 - units.clustered])
     base = np.log10((count + 1) / (total + types + 1))
-    return Model(units, total, types, base, emit, cls, step, (tail - np.log10(room)).tolist()), vocab
+    return Model(units, total, types, base, emit, cls, step, (tail - np.log10(room)).tolist(), b, count), vocab
 
 
 @F.arrow_udf(T.IntegerType())
@@ -328,30 +553,47 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stage = Stage(spark)
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
     base = docs.select(F.col(id_col).alias("id"), held.alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    model, vocab = train(base.where("NOT held_out").select("text"), stage)
+    model, _ = train(base.where("NOT held_out").select("text"), stage)
+    stage.drop("vocab")
     from pyspark.sql.pandas.types import to_arrow_type
 
     kind = base.schema["id"].dataType
-    scored = base.mapInArrow(_score(spark.sparkContext.broadcast(model), to_arrow_type(kind)), _SCORED.format(kind.simpleString()))
-    scored = stage.cut(scored, "scored")
-    rest = scored.select("rid", F.inline(F.arrays_zip(F.col("words").alias("word"), F.col("times").alias("k"), F.col("classes").alias("t"))))
-    joined = rest.join(vocab, "word", "left").select("rid", "k", "t", F.coalesce("c", F.lit(0)).alias("c"))
-    room = F.element_at(F.array(*[F.lit(float(x)) for x in model.room]), F.col("t") + 1)
-    tail = joined.groupBy("rid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("tail_known"),
-        F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(model.total + model.types + 1)))).alias("tail_base"),
-        F.sum(F.col("k") * (F.log10(F.col("c") + DELTA) + room)).alias("tail_model"),
-    )
-    none = F.lit(0)
-    known = F.when(F.lit(model.total > 0), F.col("known")).otherwise(0)
-    base_score = F.col("base") + F.coalesce("tail_base", none)
-    score = F.col("model") + F.coalesce("tail_model", none) if model.total else base_score
-    return scored.drop("words", "times", "classes").join(tail, "rid", "left").select(
+    name, arrow = kind.simpleString(), to_arrow_type(kind)
+    send = spark.sparkContext.broadcast
+    encoded = stage.cut(base.mapInArrow(_encode(send(model.units), arrow), _ENCODED.format(name)), "encoded")
+    words, lexicon = exchange_words(encoded, model, stage)
+
+    rest = encoded.select("rid", F.posexplode(F.arrays_zip(F.col("words").alias("word"), F.col("groups").alias("g"))).alias("k", "w"))
+    rest = rest.select("rid", "k", "w.word", "w.g").join(words, "word", "left")
+    of_group = F.element_at(F.array(*[F.lit(int(c)) for c in model.group_cls]), F.col("g") + 1)
+    found = F.struct("k", F.coalesce("cls", of_group).alias("cls"), F.coalesce("c", F.lit(0)).alias("c"))
+    rest = rest.groupBy("rid").agg(F.array_sort(F.collect_list(found)).alias("found"))
+    both = encoded.join(rest, "rid", "left").select("id", "held_out", "chain", F.col("found.cls").alias("cls"), F.col("found.c").alias("c"))
+    emit = np.log10(model.count + DELTA) - lexicon.room[lexicon.head_cls]
+    emit[0] = 0.0  # the end is alone in its class
+    shared = send((model.base, emit, lexicon.head_cls, lexicon.room, float(model.total + model.types + 1)))
+    filled = stage.cut(both.mapInArrow(_fill(shared, arrow), _FILLED.format(name)), "filled")
+    stage.drop("encoded")
+    stage.drop("words")
+
+    k = len(model.pairs)
+    pairs = np.zeros(k * k)
+    for r in filled.where("NOT held_out").select("classes").mapInArrow(_class_bigrams(k), "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        pairs[r["at"]] = r["n"]
+    step = send(transition_scores(pairs.reshape(k, k)))
+
+    @F.arrow_udf(T.DoubleType())
+    def steps(classes: pa.Array) -> pa.Array:
+        chains = (_chain(t.as_py()) for t in classes)
+        return pa.array([float(step.value[c[:-1], c[1:]].sum()) for c in chains], pa.float64())
+
+    score = F.col("emit") + steps("classes") if model.total else F.col("base")
+    return filled.select(
         F.col("id").alias("doc_id"),
         "held_out",
         "n_tokens",
-        (known + F.coalesce("tail_known", none)).cast("long").alias("n_known"),
+        (F.col("known") if model.total else F.lit(0)).cast("long").alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
-        base_score.alias("base_score"),
+        F.col("base").alias("base_score"),
         score.alias("score"),
     )

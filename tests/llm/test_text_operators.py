@@ -1,10 +1,12 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,3 +306,34 @@ def test_frames_without_rows_or_with_strange_ids(spark):
     got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(texts).collect()}
     assert got == {"a": "a", "b": "a", None: None}
     assert line_dedup.dedup_lines(texts).where(F.col("text") == "").count() == 1
+
+
+def test_lm_exchanges_rare_words_by_their_own_transitions(spark):
+    """Two rare words of one ending, hence of one group, go to the classes of their neighbours."""
+    rng = random.Random(5)
+    lines = []
+    for i in range(400):
+        lines += [f"a{rng.randrange(4)} b{rng.randrange(4)}", f"c{rng.randrange(4)} d{rng.randrange(4)}"]
+    lines += ["a1 xxing", "a2 xxing", "a3 xxing", "yying d1", "yying d2", "yying d3", "yying d0"] * 2
+    docs = spark.createDataFrame([(i, False, " ".join(rng.sample(lines, len(lines))).encode()) for i in range(2)], "id long, held_out boolean, text binary")
+    stage = common.Stage(spark)
+    model, vocab = lm_scoring.train(docs.select("text"), stage, 17, 16, 6)
+    assert lm_scoring.tail_group(b"xxing") == lm_scoring.tail_group(b"yying")
+    shared = spark.sparkContext.broadcast(model.units)
+    encoded = docs.mapInArrow(lm_scoring._encode(shared, pa.int64()), lm_scoring._ENCODED.format("bigint"))
+    words, lexicon = lm_scoring.exchange_words(encoded, model, stage)
+    got = {bytes(r["word"]): (r["c"], r["cls"]) for r in words.collect()}
+    counts = {bytes(r["word"]): r["c"] for r in vocab.collect()}
+    seeds = {w for w, r in model.units.rank.items() if r <= model.units.clustered}
+    assert {w: c for w, (c, _) in got.items()} == {w: c for w, c in counts.items() if w not in seeds}  # every other word, however rare
+    of = lambda w: lexicon.head_cls[model.units.rank[w]]
+    assert got[b"xxing"][1] != got[b"yying"][1]
+    assert got[b"yying"][1] == of(b"c1") and got[b"xxing"][1] in {of(b"b%d" % k) for k in range(4)}
+    total = np.zeros(len(model.pairs))  # the words of a class and one unknown of each of its groups sum to one
+    for w, c in counts.items():
+        if w != lm_scoring.END:
+            cls = got[w][1] if w in got else of(w)
+            total[cls] += (c + lm_scoring.DELTA) / 10 ** lexicon.room[cls]
+    for cls in model.group_cls:
+        total[cls] += lm_scoring.DELTA / 10 ** lexicon.room[cls]
+    assert all(abs(x - 1) < 1e-9 for x in total[np.unique(model.cls[1:])])
