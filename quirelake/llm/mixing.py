@@ -6,18 +6,23 @@ floor((k-1)/w) and due at slot ceil(k/w); each slot takes the released block wit
 earliest deadline. For weights that sum to one this keeps every source, after any number
 of slots, less than one block from its target share.
 
-Weights are rounded to shares of ``resolution`` slots, so the schedule repeats after that
-many slots and one period is planned, whatever the number of documents. When a source has
+Weights are exact ratios, so the schedule repeats after as many slots as their whole shares
+sum to, and one period is planned (for equal weights one slot of each source). Where a period
+is longer than its phase, the slots of the phase are planned one by one. When a source has
 no block left, a new phase begins: the weights of the others are scaled up to one. What
-the plan holds is bounded by ``MAX_SOURCES`` and ``resolution``; all work on documents is
-two shuffles of (source, key) and no group larger than a fixed number of rows.
+the plan holds is bounded by the period and by the number of blocks in each phase, whichever
+is less; all work on documents is two shuffles of (source, key) and no group larger than a
+fixed number of rows.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
-from math import gcd
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,50 +31,52 @@ from pyspark.sql.window import Window
 
 MAX_SOURCES = 1000
 BLOCK_ROWS = 16
-RESOLUTION = 1000
+RESOLUTION = 1000  # a weight that equals a ratio with no larger denominator is that ratio
 RUN_ROWS = 4_000  # rows that one sort of a source's order holds, on average
 
-_PHASES = "array<struct<k:string,first:bigint,past:bigint,slot0:bigint,q:bigint,n:bigint,base:bigint,slots:array<bigint>>>"
+_PHASES = "array<struct<k:string,first:bigint,past:bigint,slot0:bigint,q:bigint,n:bigint,base:bigint,slots:array<bigint>,released:array<bigint>,due:array<bigint>>>"
 ADDED = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
 
 
 def shares_of(weights: list[float], resolution: int) -> list[int]:
-    """Whole shares, at least 1 each, by largest remainder; divided by their common factor."""
-    total, q = sum(weights), max(resolution, len(weights))
-    exact = [w / total * q for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    order = sorted(range(len(out)), key=lambda i: (-(exact[i] - int(exact[i])), i))
-    for i in order * 2:
-        if sum(out) >= q:
-            break
-        out[i] += 1
-    while sum(out) > q:
-        out[max(range(len(out)), key=lambda i: (out[i] - exact[i], -i))] -= 1
+    """Whole shares in the exact proportion of the weights, without a common factor.
+
+    A weight stands for the ratio of a denominator up to ``resolution`` that equals it as a
+    float, as 1/3 does, else for the decimal number it is written as.
+    """
+    near = [Fraction(w).limit_denominator(resolution) for w in weights]
+    exact = [x if float(x) == w else Fraction(repr(float(w))) for x, w in zip(near, weights, strict=True)]
+    q = lcm(*[x.denominator for x in exact])
+    out = [int(x * q) for x in exact]
     g = gcd(*out)
     return [x // g for x in out]
 
 
-def pfair_period(shares: list[int]) -> list[int]:
-    """The source index of each slot of one period, by earliest deadline among released blocks."""
+def pfair(shares: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Of each slot, without end: source index, release and deadline, by earliest deadline among released blocks."""
     q = sum(shares)
     waiting = [(0, -(-q // n), s, 1) for s, n in enumerate(shares)]
     heapq.heapify(waiting)
-    ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(q):
+    ready: list[tuple[int, int, int, int]] = []
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
-            _, due, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, s, k))
-        due, s, k = heapq.heappop(ready)
-        out.append(s)
+            released, due, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (due, s, k, released))
+        due, s, k, released = heapq.heappop(ready)
+        yield s, released, due
         n = shares[s]
-        if k < n:
-            heapq.heappush(waiting, (k * q // n, -(-(k + 1) * q // n), s, k + 1))
-    return out
+        heapq.heappush(waiting, (k * q // n, -(-(k + 1) * q // n), s, k + 1))
+        slot += 1
+
+
+def pfair_period(shares: list[int]) -> list[int]:
+    """The source index of each slot of one period."""
+    return [s for s, _, _ in islice(pfair(shares), sum(shares))]
 
 
 def plan_phases(blocks: dict[str, int], weights: dict[str, float], resolution: int) -> list[dict]:
-    """For each phase and source: its block range, first slot, period, share and slots in a period."""
+    """For each phase and source: its block range, first slot, period, and slots, releases and deadlines in a period."""
     left = {k: n for k, n in sorted(blocks.items()) if n > 0}
     done = dict.fromkeys(left, 0)
     slot0, out = 0, []
@@ -79,17 +86,24 @@ def plan_phases(blocks: dict[str, int], weights: dict[str, float], resolution: i
         if not active:  # sources without a weight come last, evenly
             active, w = list(left), [1.0] * len(left)
         shares = shares_of(w, resolution)
-        period = pfair_period(shares)
-        q = len(period)
+        q = sum(shares)
         whole = min(left[k] // n for k, n in zip(active, shares, strict=True))
         rest = {k: left[k] - whole * n for k, n in zip(active, shares, strict=True)}
-        cut = 0
-        while all(rest.values()):
-            rest[active[period[cut]]] -= 1
-            cut += 1
-        for i, k in enumerate(active):
+        planned: list[list[tuple[int, int, int]]] = [[] for _ in active]
+        cut = t = 0
+        for s, released, due in pfair(shares):
+            if all(rest.values()):
+                rest[active[s]] -= 1
+                cut += 1
+            elif not whole or t == q:
+                break
+            planned[s].append((t, released, due))
+            t += 1
+        for k, mine in zip(active, planned, strict=True):
             used = left[k] - rest[k]
-            out.append({"k": k, "first": done[k], "past": done[k] + used, "slot0": slot0, "q": q, "n": shares[i], "base": done[k], "slots": [t for t, s in enumerate(period) if s == i]})
+            slots, released, due = zip(*mine, strict=True) if mine else ((), (), ())
+            # without a whole period no block needs q
+            out.append({"k": k, "first": done[k], "past": done[k] + used, "slot0": slot0, "q": q if whole else 0, "n": max(1, len(mine)), "base": done[k], "slots": slots, "released": released, "due": due})
             done[k] += used
             left[k] = rest[k]
         left = {k: n for k, n in left.items() if n}
@@ -142,16 +156,16 @@ def mix(
 
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(phases)), T._parse_datatype_string(_PHASES))))
     p = lambda c: F.col(f"__p_{c}")
-    plan = F.broadcast(plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns]))  # at most MAX_SOURCES phases of `resolution` slots
+    plan = F.broadcast(plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns]))  # one period, or fewer slots, of each phase
     j = F.col("__block") - p("base")
-    at = F.element_at(p("slots"), (j % p("n") + 1).cast("int"))
-    slot = p("slot0") + F.floor(j / p("n")) * p("q") + at
+    of = lambda c: F.floor(j / p("n")) * p("q") + F.element_at(p(c), (j % p("n") + 1).cast("int"))
+    slot = p("slot0") + of("slots")
     mixed = placed.join(plan, (F.col("__k") == p("k")) & (F.col("__block") >= p("first")) & (F.col("__block") < p("past")))
     return mixed.select(
         *[F.col(f"`{c}`") for c in docs.columns],
         (F.col("__block") + 1).alias("mix_block"),
-        F.floor(j * p("q") / p("n")).alias("mix_release"),
-        F.ceil((j + 1) * p("q") / p("n")).alias("mix_deadline"),
+        of("released").alias("mix_release"),
+        of("due").alias("mix_deadline"),
         slot.alias("mix_slot"),
         (slot * block_rows + F.col("__pos") % block_rows).alias("mix_position"),
     )

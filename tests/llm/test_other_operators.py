@@ -54,6 +54,24 @@ def test_mixing(spark):
         mixing.mix(spark.range(1200).selectExpr("id doc_id", "string(id) source"))
 
 
+@pytest.mark.parametrize("weights", [[1, 1, 1], [1] * 7, [1] * 19, [1 / 3, 2 / 3], [0.2, 0.3, 0.5], [0.123457, 0.4, 0.076543, 0.4], [1, 2**0.5, 1e-3]])
+def test_mixing_keeps_the_target_over_many_periods(spark, weights):
+    """Against the weights themselves, as long as every source has blocks: less than one block off."""
+    n = len(weights)
+    part = [round(w / sum(weights) * 9000) for w in weights]
+    docs = spark.createDataFrame([(i * 10000 + k, f"s{i}") for i in range(n) for k in range(part[i])], "doc_id long, source string")
+    got = mixing.mix(docs, {f"s{i}": w for i, w in enumerate(weights)}, block_rows=1).orderBy("mix_slot").select("source", "mix_slot", "mix_release", "mix_deadline").collect()
+    assert [r["mix_slot"] for r in got] == list(range(sum(part)))
+    target, used = {f"s{i}": w / sum(weights) for i, w in enumerate(weights)}, collections.Counter()
+    for t, r in enumerate(got, 1):
+        assert r["mix_release"] <= t - 1 < r["mix_deadline"]
+        used[r["source"]] += 1
+        assert all(abs(used[s] - t * w) < 1 + 1e-9 for s, w in target.items())
+        if any(used[f"s{i}"] == part[i] for i in range(n)):
+            break
+    assert t > 6000
+
+
 def test_hilbert_steps_to_neighbours():
     cells = np.array([[x, y] for x in range(8) for y in range(8)])
     key = neighbours.hilbert(cells, 3)
