@@ -128,10 +128,16 @@ def split_text_runs(text: Column | str, runs: Column | str) -> Column:
     """
     x, r = col(text), col(runs)
     total = F.aggregate(r, F.lit(0), lambda a, b: a + b["n"])
-    # where each character that is no space stands, and from there where each run starts
-    solid = F.filter(F.sequence(F.lit(1), F.length(x)), lambda i: F.substr(x, i, F.lit(1)) != " ")
     before = F.transform(r, lambda e, i: F.aggregate(F.slice(r, F.lit(1), i), F.lit(0), lambda a, b: a + b["n"]))
-    starts = _let(solid, lambda at: F.transform(before, lambda n, i: F.when(i == 0, 1).otherwise(F.coalesce(F.get(at, n), F.length(x) + 1))))
+
+    def start(words: Column, n: Column) -> Column:
+        """Where the character after n that are no spaces stands, word by word."""
+        state = lambda left, at: F.struct(left.cast("int").alias("left"), at.cast("int").alias("at"))
+        whole = lambda s, w: state(s["left"] - F.length(w), s["at"] + F.length(w) + 1)
+        step = lambda s, w: F.when(s["left"] < 0, s).when(s["left"] >= F.length(w), whole(s, w)).otherwise(state(F.lit(-1), s["at"] + s["left"]))
+        return F.aggregate(words, state(n, F.lit(1)), step, lambda s: F.when(s["left"] < 0, s["at"]).otherwise(F.length(x) + 1))
+
+    starts = _let(F.split(x, " "), lambda words: F.transform(before, lambda n, i: F.when(i == 0, 1).otherwise(start(words, n))))
     piece = lambda at: F.transform(r, lambda e, i: F.struct(F.substr(x, F.get(at, i), F.coalesce(F.get(at, i + 1), F.length(x) + 1) - F.get(at, i)).alias("text"), e["rgb"].alias("rgb")))
     return F.when(F.length(no_spaces(x)) >= total, F.filter(_let(starts, piece), lambda p: p["text"] != ""))
 
@@ -143,7 +149,11 @@ def _let(value: Column, body) -> Column:
 
 def mark_superscript(pieces: Column | str, n_tail: Column | int) -> Column:
     """Pieces (text, rgb) with the last ``n_tail`` characters raised: (text, rgb, raised)."""
-    p, n = col(pieces), F.lit(n_tail) if isinstance(n_tail, int) else n_tail
+    n = F.lit(n_tail) if isinstance(n_tail, int) else n_tail
+    return _let(col(pieces), lambda p: _raise_tail(p, n))
+
+
+def _raise_tail(p: Column, n: Column) -> Column:
     total = F.aggregate(p, F.lit(0), lambda a, b: a + F.length(b["text"]))
     start = lambda i: F.aggregate(F.slice(p, F.lit(1), i), F.lit(0), lambda a, b: a + F.length(b["text"]))
     keep = lambda e, i: F.greatest(F.lit(0), F.least(F.length(e["text"]), total - n - start(i)))

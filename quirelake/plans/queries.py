@@ -364,8 +364,8 @@ def quantized_mode(spark, sf_dir):
 
 @query
 def split_text_runs(spark, sf_dir):
-    """Pieces of the first words of a line for two colour runs, the last three characters raised."""
-    lines = read_lines(spark, sf_dir).select("page", "pos", F.left("text", F.lit(24)).alias("t"), "text_rgb", "bg_rgb")
+    """Pieces of a line for two colour runs, the last three characters raised."""
+    lines = read_lines(spark, sf_dir).select("page", "pos", F.col("text").alias("t"), "text_rgb", "bg_rgb")
     bare = F.length(T.no_spaces("t"))
     part = lambda n, c: F.struct(n.cast("int").alias("n"), F.col(c).alias("rgb"))
     pieces = T.split_text_runs("t", F.array(part(F.floor(bare / 2), "text_rgb"), part(bare - F.floor(bare / 2), "bg_rgb")))

@@ -77,6 +77,23 @@ def test_text_runs(spark):
     assert [(p["text"], p["raised"]) for p in out[3]["m"]] == [("佐證", False), ("[1]", True)] and [(p["text"], p["raised"]) for p in out[4]["m"]] == [("a b", True)]
 
 
+def test_split_text_runs_takes_whole_lines(spark, tmp_path):
+    """The query against brute force, on lines far beyond a few words."""
+    texts = ["ab  cd", "x", " two words of a line that goes on for more than twenty-four characters ", "é漢😀 " * 40 + "end[1]", "a b" * 3000]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in queries.queries()["split_text_runs"](spark, str(tmp_path)).orderBy("page", "k").collect():
+        got.setdefault(r["page"], []).append((r["text"], r["raised"]))
+    want = {}
+    for k, t in enumerate(texts):
+        solid = [i for i, c in enumerate(t) if c != " "]
+        half = solid[len(solid) // 2] if len(solid) > 1 else 0
+        tail = max(0, len(t) - 3)
+        cuts = sorted({0, half, tail, len(t)})
+        want[k] = [(t[a:b], a >= tail) for a, b in zip(cuts, cuts[1:])]
+    assert got == want
+
+
 def test_vocab(spark):
     lines = spark.createDataFrame([(1, 0, "資訊架構", 0.9), (1, 1, "資訊", 0.85), (1, 2, " 黃訊 ", 0.6), (2, 0, "資訊黃金", 0.9), (2, 1, "黃訊", 0.6), (3, 0, "資訊", 0.79)], "page long, pos long, text string, score double")
     counted = vocab.page_vocab(lines)
