@@ -27,11 +27,14 @@ _MIX = np.uint64(0xD6E8FEB86659FD93)
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: the cluster's spark.checkpoint.dir.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and
-    recorded in the session.
+    Where that is unset, a temporary folder is made and recorded in the session if all runs on
+    one machine, as in tests; on a cluster, whose executors could not see it, this raises.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="quirelake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -70,7 +73,11 @@ class Stage:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def cut_buckets(self, df: DataFrame, name: str, key: str, n: int) -> DataFrame:
-        """A table bucketed by ``key``, so later groupings by it need no shuffle."""
+        """A table bucketed by ``key``, so later groupings by it need no shuffle.
+
+        The catalog is needed to name the buckets only: what is returned has the files and their
+        buckets in its plan, and the name is dropped at once (the files are external to it).
+        """
         table = f"quirelake_{uuid.uuid4().hex}"
         before = self.spark.conf.get(_CLEANUP, "false")
         self.spark.conf.set(_CLEANUP, "true")
@@ -85,7 +92,9 @@ class Stage:
             )
         finally:
             self.spark.conf.set(_CLEANUP, before)
-        return self.spark.table(table)
+        held = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        return held
 
     def drop(self, name: str) -> None:
         _remove(self.spark, f"{self.root}/{name}")
@@ -98,7 +107,11 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep what crosses to Python at once small, also where texts are very long."""
+    """Keep what crosses to Python at once small, also where texts are very long.
+
+    Results are lazy, so the two settings must still hold when they are computed: they stay in
+    the session, where they bound the Arrow batches of other queries too.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 

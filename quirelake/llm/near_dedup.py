@@ -13,8 +13,13 @@ estimate has a deviation of 0.025 against a margin of 0.13.
 Groups of copies stay linear: equal sets are one class from the start; in each bucket of a
 band, members are compared with a centre. Members that are
 then still in another component than others of their bucket are compared with all of those,
-register by register in blocks of about ``BLOCK`` rows, and only links come out.
-Nothing is collected to the driver, and no bucket is gathered into one task.
+register by register in blocks of about ``BLOCK`` rows and ``BLOCK_SHINGLES`` shingles, and only
+links come out. Nothing is collected to the driver, and no bucket is gathered into one task.
+
+A class has a number of its own, so rows that share an id but not their text are classes of
+their own too. Sets are equal if a 128-bit hash of their sorted 64-bit shingle hashes is: among
+10^11 different sets, two agree by chance with a probability of 10^-5 by the shingle hashes and
+less by the other; links of unequal sets are confirmed on the words.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import Stage, bound_batches, components, in_sorted, lower_space_words, window_hashes, word_hashes
 
@@ -36,6 +42,7 @@ ESTIMATE = 0.62
 EQUAL = 181  # registers; of 226 expected at 0.75, six deviations less
 ROUNDS = 1
 BLOCK = 1024
+BLOCK_SHINGLES = 2_000_000
 SMALL = 8  # buckets up to this size are compared pair by pair
 
 _rng = np.random.default_rng(20240613)
@@ -125,74 +132,66 @@ def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, stage: Stage, name: str) -> DataFrame:
     """Of pairs(a, b), those that are linked: sizes, then the joint estimate, then full sets."""
-    side = lambda s: classes.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
+    side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
     held = pairs.join(side("a"), "a").join(side("b"), "b")
     held = held.where("100 * least(na, nb) >= 75 * greatest(na, nb)")
     held = held.where(_estimate("ra", "rb", "na", "nb") >= ESTIMATE).select("a", "b")
     held = stage.cut(held, f"{name}-likely")
-    text = lambda s: texts.select(F.col("rep").alias(s), F.col("text").alias(f"t{s}"))
+    text = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"t{s}"))
     both = held.join(text("a"), "a").join(text("b"), "b")
     return stage.cut(both.where(_linked("ta", "tb")).select("a", "b"), f"{name}-links")
 
 
-_LIKELY = "gid bigint, i int, j int, rep {0}, partners array<{0}>"
+_LIKELY = "gid bigint, i int, j int, node bigint, partners array<bigint>"
+_LIKELY_ARROW = pa.schema([("gid", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("node", pa.int64()), ("partners", pa.list_(pa.int64()))])
 
 
-def _compare(kind: pa.DataType):
+def _compare(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """Likely partners, within one block, of the rows that stand out (side 0): a row for each that
     has some, and a row without partners for each partner."""
-
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        rep, comp = rows.column("rep"), rows.column("comp").to_numpy()
-        regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint8).reshape(len(rep), M)
-        n, side = rows.column("n").to_numpy().astype(np.float64), rows.column("side").to_numpy()
-        left, partners, met = np.flatnonzero(side == 0), {}, set()
-        for k in range(0, len(left), 16):
-            some = left[k : k + 16]
-            same = (regs[some][:, None, :] == regs[None, :, :]).sum(2, dtype=np.int16) >= EQUAL
-            same &= comp[some][:, None] != comp[None, :]
-            same &= 4 * np.minimum(n[some][:, None], n) >= 3 * np.maximum(n[some][:, None], n)
-            same &= (side == 1) | (np.arange(len(rep)) < some[:, None])  # two that stand out meet once
-            i, y = np.nonzero(same)
-            x = some[i]
-            if len(x):
-                keep = joint_estimate(regs[x], regs[y], n[x], n[y]) >= ESTIMATE
-                for a, b in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
-                    partners.setdefault(a, []).append(b)
-                    met.add(b)
-        ids = rep.to_pylist()
-        out = [(ids[a], [ids[b] for b in bs]) for a, bs in partners.items()] + [(ids[b], []) for b in met - partners.keys()]
-        gid, i, j = (k.as_py() for k in key)
-        whole = [pa.array([x] * len(out), t) for x, t in ((gid, pa.int64()), (i, pa.int32()), (j, pa.int32()))]
-        return pa.table([*whole, pa.array([a for a, _ in out], kind), pa.array([b for _, b in out], pa.list_(kind))], ["gid", "i", "j", "rep", "partners"])
-
-    return run
-
-
-def _confirm(kind: pa.DataType):
+    nodes, comp = rows.column("node").to_pylist(), rows.column("comp").to_numpy()
+    regs = np.frombuffer(b"".join(rows.column("regs").to_pylist()), np.uint8).reshape(len(nodes), M)
+    n, side = rows.column("n").to_numpy().astype(np.float64), rows.column("side").to_numpy()
+    left, partners, met = np.flatnonzero(side == 0), {}, set()
+    for k in range(0, len(left), 16):
+        some = left[k : k + 16]
+        same = (regs[some][:, None, :] == regs[None, :, :]).sum(2, dtype=np.int16) >= EQUAL
+        same &= comp[some][:, None] != comp[None, :]
+        same &= 4 * np.minimum(n[some][:, None], n) >= 3 * np.maximum(n[some][:, None], n)
+        same &= (side == 1) | (np.arange(len(nodes)) < some[:, None])  # two that stand out meet once
+        i, y = np.nonzero(same)
+        x = some[i]
+        if len(x):
+            keep = joint_estimate(regs[x], regs[y], n[x], n[y]) >= ESTIMATE
+            for a, b in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
+                partners.setdefault(a, []).append(b)
+                met.add(b)
+    out = [(nodes[a], [nodes[b] for b in bs]) for a, bs in partners.items()] + [(nodes[b], []) for b in met - partners.keys()]
+    gid, i, j = (k.as_py() for k in key)
+    columns = [[gid] * len(out), [i] * len(out), [j] * len(out), [a for a, _ in out], [b for _, b in out]]
+    return pa.table([pa.array(c, f.type) for c, f in zip(columns, _LIKELY_ARROW, strict=True)], schema=_LIKELY_ARROW)
+
+
+def _confirm(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     """Links among likely partners of a block: counted on full hashed sets, then on the words."""
-
-    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        at = {r: k for k, r in enumerate(rows.column("rep").to_pylist())}
-        text, x, y = rows.column("text"), [], []
-        sets = [shingle_hashes(lower_space_words(t.as_py())) for t in text]
-        for k, some in enumerate(rows.column("partners").to_pylist()):
-            if not some:
-                continue
-            other = [at[b] for b in some]
-            size = np.array([len(sets[b]) for b in other])
-            start = np.concatenate(([0], np.cumsum(size)[:-1]))
-            both = np.add.reduceat(in_sorted(np.concatenate([sets[b] for b in other]), sets[k]), start, dtype=np.int64)
-            mine = None
-            for m in np.flatnonzero(100 * both >= PERCENT * (size + len(sets[k]) - both)).tolist():
-                mine = exact_shingles(text[k].as_py()) if mine is None else mine
-                if similar(mine, exact_shingles(text[other[m]].as_py())):
-                    x.append(k)
-                    y.append(other[m])
-        rep = rows.column("rep")
-        return pa.table([rep.take(pa.array(x, pa.int64())).combine_chunks(), rep.take(pa.array(y, pa.int64())).combine_chunks()], ["a", "b"])
-
-    return run
+    nodes = rows.column("node").to_pylist()
+    at = {r: k for k, r in enumerate(nodes)}
+    text, x, y = rows.column("text"), [], []
+    sets = [shingle_hashes(lower_space_words(t.as_py())) for t in text]
+    for k, some in enumerate(rows.column("partners").to_pylist()):
+        if not some:
+            continue
+        other = [at[b] for b in some]
+        size = np.array([len(sets[b]) for b in other])
+        start = np.concatenate(([0], np.cumsum(size)[:-1]))
+        both = np.add.reduceat(in_sorted(np.concatenate([sets[b] for b in other]), sets[k]), start, dtype=np.int64)
+        mine = None
+        for m in np.flatnonzero(100 * both >= PERCENT * (size + len(sets[k]) - both)).tolist():
+            mine = exact_shingles(text[k].as_py()) if mine is None else mine
+            if similar(mine, exact_shingles(text[other[m]].as_py())):
+                x.append(nodes[k])
+                y.append(nodes[other[m]])
+    return pa.table([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
 
 def _linked_in_blocks(placed: DataFrame, open_keys: DataFrame, classes: DataFrame, texts: DataFrame, stage: Stage) -> DataFrame:
@@ -203,28 +202,25 @@ def _linked_in_blocks(placed: DataFrame, open_keys: DataFrame, classes: DataFram
     outside the largest component stand out. They and the others are dealt into blocks, and each
     block of the former meets each block of either; texts come only to likely partners.
     """
-    from pyspark.sql.pandas.types import to_arrow_type
-
     gid = F.when(F.col("most") * 4 >= F.col("all"), F.xxhash64(F.lit(1), "main")).otherwise(F.col("key"))
-    rows = placed.join(open_keys, "key").select(gid.alias("gid"), "rep", "comp", (F.col("comp") != F.col("main")).alias("out"))
-    rows = stage.cut(rows.groupBy("gid", "rep", "comp").agg(F.max("out").alias("out")), "blocks")
-    count = lambda c: F.greatest(F.lit(1), F.ceil(F.sum(c.cast("int")) / BLOCK)).cast("int")
-    sizes = rows.groupBy("gid").agg(count(F.col("out")).alias("few"), count(~F.col("out")).alias("rest"))
-    rows = rows.join(sizes, "gid").join(classes.select("rep", "n", "regs"), "rep")
-    at = F.when(F.col("out"), F.pmod(F.xxhash64("rep"), "few")).otherwise(F.col("few") + F.pmod(F.xxhash64("rep"), "rest"))
+    rows = placed.join(open_keys, "key").select(gid.alias("gid"), "node", "comp", (F.col("comp") != F.col("main")).alias("out"))
+    rows = rows.groupBy("gid", "node", "comp").agg(F.max("out").alias("out")).join(classes.select("node", "n", "regs"), "node")
+    rows = stage.cut(rows, "blocks")
+    sum_of = lambda c, x: F.sum(F.when(c, x).otherwise(0))
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(sum_of(c, F.lit(1)) / BLOCK), F.ceil(sum_of(c, F.col("n")) / BLOCK_SHINGLES)).cast("int")
+    sizes = rows.groupBy("gid").agg(blocks(F.col("out")).alias("few"), blocks(~F.col("out")).alias("rest"))
+    rows = rows.join(sizes, "gid")
+    at = F.when(F.col("out"), F.pmod(F.xxhash64("node"), "few")).otherwise(F.col("few") + F.pmod(F.xxhash64("node"), "rest"))
     rows = rows.withColumn("at", at.cast("int"))
     # groups (i, j): i a block of those that stand out, j >= i any block
     as_left = F.transform(F.sequence(F.col("at"), F.col("few") + F.col("rest") - 1), lambda j: F.struct(F.col("at").alias("i"), j.alias("j"), F.lit(0).alias("side")))
     top = F.least(F.col("at"), F.col("few")) - 1
     as_right = F.when(top >= 0, F.transform(F.sequence(F.lit(0), top), lambda i: F.struct(i.alias("i"), F.col("at").alias("j"), F.lit(1).alias("side")))).otherwise(F.array().cast("array<struct<i:int,j:int,side:int>>"))
     places = F.when(F.col("out"), F.concat(as_left, as_right)).otherwise(as_right)
-    dealt = rows.select("gid", "rep", "comp", "n", "regs", F.inline(places))
-    rep = placed.schema["rep"].dataType
-    kind = to_arrow_type(rep)
-    likely = dealt.groupBy("gid", "i", "j").applyInArrow(_compare(kind), _LIKELY.format(rep.simpleString()))
-    likely = stage.cut(likely, "likely-blocks")
-    held = likely.join(texts, "rep")
-    return stage.cut(held.groupBy("gid", "i", "j").applyInArrow(_confirm(kind), f"a {rep.simpleString()}, b {rep.simpleString()}").distinct(), "links-blocks")
+    dealt = rows.select("gid", "node", "comp", "n", "regs", F.inline(places))
+    likely = stage.cut(dealt.groupBy("gid", "i", "j").applyInArrow(_compare, _LIKELY), "likely-blocks")
+    held = likely.join(texts, "node")
+    return stage.cut(held.groupBy("gid", "i", "j").applyInArrow(_confirm, "a bigint, b bigint").distinct(), "links-blocks")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,30 +239,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         base.select("id", F.xxhash64("text").alias("th"), _sketch(F.col("text").cast("binary")).alias("s")).select("id", "th", "s.*"), "sketch"
     )
     known = sketched.where("id IS NOT NULL")
-    classes = stage.cut(
-        known.where("n > 0").groupBy("fp").agg(F.min(F.struct("id", "th", "n", "regs")).alias("m")).select("fp", F.col("m.id").alias("rep"), "m.th", "m.n", "m.regs"),
-        "classes",
-    )
+    classes = known.where("n > 0").groupBy("fp").agg(F.min(F.struct("id", "th", "n", "regs")).alias("m"))
+    # the numbers are written with the classes, so they hold for all that follows
+    classes = stage.cut(classes.select(F.monotonically_increasing_id().alias("node"), "fp", "m.*"), "classes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("regs", BAND * i + 1, BAND)) for i in range(M // BAND)])
-    bands = classes.select("rep", F.explode(keys).alias("key"))
+    bands = classes.select("node", F.explode(keys).alias("key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     members = stage.cut(bands.join(shared, "key"), "members")
-    nodes = stage.cut(members.select("rep").distinct(), "nodes")
-    wanted = classes.join(nodes, "rep", "left_semi").select(F.col("rep").alias("id"), "th")
+    nodes = stage.cut(members.select("node").distinct(), "nodes")
+    wanted = classes.join(nodes, "node", "left_semi").select("id", "th", "node")
     # equal rows of one id and text give the same text
     texts = stage.cut(
-        base.withColumn("th", F.xxhash64("text")).join(wanted, ["id", "th"]).select(F.col("id").alias("rep"), F.col("text").cast("binary").alias("text")).dropDuplicates(["rep"]),
+        base.withColumn("th", F.xxhash64("text")).join(wanted, ["id", "th"]).select("node", F.col("text").cast("binary").alias("text")).dropDuplicates(["node"]),
         "texts",
         "zstd",
     )
 
-    parts = sketched.where("n > 0").join(classes.select("fp", "rep"), "fp").where("id IS NOT NULL").select("id", "rep")
-    several = parts.groupBy("id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("id")
-    links = stage.cut(parts.join(several, "id").select(F.col("id").alias("a"), F.col("rep").alias("b")).where("a <> b"), "parts")
+    # an id with several texts joins their classes
+    parts = known.where("n > 0").select("id", "fp").join(classes.select("fp", "node"), "fp").select("id", "node")
+    several = parts.groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("id", "lo")
+    links = stage.cut(parts.join(several, "id").select(F.col("lo").alias("a"), F.col("node").alias("b")).where("a <> b").distinct(), "parts")
     labels = components(stage, links, "cc-parts")
     checked = None
     for step in range(ROUNDS + 1):
-        placed = members.join(labels, members["rep"] == labels["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+        placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"))
         placed = stage.cut(placed, f"placed{step}")
         stage.drop(f"placed{step - 1}")
         by_comp = placed.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
@@ -278,16 +274,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             break
         if step == ROUNDS:
             few = placed.join(by_key.where(F.col("all") <= SMALL).select("key"), "key")
-            other = few.select("key", F.col("rep").alias("y"), F.col("comp").alias("cy"))
-            pairs = few.join(other, "key").where("rep < y AND comp <> cy").select(F.col("rep").alias("a"), F.col("y").alias("b")).distinct()
+            other = few.select("key", F.col("node").alias("y"), F.col("comp").alias("cy"))
+            pairs = few.join(other, "key").where("node < y AND comp <> cy").select(F.col("node").alias("a"), F.col("y").alias("b")).distinct()
             if checked is not None:
                 pairs = pairs.join(checked, ["a", "b"], "left_anti")
             found = _verified(stage.cut(pairs, "pairs-small"), classes, texts, stage, "small")
             found = found.unionByName(_linked_in_blocks(placed, by_key.where(F.col("all") > SMALL), classes, texts, stage))
         else:
-            centre = placed.groupBy("key").agg(F.min(F.struct((F.xxhash64("rep", F.lit(step)) if step else F.col("rep")).alias("o"), "rep", "comp")).alias("m"))
-            centre = centre.select("key", F.col("m.rep").alias("y"), F.col("m.comp").alias("cy"))
-            pairs = placed.join(by_key.select("key"), "key", "left_semi").join(centre, "key").where("comp <> cy").select(F.col("rep").alias("x"), "y")
+            centre = placed.groupBy("key").agg(F.min(F.struct((F.xxhash64("node", F.lit(step)) if step else F.col("node")).alias("o"), "node", "comp")).alias("m"))
+            centre = centre.select("key", F.col("m.node").alias("y"), F.col("m.comp").alias("cy"))
+            pairs = placed.join(by_key.select("key"), "key", "left_semi").join(centre, "key").where("comp <> cy").select(F.col("node").alias("x"), "y")
             pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
             pairs = stage.cut(pairs if checked is None else pairs.join(checked, ["a", "b"], "left_anti"), f"pairs{step}")
             checked = pairs if checked is None else checked.unionByName(pairs)
@@ -296,15 +292,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             continue
         links = links.unionByName(found)
         labels = components(stage, links, f"cc{step}")
-    out = sketched.join(classes.select("fp", "rep"), "fp", "left").join(labels, F.col("rep") == F.col("node"), "left")
-    comp = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.coalesce("component", "rep")), "id"))
+    # the least id of a component, over all its classes
+    placed = classes.select("node", "fp", "id").join(labels, "node", "left").select("fp", "id", F.coalesce("component", "node").alias("comp"))
+    least = placed.groupBy("comp").agg(F.min("id").alias("least"))
+    named = placed.join(least, "comp").select("fp", "least")
+    out = sketched.join(named, "fp", "left")
+    comp = F.when(F.col("id").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("least")), "id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents without the later members of each component; equal rows of one id become one."""
+    """Documents without the later members of each component.
+
+    Rows of one id (or without id) and equal text become one, of several the one whose columns have
+    the least hash; rows of one id and different texts are one document in several parts and stay
+    or go together.
+    """
     gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
-    alone = F.when(F.col(id_col).isNull(), F.xxhash64(text_col))
-    return docs.join(gone, id_col, "left_anti").withColumn("__alone", alone).dropDuplicates([id_col, "__alone"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    same = Window.partitionBy(id_col, "__h1", "__h2").orderBy(F.xxhash64(*plain))
+    left = docs.join(gone, id_col, "left_anti").withColumns({"__h1": F.xxhash64(text_col), "__h2": F.xxhash64(F.lit(1), text_col)})
+    return left.withColumn("__k", F.row_number().over(same)).where("__k = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
