@@ -128,8 +128,6 @@ def format_chats(messages: DataFrame, tools: DataFrame | None = None) -> DataFra
         "conv_id", "turn", F.lit(0).alias("level"), F.lit(0).alias("pos"), F.lit("message").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.lit("ok").alias("status"),
         F.to_json(F.struct(F.col("text").alias("content"), "role")).alias("json"),
     )
-    if calls.isEmpty() and results.isEmpty():
-        return text
     if tools is None:
         tools = empty(spark, "name string, parameters string")
     place = F.struct("turn", "pos", "name", "arguments")

@@ -11,8 +11,8 @@ sum to, and one period is planned (for equal weights one slot of each source). W
 is longer than its phase, the slots of the phase are planned one by one. When a source has
 no block left, a new phase begins: the weights of the others are scaled up to one. What
 the plan holds is bounded by the period and by the number of blocks in each phase, whichever
-is less; all work on documents is two shuffles of (source, key) and no group larger than a
-fixed number of rows.
+is less; all work on documents is one shuffle by (source, run of the order), and the sizes of
+runs are summed up in two levels, so no task holds a source.
 """
 
 from __future__ import annotations
@@ -32,7 +32,8 @@ from pyspark.sql.window import Window
 MAX_SOURCES = 1000
 BLOCK_ROWS = 16
 RESOLUTION = 1000  # a weight that equals a ratio with no larger denominator is that ratio
-RUN_ROWS = 4_000  # rows that one sort of a source's order holds, on average
+RUN_ROWS = 500  # rows that one sort of a source's order holds, on average
+RUNS = 4096  # runs whose sizes are summed up together
 
 _PHASES = "array<struct<k:string,first:bigint,past:bigint,slot0:bigint,q:bigint,n:bigint,base:bigint,slots:array<bigint>,released:array<bigint>,due:array<bigint>>>"
 ADDED = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
@@ -126,9 +127,9 @@ def mix(
     ``weights`` maps sources to weights; None weighs all sources alike. Defined cases: a null
     source is a source of its own (never weighted by name); sources without a positive weight
     follow after all others; weighted sources without documents are ignored; rows are never
-    dropped or repeated; rows with equal ids are ordered by a hash of their columns, and equal
-    rows stand side by side; input columns with the names above are replaced. More than
-    ``MAX_SOURCES`` sources raise ValueError.
+    dropped or repeated; the order of a source is that of a hash of the id and all columns, so
+    only rows that are equal in every column stand side by side; input columns with the names
+    above are replaced. More than ``MAX_SOURCES`` sources raise ValueError.
     """
     spark = docs.sparkSession
     docs = docs.drop(*ADDED)
@@ -143,13 +144,18 @@ def mix(
 
     # the place of a row in its source: short runs of the order key, and the rows before each run
     runs = max(1, -(-sum(rows.values()) // RUN_ROWS))
-    order = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 12), 16, 10).cast("long")
-    keyed = docs.withColumn("__k", key).withColumn("__r", order).withColumn("__t", F.xxhash64(*plain))
-    keyed = keyed.withColumn("__run", F.floor(F.col("__r") / F.lit(2.0**48) * runs).cast("int"))
-    sizes = keyed.groupBy("__k", "__run").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("__k").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__k", "__run", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    local = Window.partitionBy("__k", "__run").orderBy("__r", F.col(id_col), "__t")
+    text = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00"))
+    known = F.concat_ws("\x1f", F.lit(str(seed)), text(id_col), *[text(c) for c in plain])
+    order = F.conv(F.substring(F.md5(known), 1, 12), 16, 10).cast("long")
+    keyed = docs.withColumn("__k", key).withColumn("__r", order)
+    keyed = keyed.withColumn("__run", F.floor(F.col("__r") / F.lit(2.0**48) * runs).cast("long"))
+    sizes = keyed.groupBy("__k", "__run").agg(F.count(F.lit(1)).alias("__n")).withColumn("__part", F.floor(F.col("__run") / RUNS))
+    ahead = lambda by, at, n: F.coalesce(F.sum(n).over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sizes.groupBy("__k", "__part").agg(F.sum("__n").alias("__m"))
+    parts = parts.select("__k", "__part", ahead(["__k"], "__part", "__m").alias("__whole"))
+    sizes = sizes.withColumn("__some", ahead(["__k", "__part"], "__run", "__n")).join(parts, ["__k", "__part"])
+    sizes = sizes.select("__k", "__run", (F.col("__whole") + F.col("__some")).alias("__before"))
+    local = Window.partitionBy("__k", "__run").orderBy("__r")
     placed = keyed.withColumn("__at", F.row_number().over(local)).join(sizes, ["__k", "__run"])
     placed = placed.withColumn("__pos", F.col("__before") + F.col("__at") - 1)
     placed = placed.withColumn("__block", F.floor(F.col("__pos") / block_rows))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .queries import TARGETS
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2 = f"""
@@ -90,13 +92,78 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, ve
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
 
-# the tables hold no tool calls, so every row is a plain message
+# calls and results as ``queries.with_calls`` tells them
 OP5 = """
-SELECT conv_id, turn, CAST(0 AS INTEGER) AS level, CAST(0 AS INTEGER) AS pos, 'message' AS kind, CAST(NULL AS VARCHAR) AS call_id, 'ok' AS status,
-  CAST(json_object('content', coalesce(text, ''), 'role', coalesce(role, '')) AS VARCHAR) AS json
-FROM conversations
+WITH RECURSIVE m AS (
+  SELECT conv_id AS c, turn AS t, coalesce(role, '') AS role, coalesce(text, '') AS x, coalesce(role = 'assistant' AND turn % 4 = 1, false) AS calling, coalesce(role = 'user' AND turn % 4 = 2, false) AS answering
+  FROM conversations),
+call AS (
+  SELECT c, t, 0 AS pos, CASE WHEN c % 5 = 2 THEN 's' ELSE 's' || t END AS id, CASE WHEN c % 11 = 4 THEN 'find' ELSE 'search' END AS name, ['c' || t] AS needs,
+    '{"q":' || CAST(to_json(x) AS VARCHAR) || ',"top":' || t % 5 || '}' AS args,
+    CASE WHEN c % 11 = 4 THEN ['unknown tool'] WHEN t % 5 NOT IN (1, 2, 3) THEN ['not in enum top'] ELSE [] END AS problems
+  FROM m WHERE calling
+  UNION ALL
+  SELECT c, t, 1, 'c' || t, 'count', CASE WHEN c % 7 = 3 THEN [CASE WHEN c % 5 = 2 THEN 's' ELSE 's' || t END] WHEN t > 4 THEN [CASE WHEN c % 5 = 2 THEN 's' ELSE 's' || (t - 4) END] ELSE [] END,
+    '{"n":' || length(x) || CASE WHEN c % 3 = 1 THEN '' ELSE ',"unit":"char"' END || '}', CASE WHEN c % 3 = 1 THEN ['missing unit'] ELSE [] END
+  FROM m WHERE calling),
+result AS (SELECT c, t, CASE WHEN c % 6 = 5 THEN 'lost' WHEN c % 5 = 2 THEN 's' ELSE 's' || (t - 1) END AS id, CAST(to_json(x) AS VARCHAR) AS content FROM m WHERE answering),
+edge AS (SELECT DISTINCT e.c, e.id, e.need FROM (SELECT c, id, unnest(needs) AS need FROM call) e JOIN call k ON k.c = e.c AND k.id = e.need),
+reach AS (SELECT c, id, need FROM edge UNION SELECT r.c, r.id, e.need FROM reach r JOIN edge e ON e.c = r.c AND e.id = r.need),
+circle AS (SELECT DISTINCT r.c, r.id FROM reach r JOIN reach s ON s.c = r.c AND s.id = r.need AND s.need = r.need),
+depth AS (
+  SELECT DISTINCT c, id, 0 AS d FROM call
+  UNION SELECT e.c, e.id, d + 1 FROM depth p JOIN edge e ON e.c = p.c AND e.need = p.id WHERE NOT EXISTS (SELECT 1 FROM circle k WHERE k.c = e.c AND k.id = e.id)),
+level AS (SELECT c, id, CAST(max(d) AS INTEGER) AS level FROM depth d WHERE NOT EXISTS (SELECT 1 FROM circle k WHERE k.c = d.c AND k.id = d.id) GROUP BY c, id),
+owner AS (SELECT c, id, min((t, pos)) AS own FROM call GROUP BY c, id),
+answer AS (SELECT c, id, min((t, content)) AS own FROM result GROUP BY c, id),
+told AS (
+  SELECT c, t, 0 AS level, 0 AS pos, 'message' AS kind, NULL AS id, 'ok' AS status, CAST(json_object('content', x, 'role', role) AS VARCHAR) AS json FROM m WHERE NOT calling AND NOT answering
+  UNION ALL
+  SELECT k.c, k.t, coalesce(l.level, 2147483647), k.pos, 'call', k.id,
+    CASE WHEN (k.t, k.pos) <> o.own THEN 'repeated id' WHEN l.level IS NULL THEN 'circular' WHEN len(k.problems) > 0 THEN 'invalid' WHEN a.own IS NULL THEN 'no result' ELSE 'ok' END,
+    '{"arguments":' || k.args || ',"id":"' || k.id || '","name":"' || k.name || '","problems":' || CAST(to_json(k.problems) AS VARCHAR) || ',"role":"assistant","type":"tool_call"}'
+  FROM call k JOIN owner o ON o.c = k.c AND o.id = k.id LEFT JOIN level l ON l.c = k.c AND l.id = k.id LEFT JOIN answer a ON a.c = k.c AND a.id = k.id
+  UNION ALL
+  SELECT r.c, coalesce(o.own[1], r.t), CASE WHEN o.own IS NULL THEN 0 ELSE coalesce(l.level, 2147483647) END, coalesce(o.own[2], 0), 'result', r.id,
+    CASE WHEN o.own IS NULL THEN 'no call' WHEN (r.t, r.content) <> a.own THEN 'repeated' ELSE 'ok' END, '{"content":' || r.content || ',"id":"' || r.id || '","role":"tool"}'
+  FROM result r JOIN answer a ON a.c = r.c AND a.id = r.id LEFT JOIN owner o ON o.c = r.c AND o.id = r.id LEFT JOIN level l ON l.c = r.c AND l.id = r.id)
+SELECT c AS conv_id, t AS turn, CAST(level AS INTEGER) AS level, CAST(pos AS INTEGER) AS pos, kind, CAST(id AS VARCHAR) AS call_id, status, json FROM told
 """
 
+# the schedule slot by slot; the weights are those of ``queries.TARGETS``
+OP1 = """
+WITH RECURSIVE w AS (SELECT * FROM (VALUES {weights}) AS w(source, w)),
+placed AS (
+  SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY r, doc_id) - 1 AS pos
+  FROM (SELECT *, substr(md5(concat_ws(chr(31), '0', d, d, s, n)), 1, 12) AS r
+    FROM (SELECT *, coalesce(CAST(doc_id AS VARCHAR), chr(0)) AS d, coalesce(source, chr(0)) AS s, coalesce(CAST(n_chars AS VARCHAR), chr(0)) AS n FROM documents))),
+src AS (
+  SELECT row_number() OVER (ORDER BY CASE WHEN p.source IS NULL THEN 'n' ELSE 's' || p.source END) AS i, p.source, (count(*) + 15) // 16 AS blocks, coalesce(any_value(w.w), 0) AS w
+  FROM placed p LEFT JOIN w USING (source) GROUP BY p.source),
+start AS (SELECT list(blocks ORDER BY i) AS left_, list(w ORDER BY i) AS w, list(0 ORDER BY i) AS used, CAST(len(list(i)) AS BIGINT) AS n FROM src),
+turn AS (
+  SELECT CAST(-1 AS BIGINT) AS slot, CAST(0 AS BIGINT) AS t, left_, used, w, n, CAST(NULL AS BIGINT) AS pick, CAST(NULL AS BIGINT) AS released, CAST(NULL AS BIGINT) AS due, CAST(0 AS BIGINT) AS whole, true AS fresh, [CAST(0 AS BIGINT)] AS share, CAST(0 AS BIGINT) AS q
+  FROM start
+  UNION ALL
+  SELECT slot, t + 1, [CASE WHEN i = pick THEN left_[i] - 1 ELSE left_[i] END for i in range(1, n + 1)], [CASE WHEN i = pick THEN used[i] + 1 ELSE used[i] END for i in range(1, n + 1)],
+    w, n, pick, used[pick] * q // share[pick], ((used[pick] + 1) * q + share[pick] - 1) // share[pick], whole,
+    t + 1 >= whole AND len([1 for i in range(1, n + 1) if share[i] > 0 AND left_[i] - CASE WHEN i = pick THEN 1 ELSE 0 END = 0]) > 0, share, q
+  FROM (
+    SELECT *, list_sort([{{'d': ((used[i] + 1) * q + share[i] - 1) // greatest(share[i], 1), 'i': i}} for i in range(1, n + 1) if share[i] > 0 AND used[i] * q // greatest(share[i], 1) <= t])[1].i AS pick
+    FROM (
+      SELECT *, CASE WHEN fresh THEN list_min([left_[i] // greatest(share[i], 1) for i in range(1, n + 1) if share[i] > 0]) * q ELSE whole0 END AS whole
+      FROM (
+        SELECT *, list_sum(share) AS q
+        FROM (
+          SELECT slot + 1 AS slot, CASE WHEN fresh THEN 0 ELSE t END AS t, left_, CASE WHEN fresh THEN [0 for i in range(1, n + 1)] ELSE used END AS used, w, n, whole AS whole0, fresh,
+            CASE WHEN NOT fresh THEN share WHEN list_sum([CASE WHEN left_[i] > 0 THEN w[i] ELSE 0 END for i in range(1, n + 1)]) > 0 THEN [CASE WHEN left_[i] > 0 THEN w[i] ELSE 0 END for i in range(1, n + 1)]
+              ELSE [CASE WHEN left_[i] > 0 THEN 1 ELSE 0 END for i in range(1, n + 1)] END AS share
+          FROM turn WHERE list_sum(left_) > 0))))),
+slots AS (SELECT slot, pick, released, due, row_number() OVER (PARTITION BY pick ORDER BY slot) AS block FROM turn WHERE slot >= 0)
+SELECT p.doc_id, p.source, p.n_chars, p.pos // 16 + 1 AS mix_block, s.released AS mix_release, s.due AS mix_deadline, s.slot AS mix_slot, s.slot * 16 + p.pos % 16 AS mix_position
+FROM placed p JOIN src ON p.source IS NOT DISTINCT FROM src.source JOIN slots s ON s.pick = src.i AND s.block = p.pos // 16 + 1
+"""
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": OP2, "op3_substring_dedup": OP3, "op5_chat": OP5, "op6_line_dedup": OP6, "op7_neighbours": OP7, "op9_near_dedup": OP9}
+    weights = ", ".join(f"('{k}', {w})" for k, w in TARGETS.items())
+    return {"op1_mixing": OP1.format(weights=weights), "op2_decontaminate": OP2, "op3_substring_dedup": OP3, "op5_chat": OP5, "op6_line_dedup": OP6, "op7_neighbours": OP7, "op9_near_dedup": OP9}
