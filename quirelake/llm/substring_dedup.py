@@ -14,6 +14,9 @@ window that occurs twice shares an indexed block with a rolling probe of its oth
    chunk but the first that holds one.
 4. A chunk marks windows seen in earlier chunks or earlier in itself, and removes their words.
 
+Windows are equal if their 64-bit hashes and 32 bits of a second hash are: among 10^13 windows,
+two different ones agree by chance with a probability of 10^-3.
+
 A chunk sends a hash once however often it holds it, so the largest group of copies costs a
 bucket one entry per chunk. Messages are packed binaries of hashes in ranges.
 """
@@ -113,25 +116,28 @@ def _find_anchors(key: tuple[pa.Scalar, ...], messages: pa.Table) -> pa.Table:
     size = np.diff(np.append(first, len(h)))
     hit = (np.maximum.reduceat(marked, first) > 0) & ((size > 1) | (np.maximum.reduceat(many, first) > 0))
     keep = np.repeat(hit, size)
-    return _answers(key[0].as_py(), chunks, h[keep], owner[keep], _pack48)
+    return _answers(key[0].as_py(), chunks, owner[keep], _pack48, h[keep])
+
+
+def _pack96(one: np.ndarray, two: np.ndarray) -> bytes:
+    return one.astype("<u8").tobytes() + two.astype("<u4").tobytes()
 
 
-def _answers(bucket: int, chunks: list[int], h: np.ndarray, owner: np.ndarray, pack) -> pa.Table:
-    """Hashes (sorted) given back to the chunks they came from."""
+def _answers(bucket: int, chunks: list[int], owner: np.ndarray, pack, *hashes: np.ndarray) -> pa.Table:
+    """Hashes given back to the chunks they came from."""
     order = np.argsort(owner, kind="stable")
-    h, owner = h[order], owner[order]
+    owner, hashes = owner[order], [h[order] for h in hashes]
     edge = np.searchsorted(owner, np.arange(len(chunks) + 1))
-    return _table([(bucket, c, int(edge[k + 1] - edge[k]), pack(h[edge[k] : edge[k + 1]])) for k, c in enumerate(chunks) if edge[k + 1] > edge[k]])
+    return _table([(bucket, c, int(edge[k + 1] - edge[k]), pack(*[h[edge[k] : edge[k + 1]] for h in hashes])) for k, c in enumerate(chunks) if edge[k + 1] > edge[k]])
 
 
 def _received(replies: pa.Table, unpack) -> np.ndarray:
-    parts = [unpack(d.as_py(), n) for d, n in zip(replies.column("payload"), replies.column("n").to_pylist(), strict=True)]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+    return np.concatenate([np.zeros(0, np.uint64), *(unpack(d.as_py(), n) for d, n in zip(replies.column("payload"), replies.column("n").to_pylist(), strict=True))])
 
 
 def _send_windows(width: int, block: int, buckets: int):
     def send(key: tuple[pa.Scalar, ...], docs: pa.Table, replies: pa.Table) -> pa.Table:
-        anchors = _received(replies, _unpack48)
+        anchors = np.sort(_received(replies, _unpack48))
         if not len(anchors) or not docs.num_rows:
             return _table([])
         chunk = key[0].as_py()
@@ -157,7 +163,7 @@ def _send_windows(width: int, block: int, buckets: int):
         one, two = one[new], two[new]
         rows = []
         for b, lo, hi in _slices(_bucket(one >> np.uint64(32), buckets), buckets):
-            rows.append((b, chunk, hi - lo, one[lo:hi].astype("<u8").tobytes() + two[lo:hi].astype("<u4").tobytes()))
+            rows.append((b, chunk, hi - lo, _pack96(one[lo:hi], two[lo:hi])))
         return _table(rows)
 
     return send
@@ -174,23 +180,52 @@ def _find_later(key: tuple[pa.Scalar, ...], messages: pa.Table) -> pa.Table:
     order = np.lexsort((rank, two, one))
     one, two, owner = one[order], two[order], owner[order]
     later = np.concatenate(([False], (one[1:] == one[:-1]) & (two[1:] == two[:-1])))
-    return _answers(key[0].as_py(), chunks, one[later], owner[later], lambda h: h.astype("<u8").tobytes())
+    return _answers(key[0].as_py(), chunks, owner[later], _pack96, one[later], two[later])
+
+
+def _second(words: list[bytes], width: int) -> np.ndarray:
+    return (window_hashes(word_hashes(words) ^ _SECOND, width) >> np.uint64(32)).astype(np.uint32)
+
+
+def _starts_earlier(rolled: list[np.ndarray], texts, seen: tuple[np.ndarray, np.ndarray], width: int) -> np.ndarray:
+    """Of all windows of a chunk in order, which are in ``seen`` or stand earlier in the chunk; ``texts``
+    gives the words of each text again, and the second hash is made where the first one agrees."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *rolled])
+    order = np.argsort(flat, kind="stable")
+    same = flat[order][1:] == flat[order][:-1]
+    known = in_sorted(flat, np.unique(seen[0]))
+    maybe = known.copy()
+    maybe[order[1:]] |= same
+    maybe[order[:-1]] |= same
+    two, at = np.zeros(len(flat), np.uint32), 0
+    for r, words in zip(rolled, texts, strict=True):
+        if maybe[at : at + len(r)].any():
+            two[at : at + len(r)] = _second(words, width)
+        at += len(r)
+    place = np.flatnonzero(maybe)
+    # what is in earlier chunks stands before all of this chunk
+    one = np.concatenate((seen[0], flat[place]))
+    both = np.concatenate((seen[1], two[place]))
+    rank = np.concatenate((np.full(len(seen[0]), -1), place))
+    order = np.lexsort((rank, both, one))
+    one, both, rank = one[order], both[order], rank[order]
+    again = np.concatenate(([False], (one[1:] == one[:-1]) & (both[1:] == both[:-1])))
+    out = np.zeros(len(flat), bool)
+    out[rank[again & (rank >= 0)]] = True
+    return out
 
 
 def _remove(width: int, with_text: bool, schema: pa.Schema):
     def remove(key: tuple[pa.Scalar, ...], docs: pa.Table, replies: pa.Table) -> pa.Table:
-        seen = _received(replies, lambda d, n: np.frombuffer(d, "<u8", n))
+        unpack = lambda k, kind: _received(replies, lambda d, n: np.frombuffer(d, kind, n, 8 * n * k))
+        seen = unpack(0, "<u8").astype(np.uint64), unpack(1, "<u4").astype(np.uint32)
         docs = docs.take(pc.sort_indices(docs, [("id", "ascending"), ("th", "ascending"), ("text", "ascending")], null_placement="at_start"))
         words = list(_texts(docs)) if docs.nbytes < (32 << 20) else None
-        each = words if words is not None else _texts(docs)
-        rolled = [window_hashes(word_hashes(w), width) for w in each]
-        flat = np.concatenate(rolled) if rolled else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        again = np.concatenate(([False], flat[order][1:] == flat[order][:-1])) if len(flat) else np.zeros(0, bool)
-        gone = in_sorted(flat, seen)
-        gone[order] |= again
+        each = lambda: words if words is not None else _texts(docs)
+        rolled = [window_hashes(word_hashes(w), width) for w in each()]
+        gone = _starts_earlier(rolled, each(), seen, width)
         rows, at = [], 0
-        for i, w, r in zip(docs.column("id"), words if words is not None else _texts(docs), rolled, strict=True):
+        for i, w, r in zip(docs.column("id"), each(), rolled, strict=True):
             starts = np.flatnonzero(gone[at : at + len(r)])
             at += len(r)
             out = cover(starts, width, len(w)) if len(starts) else None
