@@ -2,7 +2,8 @@
 
 A linear model over whole-text features is fitted by minimising the non-negative unbiased
 risk  pi R_p(+) + max(0, R_u(-) - pi R_p(-))  with logistic loss: R_p over trusted
-positives, R_u over unlabelled web text, pi the estimated class prior. The fit sees a
+positives, R_u over unlabelled web text, pi the estimated class prior. Labels of bad documents
+are never read: the prior too comes from positives and unlabelled texts alone. The fit sees a
 bounded sample (``n_positive`` and ``n_unlabelled`` documents, least hashes of the id), so
 what reaches the driver has a fixed size; scoring reads every whole text in one scan.
 """
@@ -100,9 +101,21 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
+def risk_step(p: np.ndarray, u: np.ndarray, w: np.ndarray, b: float, prior: float) -> tuple[float, np.ndarray]:
+    """Non-negative PU risk of a linear model on a batch, and the step's direction (weights, then
+    bias): the gradient, or where the negative part falls below zero, up that part's gradient."""
+    zp, zu = p @ w + b, u @ w + b
+    sp, su = 1 / (1 + np.exp(-np.clip(zp, -40, 40))), 1 / (1 + np.exp(-np.clip(zu, -40, 40)))
+    positive = prior * np.logaddexp(0, -zp).mean()
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    g_neg = np.append(su @ u, su.sum()) / len(u) - prior * np.append(sp @ p, sp.sum()) / len(p)
+    if negative < 0:
+        return positive, -g_neg
+    return positive + negative, g_neg - prior * np.append((1 - sp) @ p, (1 - sp).sum()) / len(p)
+
+
 def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: float = 0.02, l2: float = 1e-4, seed: int = 7) -> Model:
-    """Linear model of least non-negative PU risk, by Adam on batches; where the negative part of
-    the risk falls below zero, the step goes up its gradient instead."""
+    """Linear model of least non-negative PU risk, by Adam on batches."""
     both = np.concatenate((p, u))
     mean, scale = both.mean(0), both.std(0) + 0.02
     p, u = (p - mean) / scale, (u - mean) / scale
@@ -110,16 +123,7 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate:
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     rng = np.random.default_rng(seed)
     for t in range(1, steps + 1):
-        bp = p[rng.integers(0, len(p), 1000)]
-        bu = u[rng.integers(0, len(u), 2000)]
-        zp, zu = bp @ w + b, bu @ w + b
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -40, 40))), 1 / (1 + np.exp(-np.clip(zu, -40, 40)))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_neg = np.append(su @ bu, su.sum()) / len(bu) - prior * np.append(sp @ bp, sp.sum()) / len(bp)
-        if negative >= 0:
-            g = g_neg - prior * np.append((1 - sp) @ bp, (1 - sp).sum()) / len(bp)
-        else:
-            g = -g_neg
+        _, g = risk_step(p[rng.integers(0, len(p), 1000)], u[rng.integers(0, len(u), 2000)], w, b, prior)
         g[:-1] += l2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -127,6 +131,45 @@ def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate:
     return Model(mean, scale, w, float(b))
 
 
+def _apart(p: np.ndarray, u: np.ndarray, steps: int = 200, rate: float = 0.05) -> Model:
+    """Logistic model of positives against unlabelled texts, both weighing alike."""
+    x, y = np.concatenate((p, u)), np.repeat([1.0, 0.0], [len(p), len(u)])
+    share = np.repeat([0.5 / len(p), 0.5 / len(u)], [len(p), len(u)])
+    mean, scale = x.mean(0), x.std(0) + 0.02
+    x = (x - mean) / scale
+    w, b = np.zeros(x.shape[1]), 0.0
+    m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for t in range(1, steps + 1):
+        d = (1 / (1 + np.exp(-np.clip(x @ w + b, -40, 40))) - y) * share
+        g = np.append(x.T @ d + 1e-3 * w, d.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    return Model(mean, scale, w, float(b))
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives among the unlabelled, from the scores of held-back rows.
+
+    Either half of the rows is scored by a model of the other half. Above any score, the share of
+    the unlabelled over the share of the positives bounds the prior from above, and is the prior
+    where only positives score so high; of all scores the one of the least bound, with room for
+    chance, is taken.
+    """
+    high_p, high_u = np.zeros(len(p)), np.zeros(len(u))
+    for k in (0, 1):
+        if len(p[1 - k :: 2]) and len(u[1 - k :: 2]):
+            model = _apart(p[1 - k :: 2], u[1 - k :: 2])
+            high_p[k::2], high_u[k::2] = model.score(p[k::2]), model.score(u[k::2])
+    at = np.unique(np.concatenate((high_p, high_u)))
+    q_p = 1 - np.searchsorted(np.sort(high_p), at) / len(p)
+    q_u = 1 - np.searchsorted(np.sort(high_u), at) / len(u)
+    at, q_p, q_u = at[q_p > 0], q_p[q_p > 0], q_u[q_p > 0]
+    room = np.sqrt(np.log(4 / delta) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+    best = int(np.argmin((q_u + room) / q_p))
+    return float(min(max(q_u[best] / q_p[best], 0.05), 0.98))
+
+
 @F.arrow_udf(T.BinaryType())
 def _feature_bytes(text: pa.Array) -> pa.Array:
     return pa.array([features(t.as_py()).tobytes() for t in text], pa.binary())
@@ -148,23 +191,22 @@ def train(
 ) -> Model | None:
     """Model from rows outside the held-out fold; None where there is no positive or no other text.
 
-    The class prior is the share of positives among the labelled rows of the training folds. Rows
-    without an id or a label take no part; a repeated id counts once as a label.
+    Rows without an id or a label take no part. An id counts once, as a positive if none of its
+    labels says otherwise; of rows that share an id, the text of least hash is learnt from. Rows are
+    taken in the order of their ids, so the model doesn't depend on how tables are stored.
     """
+    bound_batches(docs.sparkSession)
     seen = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(~held_out("i")).dropna()
-    prior = seen.agg(F.avg((F.col("y") == 1).cast("double")).alias("p")).first()["p"]
-    if not prior:
-        return None
-    prior = min(max(prior, 0.05), 0.98)
-    rank = F.xxhash64("i")
-    positive = seen.where("y = 1").select("i").distinct().orderBy(rank, "i").limit(n_positive)
+    trusted = seen.groupBy("i").agg(F.min("y").alias("lo"), F.max("y").alias("hi")).where("lo = 1 AND hi = 1")
+    positive = trusted.select("i").orderBy(F.xxhash64("i"), "i").limit(n_positive)
     other = docs.select(F.col(id_col).alias("i")).where(~held_out("i")).dropna().distinct().orderBy(F.xxhash64("i", F.lit(1)), "i").limit(n_unlabelled)
     wanted = positive.select("i", F.lit(1).alias("role")).unionByName(other.select("i", F.lit(0).alias("role")))
     texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(wanted), "i")
-    rows = texts.select("role", _feature_bytes("t").alias("x")).limit(2 * (n_positive + n_unlabelled)).collect()
+    texts = texts.groupBy("role", "i").agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t"))
+    rows = sorted(texts.select("role", "i", _feature_bytes("t").alias("x")).collect(), key=lambda r: r["i"])
     p = np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["role"] == 1], dtype=np.float64)
     u = np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["role"] == 0], dtype=np.float64)
-    return fit_nnpu(p, u, prior) if len(p) and len(u) else None
+    return fit_nnpu(p, u, estimate_prior(p, u)) if len(p) and len(u) else None
 
 
 def score(docs: DataFrame, model: Model | None, text_col: str = "text", out_col: str = "quality_score") -> DataFrame:
