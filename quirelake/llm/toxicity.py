@@ -7,9 +7,11 @@ training time they are as uncertain as they will be on new texts.
 A text's features are the 64-bit hashes of its distinct words (ASCII letters lower-cased,
 runs of other ASCII marks taken as blanks) and of their first four and five bytes. A model
 keeps the features that are clearly more frequent in texts of the category, at most
-``MAX_FEATURES``; a text without any of them is judged by what speaks for no category. The fit sees a bounded sample of labelled rows (``N_POSITIVE`` and
-``N_NEGATIVE`` for each category, least hashes of the id); scoring reads every whole text
-in one scan.
+``MAX_FEATURES``; a text without any of them is judged by what speaks for no category.
+
+The fit sees a bounded sample of labelled rows: ``N_POSITIVE`` and ``N_NEGATIVE`` for each
+category, least hashes of the id, as far as their features take ``MAX_BYTES``. Scoring reads
+every whole text in one scan.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, item_words
+from .common import Stage, bound_batches, item_words
 
 N_POSITIVE, N_NEGATIVE = 2500, 3500
 MAX_FEATURES = 6000
+MAX_BYTES = 96 << 20  # of features that are learnt from
 FOLDS = 4
 THRESHOLD = 0.5
 #: Category, label column and the value that means it; in the order of the chain.
@@ -124,21 +127,34 @@ def _feature_bytes(text: pa.Array) -> pa.Array:
 
 
 def train(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id", text_col: str = "text") -> list[Linear]:
-    """The chain, from labelled rows whose crc32 of the id as text is no multiple of five."""
-    names = [c for _, c, _ in chain]
-    known = labels.select(F.col(id_col).alias("i"), *[F.col(c).cast("int").alias(f"y{k}") for k, c in enumerate(names)]).dropna()
-    known = known.where(F.crc32(F.col("i").cast("string")) % 5 != 0).dropDuplicates(["i"])
+    """The chain, from labelled rows whose crc32 of the id as text is no multiple of five.
+
+    Labels with a null take no part. An id counts once: it is of a category if any of its rows says
+    so; of its texts that of least hash is learnt from. Rows are taken in the order of their ids, so
+    the models don't depend on how tables are stored.
+    """
+    bound_batches(docs.sparkSession)
+    says = [F.max((F.col(c).cast("int") == value).cast("int")).alias(f"y{k}") for k, (_, c, value) in enumerate(chain)]
+    known = labels.dropna(subset=[id_col, *{c for _, c, _ in chain}]).where(F.crc32(F.col(id_col).cast("string")) % 5 != 0)
+    known = known.groupBy(F.col(id_col).alias("i")).agg(*says)
     wanted = None
-    for k, (_, _, value) in enumerate(chain):
-        for yes, size in ((True, N_POSITIVE), (False, N_NEGATIVE)):
-            some = known.where((F.col(f"y{k}") == value) == F.lit(yes)).orderBy(F.xxhash64("i"), "i").limit(size)
+    for k in range(len(chain)):
+        for yes, size in ((1, N_POSITIVE), (0, N_NEGATIVE)):
+            some = known.where(F.col(f"y{k}") == yes).orderBy(F.xxhash64("i"), "i").limit(size)
             wanted = some if wanted is None else wanted.unionByName(some)
-    wanted = wanted.dropDuplicates(["i"])
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(wanted), "i")
-    most = len(chain) * (N_POSITIVE + N_NEGATIVE)
-    rows = texts.select(*[f"y{k}" for k in range(len(chain))], _feature_bytes("t").alias("x")).limit(2 * most).collect()
+    names = [f"y{k}" for k in range(len(chain))]
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(wanted.distinct()), "i")
+    texts = texts.groupBy("i", *names).agg(F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t"))
+    held = Stage(docs.sparkSession).cut(texts.select("i", *names, _feature_bytes("t").alias("x")), "features")
+    taken, ids = 0, []
+    for r in held.select("i", F.octet_length("x").alias("n")).orderBy(F.xxhash64("i"), "i").collect():  # a row for each of the sample
+        if taken + r["n"] <= MAX_BYTES:
+            taken += r["n"]
+            ids.append((r["i"],))
+    chosen = docs.sparkSession.createDataFrame(ids, held.select("i").schema)
+    rows = sorted(held.join(F.broadcast(chosen), "i", "left_semi").collect(), key=lambda r: r["i"])
     xs = [np.frombuffer(r["x"], np.uint64) for r in rows]
-    ys = np.array([[float(r[f"y{k}"] == value) for k, (_, _, value) in enumerate(chain)] for r in rows]).reshape(len(rows), len(chain))
+    ys = np.array([[float(r[c]) for c in names] for r in rows]).reshape(len(rows), len(chain))
     return fit_chain(xs, ys)
 
 
@@ -150,7 +166,6 @@ def score(docs: DataFrame, labels: DataFrame, chain=CHAIN, id_col: str = "doc_id
     row each; without labels of both kinds a category scores near 0 (or near 1 if all have it);
     labelled ids that are null or unknown take no part; other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     models = train(docs, labels, chain, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
