@@ -46,9 +46,13 @@ def _without(words: Column, i: Column) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Columns id, text and rk: a key of id and text, so that null ids join too."""
-    rk = F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), rk.alias("rk"))
+    """Columns id, text and rk, rq: a key of 128 bits of id and text, so that null ids join too."""
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *_keys(id_col, text_col))
+
+
+def _keys(id_col: str, text_col: str) -> list[Column]:
+    known = F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col)
+    return [F.xxhash64(*known).alias("rk"), F.xxhash64(F.lit(3), *known).alias("rq")]
 
 
 def _later_lines(stage: Stage, base: DataFrame, distinct: DataFrame, min_words: int) -> DataFrame:
@@ -58,13 +62,13 @@ def _later_lines(stage: Stage, base: DataFrame, distinct: DataFrame, min_words:
     keyed = long.select("h1", "h2", F.explode(F.array_compact(keys)).alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("key")
     near = stage.cut(keyed.join(shared, "key", "left_semi").select("h1", "h2").distinct(), "half-shared")
-    first = long.join(near, ["h1", "h2"]).select("h1", "h2", "n", F.col("first.id").alias("id"), F.col("first.rk").alias("rk"), F.col("first.pos").alias("pos"))
+    first = long.join(near, ["h1", "h2"]).select("h1", "h2", "n", F.col("first.id").alias("id"), F.col("first.rk").alias("rk"), F.col("first.rq").alias("rq"), F.col("first.pos").alias("pos"))
     # the words of these lines, from the texts of their earliest places
     lines = F.transform(F.col("at"), lambda a: F.struct(a["h1"].alias("h1"), a["h2"].alias("h2"), a["n"].alias("n"), a["pos"].alias("pos"), F.get(F.col("lines"), a["pos"]).alias("line")))
-    at = first.groupBy("rk").agg(F.collect_list(F.struct("h1", "h2", "n", "pos")).alias("at"))
-    texts = base.join(at.hint("shuffle_hash"), "rk").select("id", "rk", "at", F.split("text", "\n").alias("lines"))
-    found = texts.select("id", "rk", F.inline(lines)).dropDuplicates(["h1", "h2"])
-    found = stage.cut(found.select("h1", "h2", "n", F.struct("id", "rk", "pos").alias("first"), F.split(_plain(F.col("line")), " ").alias("words")), "near-lines")
+    at = first.groupBy("rk", "rq").agg(F.collect_list(F.struct("h1", "h2", "n", "pos")).alias("at"))
+    texts = base.join(at, ["rk", "rq"]).select("id", "rk", "rq", "at", F.split("text", "\n").alias("lines"))
+    found = texts.select("id", "rk", "rq", F.inline(lines)).dropDuplicates(["h1", "h2"])
+    found = stage.cut(found.select("h1", "h2", "n", F.struct("id", "rk", "rq", "pos").alias("first"), F.split(_plain(F.col("line")), " ").alias("words")), "near-lines")
 
     # one line is one row until its words are exploded where its window is
     word = found.select("h1", "h2", "n", "words").repartition("h1", "h2").select("h1", "h2", "n", F.posexplode("words").alias("i", "w"))
@@ -100,50 +104,49 @@ def _later_lines(stage: Stage, base: DataFrame, distinct: DataFrame, min_words:
     return stage.cut(both.where(part("x", "ix") == part("y", "iy")).select("h1", "h2").distinct(), "later")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Documents with ``text_col`` reduced to the lines that stay, and n_lines, n_removed added.
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, counts: bool = True) -> DataFrame:
+    """Documents with ``text_col`` reduced to the lines that stay, and with ``counts`` the columns
+    n_lines and n_removed added.
 
     Lines end at \\n; words are runs without ASCII blanks. Near lines count from ``min_words``
     words in both; shorter lines go only when an equal line stands earlier. Defined cases: blank
     lines are kept and never compared; a null text stays null and has no lines; a null id comes
     first; rows with equal ids are ordered by a hash of their text, and rows equal in both get
-    the same result; other columns are kept, and n_lines and n_removed are replaced.
+    the same result; other columns are kept, but with ``counts`` n_lines and n_removed are replaced.
     """
     stage = Stage(docs.sparkSession)
-    docs = docs.drop("n_lines", "n_removed")
+    docs = docs.drop("n_lines", "n_removed") if counts else docs
     base = _rows(docs, id_col, text_col)
     # most texts hold single spaces only, and a search for anything else is cheaper than a pattern
     odd = F.lit(False)
     for blank in ("  ", "\t", "\x0b", "\f", "\r"):
         odd = odd | F.contains("text", F.lit(blank))
     even = base.withColumn("text", F.when(odd, F.regexp_replace("text", _BLANKS, " ")).otherwise(F.col("text")))
-    lines = even.select("id", "rk", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = even.select("id", "rk", "rq", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("p", F.trim("line")).where("p <> ''")
     n = (F.octet_length("p") - F.octet_length(F.replace(F.col("p"), F.lit(" "), F.lit(""))) + 1).cast("int")
     lines = lines.withColumn("n", n)
     kp, ks = _half_keys(F.col("p"), F.col("n"), F.col("n"))
     lp, ls = _half_keys(F.col("p"), F.col("n"), F.col("n") - 1)
-    hashed = lines.select("id", "rk", "pos", "n", F.xxhash64("p").alias("h1"), F.xxhash64(F.lit(7), "p").alias("h2"), kp.alias("kp"), ks.alias("ks"), lp.alias("lp"), ls.alias("ls"))
-    distinct = stage.cut(hashed.groupBy("h1", "h2", "n", "kp", "ks", "lp", "ls").agg(F.min(F.struct("id", "rk", "pos")).alias("first")), "distinct")
+    hashed = lines.select("id", "rk", "rq", "pos", "n", F.xxhash64("p").alias("h1"), F.xxhash64(F.lit(7), "p").alias("h2"), kp.alias("kp"), ks.alias("ks"), lp.alias("lp"), ls.alias("ls"))
+    distinct = stage.cut(hashed.groupBy("h1", "h2", "n", "kp", "ks", "lp", "ls").agg(F.min(F.struct("id", "rk", "rq", "pos")).alias("first")), "distinct")
     later = _later_lines(stage, base, distinct, min_words)
 
-    stay = distinct.select("h1", "h2", "first").join(later, ["h1", "h2"], "left_anti").select("first.rk", "first.pos")
+    stay = distinct.select("h1", "h2", "first").join(later, ["h1", "h2"], "left_anti").select("first.rk", "first.rq", "first.pos")
     at = F.array_sort(F.collect_list("pos"))
-    stay = stay.groupBy("rk").agg(at.alias("__at"))
+    stay = stay.groupBy("rk", "rq").agg(at.alias("__at"))
     # one character a line, up to the last that stays
     gaps = F.transform("__at", lambda p, k: F.concat(F.repeat(F.lit("0"), (p - F.coalesce(F.get(F.col("__at"), k - 1), F.lit(-1)) - 1).cast("int")), F.lit("1")))
-    stay = stay.select(F.col("rk").alias("__rk"), F.array_join(gaps, "").alias("__bits"))
-    keyed = docs.withColumn("__rk", F.xxhash64(F.col(id_col).cast("string"), F.col(id_col).isNull(), F.col(text_col)))
-    held = keyed.join(stay.hint("shuffle_hash"), "__rk", "left")
+    stay = stay.select(F.col("rk").alias("__rk"), F.col("rq").alias("__rq"), F.array_join(gaps, "").alias("__bits"))
+    rk, rq = _keys(id_col, text_col)
+    held = docs.withColumns({"__rk": rk, "__rq": rq}).join(stay, ["__rk", "__rq"], "left")
     blank = lambda s: F.trim(F.translate(s, "\t\x0b\f\r", "    ")) == ""
     split = F.split(text_col, "\n")
     kept = F.zip_with(split, F.split(F.coalesce("__bits", F.lit("")), ""), lambda s, b: F.when(s.isNotNull() & ((b == "1") | blank(s)), s))
     held = held.withColumn("__kept", F.array_compact(kept))
-    return held.select(
-        *[(F.array_join("__kept", "\n") if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns],
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
-        F.when(F.col(text_col).isNull(), 0).otherwise(F.size(split) - F.size("__kept")).cast("long").alias("n_removed"),
-    )
+    n_of = lambda n, name: F.when(F.col(text_col).isNull(), 0).otherwise(n).cast("long").alias(name)
+    added = [n_of(F.size(split), "n_lines"), n_of(F.size(split) - F.size("__kept"), "n_removed")] if counts else []
+    return held.select(*[(F.array_join("__kept", "\n") if c == text_col else F.col(f"`{c}`")).alias(c) for c in docs.columns], *added)
 
 
 def digest(docs: DataFrame) -> DataFrame:
