@@ -5,7 +5,9 @@ quantised and put in the order of a Hilbert curve. Every order is cut into range
 (blocks); a query meets its own block and both neighbours of every curve, and what these
 windows find is merged and ranked by exact distance on the original vectors.
 
-A block holds one part in ``BLOCKS`` of the rows, or ``LEAST`` rows in small tables. The
+A block holds one part in ``BLOCKS`` of the rows, or ``LEAST`` rows in small tables, so a
+query always sees three blocks of several. Where many vectors have one key, blocks without
+rows lie between others; the neighbours of a block are the next ones with rows. The
 cuts come from a bounded sample; every row is indexed. Equal vectors are reduced to the
 ids that can appear in a result before they are dealt, and blocks that are fuller than
 planned are dealt on to several tasks, which each query visits.
@@ -25,7 +27,7 @@ from pyspark.sql.window import Window
 from .common import Stage, bound_batches, empty
 
 CURVES, DIMS, BITS = 24, 16, 2
-BLOCKS, LEAST = 80, 512
+BLOCKS, LEAST = 80, 64
 SAMPLE = 20_000
 K = 10
 REACH = 2.5  # deviations that the grid covers
@@ -109,8 +111,24 @@ def _blocks_of(shared):
     return run
 
 
+def _beside(filled: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each block, the next block with rows before it and behind it; -1 where there is none."""
+    n = len(filled)
+    before, behind, last = np.full(n, -1), np.full(n, -1), -1
+    for k in range(n):
+        before[k] = last
+        last = k if filled[k] else last
+    last = -1
+    for k in range(n - 1, -1, -1):
+        behind[k] = last
+        last = k if filled[k] else last
+    return before, behind
+
+
 def _deal(shared, parts: np.ndarray):
-    """Each candidate to its block of every curve, each query to that block and its neighbours."""
+    """Each candidate to its block of every curve, each query to that block and its neighbours;
+    ``parts`` has the tasks of each block, 0 for one without rows."""
+    beside = [_beside(p > 0) for p in parts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         curves: Curves = shared.value
@@ -122,9 +140,9 @@ def _deal(shared, parts: np.ndarray):
                 b = curves.block(x, c)
                 held = np.flatnonzero(~query)
                 rows, blocks, part, side = [held], [b[held]], [ids.to_numpy()[held] % parts[c, b[held]]], [np.zeros(len(held), bool)]
-                for step in (-1, 0, 1):
-                    near = b[asks] + step
-                    ok = (near >= 0) & (near < curves.blocks)
+                here = b[asks]
+                for near in (beside[c][0][here], here, beside[c][1][here]):
+                    ok = near >= 0
                     n = parts[c, near[ok]]
                     rows.append(np.repeat(asks[ok], n))
                     blocks.append(np.repeat(near[ok], n))
@@ -201,9 +219,10 @@ def nearest(
 
     ``is_query`` is a condition on the id column ``id``; without it, ids divisible by 100 ask.
     Defined cases: vectors that are null, empty, all zero or hold null or non-finite components,
-    and rows without an id, take no part; so do vectors of another length than most of the sample;
-    rows that share the query's id are its own and never its answer; equal distances go to the
-    smaller id; with fewer candidates than ``k`` all are given.
+    and rows without an id, take no part; vectors of different lengths have no distance, so each
+    length is an index of its own; rows that share the query's id are its own and never its answer,
+    of several queries of one id the nearer distance counts; equal distances go to the smaller id;
+    with fewer candidates than ``k`` all are given.
     """
     spark = vectors.sparkSession
     bound_batches(spark)
@@ -211,29 +230,34 @@ def nearest(
     asks = (F.col("id") % 100 == 0) if is_query is None else is_query
     rows = valid_vectors(vectors, id_col, vec_col)
     rows = stage.cut(rows.select("id", asks.alias("asks"), "v"), "valid")
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not sizes:
-        return empty(spark, schema)
-    dim = sizes[0]["d"]
-    rows = rows.where(F.size("v") == dim)
+    found = None
+    for r in rows.groupBy(F.size("v").alias("d")).count().orderBy("d").collect():
+        some = _nearest_of_length(stage, rows.where(F.size("v") == r["d"]), r["d"], k, curves, blocks)
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return empty(spark, "query_id bigint, rank int, vec_id bigint, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    top = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _nearest_of_length(stage: Stage, rows: DataFrame, length: int, k: int, curves: int, blocks: int) -> DataFrame:
+    """What the windows find for queries among vectors of one length, the nearest ``k`` of each window."""
+    spark = stage.spark
     # of equal vectors, only the k + 1 least ids can be an answer
     order = Window.partitionBy("v").orderBy("id")
     ranked = rows.dropDuplicates(["id", "v"]).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).select("id", F.lit(False).alias("asks"), "v")
-    index = stage.cut(ranked.select("id", "asks", _packed("v").alias("vec")), "index")
+    index = stage.cut(ranked.select("id", "asks", _packed("v").alias("vec")), f"index{length}")
     queries = rows.where("asks").select("id", "asks", _packed("v").alias("vec"))
     n = max(1, index.count())
     blocks = max(1, min(blocks, n // LEAST))
     # about SAMPLE rows, chosen by a hash of their ids
     sample = index.where(F.pmod(F.xxhash64("id"), F.lit(n)) < SAMPLE).select("vec").collect()
     shared = spark.sparkContext.broadcast(Curves(np.array([np.frombuffer(r["vec"], np.float64) for r in sample]), blocks, curves))
-    parts = np.ones((curves, blocks), np.int64)
+    parts = np.zeros((curves, blocks), np.int64)
     counted = index.select("vec").mapInArrow(_blocks_of(shared), "c int, b int, n bigint").groupBy("c", "b").agg(F.sum("n").alias("n"))
     for r in counted.collect():  # at most curves * blocks rows
         parts[r["c"], r["b"]] = max(1, -(-r["n"] * blocks // (2 * n)))
     # a query is dealt as one only; as a candidate it is a row of the index
     dealt = index.unionByName(queries).mapInArrow(_deal(shared, parts), "c int, b int, part int, asks boolean, id bigint, vec binary")
-    found = dealt.groupBy("c", "b", "part").applyInArrow(_search(k), "query_id bigint, vec_id bigint, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    top = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return found.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return dealt.groupBy("c", "b", "part").applyInArrow(_search(k), "query_id bigint, vec_id bigint, score double")
