@@ -43,6 +43,7 @@ DELTA = 0.5
 END = b"\n"  # never a word
 FLUSH = 400_000
 HELD = 2_000_000  # transitions of one flush
+PARTS = 512  # of the tasks whose bigrams are summed up first
 ENTRIES = 20_000  # transitions judged at a time
 _MARKS = b".,;:!?)\"'"
 
@@ -125,13 +126,16 @@ def _bigrams(shared):
             total += np.bincount(np.concatenate(wait), minlength=n * n)
         total = total.reshape(n, n)
         rows = np.flatnonzero(total.any(axis=1))
+        part = TaskContext.get().partitionId() % PARTS
         load = [np.flatnonzero(total[r]).astype("<u2").tobytes() + total[r][total[r] > 0].astype("<i8").tobytes() for r in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(load, pa.binary())], ["u", "load"])
+        yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), pa.array(np.full(len(rows), part, np.int32)), pa.array(load, pa.binary())], ["u", "part", "load"])
 
     return run
 
 
 def _add_rows(n: int):
+    """Sum of the rows of a unit: first of one part of the tasks, then of all parts."""
+
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         total = np.zeros(n, np.int64)
         for data in table.column("load"):
@@ -500,7 +504,9 @@ def train(train_texts: DataFrame, stage: Stage, head_size: int = HEAD, clustered
     units = make_units(head, clustered)
     n = units.size
     shared = spark.sparkContext.broadcast(units)
-    table = train_texts.mapInArrow(_bigrams(shared), "u int, load binary").groupBy("u").applyInArrow(_add_rows(n), "u int, load binary")
+    table = train_texts.mapInArrow(_bigrams(shared), "u int, part int, load binary")
+    for by in (["u", "part"], ["u"]):  # no group holds a row of every task
+        table = table.groupBy(*by).applyInArrow(_add_rows(n), "u int, load binary")
     g = np.zeros((n, n), np.int64)
     for r in table.collect():  # at most n rows of n counts
         k = len(r["load"]) // 10
