@@ -44,10 +44,11 @@ def test_mixing(spark):
     again = {r["mix_position"]: r["doc_id"] for r in mixing.mix(frame(spark, rows).repartition(7), {"s0": 3, "s1": 1}, block_rows=2).collect()}
     assert again == {r["mix_position"]: r["doc_id"] for r in got}
     mixing.RUN_ROWS, before = 10, mixing.RUN_ROWS
+    mixing.RUNS, parts = 3, mixing.RUNS
     try:  # the same order, whatever the length of the runs
         short = {r["mix_position"]: r["doc_id"] for r in mixing.mix(frame(spark, rows), {"s0": 3, "s1": 1}, block_rows=2).collect()}
     finally:
-        mixing.RUN_ROWS = before
+        mixing.RUN_ROWS, mixing.RUNS = before, parts
     assert short == again
     assert mixing.mix(frame(spark, rows).limit(0)).count() == 0
     with pytest.raises(ValueError):
@@ -72,6 +73,17 @@ def test_mixing_keeps_the_target_over_many_periods(spark, weights):
     assert t > 6000
 
 
+def test_mixing_spreads_rows_without_ids(spark):
+    """Rows of one id, or none, are ordered by their columns; equal rows are all kept."""
+    docs = spark.createDataFrame([(None, f"t{k // 2}", "s") for k in range(2000)] + [(7, f"u{k}", "s") for k in range(500)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, block_rows=1).collect()
+    assert sorted(r["mix_position"] for r in got) == list(range(2500))
+    order = [r["text"] for r in sorted(got, key=lambda r: r["mix_position"])]
+    assert collections.Counter(order) == collections.Counter(r["text"] for r in docs.collect())
+    first = sum(t.startswith("u") for t in order[:1250])
+    assert 190 < first < 310  # neither kind stands together
+
+
 def test_hilbert_steps_to_neighbours():
     cells = np.array([[x, y] for x in range(8) for y in range(8)])
     key = neighbours.hilbert(cells, 3)
@@ -102,6 +114,43 @@ def test_neighbours(spark):
     assert few == brute_nearest(rows[:3]) and len(few) == 2
 
 
+def test_neighbours_with_repeated_ids_and_lengths(spark):
+    """Each length is searched by itself; of an id's vectors the nearest counts."""
+    rng = np.random.default_rng(7)
+    rows = [(i % 150, rng.normal(size=4 + 2 * (i % 2)).round(2).tolist()) for i in range(400)] + [(100, [1.0, 2.0, 3.0, 4.0]), (100, [0.5, 0.5, 0.5, 0.5])]
+    got = {tuple(r) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = set()
+    for q in (0, 100):
+        best: dict = {}
+        for i, v in rows:
+            for j, x in rows:
+                if i == q and j != q and len(v) == len(x):
+                    best[j] = min(best.get(j, math.inf), float(neighbours.distances(np.array(v), np.array(x)[None])[0]))
+        want |= {(q, r, j, d) for r, (d, j) in enumerate(sorted((d, j) for j, d in best.items())[:10], 1)}
+    assert got == want
+
+
+def test_next_filled_blocks():
+    before, behind = neighbours._beside(np.array([True, False, False, True, True]))
+    assert before.tolist() == [-1, 0, 0, 0, 3] and behind.tolist() == [3, 3, 3, 4, -1]
+
+
+def test_neighbours_recall_in_hot_clusters(spark):
+    """Many vectors of few keys leave blocks empty; what is beside them is still found."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(5, 8))
+    x = centres[rng.integers(0, 5, 3000)] + rng.normal(size=(3000, 8)) * 1e-4
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 3000, 100):
+        d = neighbours.distances(x[q], x)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits / 300 >= 0.9
+
+
 def test_neighbours_recall_in_blocks(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(6000, 16))
@@ -176,6 +225,16 @@ def test_chat(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_chat_of_long_texts(spark):
+    """Arguments and contents of a million characters go through as they are."""
+    text = "漢\"x\\ " * 200_000
+    rows = [call(1, 0, "assistant", {"tool_calls": [{"id": "a", "name": "get", "arguments": {"k": text}}]}), call(1, 1, "tool", {"tool_call_id": "a", "content": text}), call(1, 2, "user", text)]
+    tools = spark.createDataFrame([("get", json.dumps({"properties": {"k": {"type": "string"}}}))], "name string, parameters string")
+    out = {r["kind"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).collect()}
+    assert json.loads(out["call"]["json"])["arguments"]["k"] == json.loads(out["result"]["json"])["content"] == json.loads(out["message"]["json"])["content"] == text
+    assert {r["status"] for r in out.values()} == {"ok"}
+
+
 def test_topological_levels(spark):
     from quirelake.llm.common import Stage
 

@@ -52,6 +52,22 @@ def test_stages(spark, folder, tmp_path):
     assert cp.run(spark, base).count() == after.count()
 
 
+def test_stages_keep_columns_and_awkward_rows(spark, folder):
+    """Columns of the names that operators use inside, null ids, repeated rows and no rows at all."""
+    base, _ = folder
+    docs = spark.createDataFrame(documents(), "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.selectExpr("*", "1 AS found", "2 AS n_lines", "3 AS n_removed", "4 AS rep", "5 AS node", "6 AS id", "7 AS k", "8 AS __at")
+    empty = docs.limit(0)
+    for name, f in cp.STAGES:
+        out, none = f(spark, docs, base), f(spark, empty, base)
+        assert none.count() == 0 and out.columns[: len(docs.columns)] == docs.columns
+        if name != "mixing":
+            assert out.columns == none.columns == docs.columns
+        assert {tuple(r)[5:12] for r in out.collect()} <= {(1, 2, 3, 4, 5, 6, 7)}
+    near = [r["doc_id"] for r in cp.drop_near_copies(spark, docs, base).collect()]
+    assert near.count(5) == 1 and near.count(None) == 1
+
+
 def test_digest_queries_and_sql(spark, folder):
     """Each query runs on a folder of tables; SQL agrees where there is some."""
     duckdb = pytest.importorskip("duckdb")

@@ -62,16 +62,28 @@ def brute_hits(text, items, width=10):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("slice_bytes", [1 << 20, 120])
-def test_decontaminate(spark, slice_bytes):
+@pytest.mark.parametrize("slice_windows", [1 << 20, 7])
+def test_decontaminate(spark, slice_windows):
     rows = documents()
     items = [(1, " ".join(rows[3][1].split()[2:16])), (10, "ONE"), (2, "漢字"), (3, None), (4, ""), (5, rows[8][1]), (5, rows[8][1]), (None, "one"), (6, "no such words here")]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.digest(frame(spark, rows), bench, slice_bytes=slice_bytes).collect()
+    got = decontaminate.digest(frame(spark, rows), bench, slice_windows=slice_windows).collect()
     known = [(i, t) for i, t in items if i is not None and t is not None]
     assert key(tuple(r) for r in got) == key((r[0], *brute_hits(r[1], known)) for r in rows)
     assert decontaminate.digest(frame(spark, rows), bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.remove_contaminated(frame(spark, rows).limit(0), bench).count() == 0
+    assert "found" in decontaminate.remove_contaminated(frame(spark, rows), bench).columns  # a column of the input
+
+
+def test_grams_are_packed():
+    pieces = [("a", b"x y x y x y x".split()), ("b", b"x y x".split()), ("c", [])]
+    grams = decontaminate.Grams(pieces, 3)
+    hashes, groups, place, first, owner = grams.by_size[3]
+    assert len(hashes) == 2 and sorted(grams.window(p, 3) for p in place) == [b"x y x", b"y x y"] and sorted(owner.tolist()) == [0, 0, 1]
+    assert grams.find(b"z x y x y".split()) == ([(1, 5)], {"a", "b"}) and grams.find(b"y x y".split()) == ([(0, 3)], {"a"})
+    long = [("a", [b"w%d" % k for k in range(50)])]
+    parts = list(decontaminate.slices_of(iter([("a", long[0][1][k : k + 9]) for k in range(0, 41, 7)]), 3, 7))
+    assert all(sum(len(t[4]) for t in g.by_size.values()) <= 7 for g in parts)
 
 
 def test_substring_dedup(spark):
@@ -137,6 +149,25 @@ def test_near_duplicates(spark):
     assert near_dedup.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_near_duplicates_with_repeated_ids(spark):
+    """An id with several texts joins what each of them is linked with, in any order of rows."""
+    rng = random.Random(9)
+    rows = []
+    for g in range(20):
+        a, b = ([f"{x}{g}_{rng.randrange(10**6)}" for _ in range(60)] for x in "ab")
+        near = lambda w: " ".join([*w[:30], "edit", *w[31:]])
+        rows += [(4 * g + 1, " ".join(a)), (4 * g + 1, " ".join(b)), (4 * g + 2, near(b)), (4 * g + 3, near(a))]
+    rows += [(1, rows[0][1]), (1, None), (None, rows[0][1]), (None, rows[0][1])]
+    for n in (1, 3, 5):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        got = {(r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(df).collect()}
+        assert got == {(i, c) for i, c in brute_components(rows).items()} | {(None, None)}
+        assert {c for i, c in got if i} == {4 * g + 1 for g in range(20)}
+        kept = [tuple(r) for r in near_dedup.keep_one(df).collect()]
+        assert key(kept) == key({(i, t) for i, t in rows if i is None or i % 4 == 1})  # both texts of an id, once
+
+
 def test_near_duplicates_dense_group(spark):
     """A group whose copies are only partly linked goes through centres, pairs and blocks."""
     import random
@@ -243,13 +274,75 @@ def test_quality(spark):
     assert risk.score(np.array([[1.1], [-1.0]])).round() .tolist() == [1.0, 0.0]
 
 
+def test_quality_learns_the_same_from_any_storage(spark):
+    docs, labels = labelled(n=200)
+    lab = spark.createDataFrame([*labels, *[(3, 1, 0)] * 500], "doc_id long, quality int, toxic int")  # a repeated label counts once
+    df = frame(spark, [*docs, *docs[:40]], clash=False)
+    one, two = quality.train(df, lab), quality.train(df.repartition(7, "text"), lab.repartition(3))
+    plain = quality.train(frame(spark, docs, clash=False), lab.dropDuplicates())
+    assert (one.weight == two.weight).all() and one.bias == two.bias and (one.weight == plain.weight).all()
+
+
+def test_class_prior_without_negatives():
+    rng = np.random.default_rng(4)
+    for prior in (0.3, 0.6, 0.9):
+        p = rng.normal(2, 1, (2000, 3))
+        u = np.concatenate((rng.normal(2, 1, (int(4000 * prior), 3)), rng.normal(-1, 1, (int(4000 * (1 - prior)), 3))))
+        assert abs(quality.estimate_prior(p, rng.permutation(u)) - prior) < 0.06
+
+
+def test_risk_step_against_brute_force():
+    """Risk by its definition, its direction by differences."""
+    rng = np.random.default_rng(6)
+    p, u = rng.normal(1, 1, (30, 4)), rng.normal(0, 1, (50, 4))
+    loss = lambda z: math.log1p(math.exp(-z))
+
+    def parts(w, b, prior):
+        good = prior * sum(loss(x @ w + b) for x in p) / len(p)
+        return good, sum(loss(-(x @ w + b)) for x in u) / len(u) - prior * sum(loss(-(x @ w + b)) for x in p) / len(p)
+
+    for w, b, prior in ((rng.normal(size=4), 0.3, 0.4), (rng.normal(size=4) + 3, 2.0, 0.95)):
+        value, step = quality.risk_step(p, u, w, b, prior)
+        good, bad = parts(w, b, prior)
+        assert abs(value - (good + max(0, bad))) < 1e-9
+        for k in range(5):
+            d = np.zeros(5)
+            d[k] = 1e-6
+            up, down = parts(w + d[:4], b + d[4], prior), parts(w - d[:4], b - d[4], prior)
+            slope = (up[1] - down[1]) / 2e-6
+            want = -slope if bad < 0 else slope + (up[0] - down[0]) / 2e-6
+            assert abs(step[k] - want) < 1e-5
+
+
+def test_chain_learns_from_out_of_fold_predictions():
+    """The later model against one fitted on log odds that are made again, fold by fold."""
+    rng = np.random.default_rng(8)
+    xs = [np.unique(rng.integers(0, 40, 12)).astype(np.uint64) for _ in range(160)]
+    ys = np.array([[float(3 in x or 5 in x), float(3 in x and 7 in x or 9 in x)] for x in xs])
+    first, second = toxicity.fit_chain(xs, ys)
+    fold = np.random.default_rng(11).permutation(len(xs)) % toxicity.FOLDS
+    odds = np.zeros((len(xs), 1))
+    for i, x in enumerate(xs):
+        rest = [j for j in range(len(xs)) if fold[j] != fold[i]]
+        part = toxicity.fit_linear([xs[j] for j in rest], ys[rest, 0], np.zeros((len(rest), 0))) if i == 0 or fold[i] not in seen else seen[fold[i]]
+        seen = {fold[i]: part} if i == 0 else seen | {fold[i]: part}
+        odds[i, 0] = np.clip(part.margin(x, np.zeros(0)), -10, 10)
+    want = toxicity.fit_linear(xs, ys[:, 1], odds)
+    assert np.allclose(second.weight, want.weight) and np.allclose(second.earlier, want.earlier) and second.earlier[0] != 0
+    assert not np.allclose(toxicity.fit_linear(xs, ys[:, 1], np.array([[first.margin(x, np.zeros(0))] for x in xs])).earlier, second.earlier)
+
+
 def test_toxicity(spark):
     docs, labels = labelled()
     lab = spark.createDataFrame([*labels, (None, 1, 1)], "doc_id long, quality int, toxic int")
-    out = toxicity.score(frame(spark, docs + documents()), lab).collect()
+    others = [(r[0] if r[0] is None else r[0] + 1000, *r[1:]) for r in documents()]
+    out = toxicity.score(frame(spark, docs + others), lab).collect()
     truth = {i: t for i, _, t in labels}
     mine = [r for r in out[: len(docs)]]
+    assert np.mean([r["toxic"] == bool(truth[r["doc_id"]]) for r in mine if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]) > 0.95
     assert np.mean([r["toxic"] == bool(truth[r["doc_id"]]) for r in mine]) > 0.97
+    again = toxicity.score(frame(spark, docs + others).repartition(5, "text"), lab.unionByName(lab).repartition(3)).collect()
+    assert {(r["doc_id"], r["toxic_score"]) for r in again} == {(r["doc_id"], r["toxic_score"]) for r in out}
     assert not any(r["toxic"] for r in out[len(docs) :])
     assert toxicity.score(frame(spark, docs), lab.limit(0)).where("toxic").count() == 0
     assert toxicity.score(frame(spark, docs).limit(0), lab).count() == 0
@@ -308,6 +401,38 @@ def test_frames_without_rows_or_with_strange_ids(spark):
     assert line_dedup.dedup_lines(texts).where(F.col("text") == "").count() == 1
 
 
+def test_exchange_makes_the_best_moves():
+    """A word's best class by the whole likelihood, for every class tried; no move is left at the end."""
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 9, (13, 13))
+    g[0, 0] = 0
+
+    def likelihood(cls):
+        k = int(cls.max()) + 1
+        b = np.zeros((k, k))
+        np.add.at(b, (cls[:, None].repeat(13, 1), cls[None, :].repeat(13, 0)), g)
+        log = lambda x: sum(v * math.log(v) for v in x.ravel() if v > 0)
+        return log(b) - log(b.sum(1)) - log(b.sum(0))
+
+    cls = lm_scoring.exchange(g, 4, sweeps=50)
+    for w in range(1, 13):
+        tried = []
+        for c in range(1, 5):
+            other = cls.copy()
+            other[w] = c
+            tried.append(likelihood(other))
+        assert likelihood(cls) >= max(tried) - 1e-9
+    pairs = np.zeros((5, 5))
+    np.add.at(pairs, (cls[:, None].repeat(13, 1), cls[None, :].repeat(13, 0)), g)
+    for w in range(1, 13):  # a word judged by itself, against the same likelihood
+        to, fro = np.bincount(cls, g[w], 5), np.bincount(cls, g[:, w], 5)
+        if g[w, w]:
+            continue
+        at = np.concatenate((np.flatnonzero(to), 5 + np.flatnonzero(fro)))
+        n = np.concatenate((to[to > 0], fro[fro > 0]))
+        assert lm_scoring.best_classes(pairs, np.zeros(len(at), int), at, n, np.array([cls[w]])) == [cls[w]]
+
+
 def test_lm_exchanges_rare_words_by_their_own_transitions(spark):
     """Two rare words of one ending, hence of one group, go to the classes of their neighbours."""
     rng = random.Random(5)
