@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirelake.llm import decontaminate, line_dedup, mixing, near_dedup, quality
+from quirelake.llm.queries import TARGETS
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +23,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts lose lines that stand, equal or near, in an earlier place; n_chars follows the text."""
-    out = line_dedup.dedup_lines(docs).drop("n_lines", "n_removed")
+    out = line_dedup.dedup_lines(docs, counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
@@ -37,8 +38,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their place in an even mixture of the sources."""
-    return mixing.mix(docs)
+    """All documents with their place in the mixture of the sources by their target weights."""
+    return mixing.mix(docs, TARGETS)
 
 
 STAGES = [
