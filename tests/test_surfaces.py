@@ -7,26 +7,33 @@ def flat(h, w, c):
     return np.full((h, w, 3), c, np.uint8)
 
 
-def test_surface_colours():
+def test_surfaces():
     page = flat(40, 120, 245)
     page[12:28, 10:110:12] = 10
     page[12:28, 11:110:12] = 10
-    plain = P.surface_colours(page, flat(4, 50, 245))
-    assert plain["bg_rgb"] == (245, 245, 245) and plain["text_rgb"] is None and plain["ink"].sum() == page[12:28].size // 3 * 0 + (page[..., 0] == 10).sum()
+    plain, ink = P.surface_of(page, flat(4, 50, 245))
+    assert plain.bg_rgb == (245, 245, 245) and plain.text is None and ink.sum() == (page[..., 0] == 10).sum()
     mixed = np.concatenate((flat(4, 50, 245), flat(4, 50, 30)), axis=0)
     chip = flat(40, 120, 0)
     chip[:] = (170, 30, 30)
     chip[14:26, 10:110:8] = 250
     chip[14:26, 11:110:8] = 250
     chip[14:26, 12:110:8] = 250
-    found = P.surface_colours(chip, mixed)
-    assert found["bg_rgb"] == (170, 30, 30)
+    found, _ = P.surface_of(chip, mixed)
+    assert found.bg_rgb == (170, 30, 30) and min(found.text) > 200
     pill = flat(60, 160, 245)
     pill[4:56, 4:156] = (20, 60, 140)
     for x in range(20, 140, 14):
         pill[20:40, x : x + 4] = 240
-    spilled = P.surface_colours(pill, flat(4, 50, 245))
-    assert spilled["bg_rgb"] == (20, 60, 140)
+    spilled, ink = P.surface_of(pill, flat(4, 50, 245))
+    assert spilled.bg_rgb == (20, 60, 140) and min(spilled.text) > 200 and ink[30, 20] and not ink[10, 60]
+    dark = flat(40, 120, 250)
+    dark[8:32, 10:110:6] = 15
+    dark[8:32, 11:110:6] = 15
+    lit, _ = P.surface_of(dark, np.concatenate((flat(4, 50, 250), flat(4, 40, 190)), axis=1).repeat(1, 0)[:, 20:70])
+    assert lit.bg_rgb is not None and min(lit.bg_rgb) > 200
+    noise = np.random.default_rng(1).integers(0, 256, (40, 120, 3)).astype(np.uint8)
+    assert P.surface_of(noise, noise)[0].bg_rgb is None
 
 
 def test_strike_and_raised():
@@ -54,3 +61,91 @@ def test_bands():
     img = flat(200, 60, 250)
     img[10:190, 20:41] = 10
     assert P.vertical_column_px(img, 15, 5, 46, 195) == 21.0
+
+
+def test_glyph_rows_bridge_solid_rows():
+    ink = np.zeros((80, 100), bool)
+    ink[10:50, 10:60] = True
+    ink[25:28] = True  # nearly solid rows inside one band
+    ink[65:70, 10:30] = True
+    rows = P.glyph_rows(ink)
+    assert (rows[0], rows[-1]) == (10, 49) and 26 not in rows and P.band_height(ink) == 60 and not len(P.glyph_rows(ink[:5]))
+
+
+def test_icons_beside_text():
+    ink = np.zeros((60, 200), bool)
+    ink[20:40, 60:180:8] = True
+    ink[2:58, 5:40] = True  # a tall graphic
+    assert P.leading_icon(ink, 61, 180) == 60 and P.leading_icon(ink, 64, 180) == 64
+    assert P.leading_icon(ink[:, 50:], 12, 130) is None and P.leading_icon(ink, 2, 180) is None
+    part = flat(40, 200, 250)
+    part[10:30, 5:25] = (220, 20, 20)
+    part[10:30, 60:150:6] = 10
+    mask = P.distance(part, np.array([250] * 3)) > P.INK
+    assert P.vivid_edges(part, mask) == (60, None)
+    assert P.vivid_edges(part[:, 30:], mask[:, 30:]) == (None, None) and P.vivid_edges(part[:5], mask[:5]) == (None, None)
+
+
+def test_rectify_and_rotate():
+    img = flat(200, 200, 250)
+    yy, xx = np.mgrid[:200, :200] + 0.5
+    t = np.radians(20)
+    u, v = (xx - 100) * np.cos(t) + (yy - 100) * np.sin(t), -(xx - 100) * np.sin(t) + (yy - 100) * np.cos(t)
+    img[(abs(u) < 60) & (abs(v) < 10)] = 10
+    flatly = P.rectify(img, (100, 100), (120, 20), 20, 6)
+    assert flatly.shape == (32, 132, 3) and flatly[16, 20:112].max() < 40 and flatly[1].min() > 220
+    assert (P.rectify(img, (100, 100), (40, 10), 0, 0) == img[95:105, 80:120]).all()
+    turned = P.rotate(img, 20, (250, 250, 250))
+    dark = np.flatnonzero((turned < 100).all(axis=2).any(axis=1))
+    assert dark[-1] - dark[0] < 26 and (P.rotate(img, 0, (0, 0, 0)) == img).all()
+
+
+def test_bridged_runs_and_walks():
+    flags = np.zeros(60, bool)
+    flags[5:10] = flags[15:20] = flags[40:50] = True
+    assert P.bridged_runs(flags).tolist() == [[5, 20], [40, 50]] and P.bridged_runs(flags[:4]).tolist() == []
+    assert P._reach(flags, np.full(60, 5)) == 19 and P._reach(flags, np.full(60, 30)) == 49 and P._reach(flags[:4], np.full(4, 9)) is None
+
+
+def test_arc_geometry_from_ink():
+    img = flat(300, 600, 230)
+    x = np.arange(50, 550)
+    t = (x - 300) / 250
+    y = (80 + 90 * t * t).astype(int)
+    for a, b in zip(x, y):
+        img[b - 18 : b + 18, a] = 20
+    glyph, mid, edge = P.arc_geometry((50, 40, 550, 210), True, 20.0, 1.5, img, (20, 20, 20))
+    assert glyph == 36.0 and abs(mid - 80) < 3 and abs(edge - 170) < 12
+    assert P.arc_geometry((50, 40, 550, 210), False, 20.0, 1.5) == (36.0, 192.0, 58.0)
+    ribbon = flat(200, 200, 250)
+    ribbon[60:120] = (40, 90, 160)
+    top, bottom = P.ribbon_limits(ribbon, 50, 100, 90, 0.0, 40, 140, (40, 90, 160), 20)
+    assert 56 <= top <= 60 and 119 <= bottom <= 122
+    assert P.ribbon_limits(ribbon, 50, 100, 90, 0.0, 70, 110, (40, 90, 160), 20) == (70, 110)  # never grows
+    assert P.ribbon_fill(ribbon, (50, 95, 150)) == (40, 90, 160) and P.ribbon_fill(ribbon[:2], (50, 95, 150)) == (50, 95, 150)
+
+
+def drawn(text, em, bold):
+    """A stand-in for a face: upright strokes, thicker where bold."""
+    grey = np.full((em + 20, 20 + em * len(text)), 255, np.uint8)
+    for k in range(len(text)):
+        for x in range(10 + k * em, 10 + k * em + em - 6, 12):
+            grey[10 : 10 + em, x : x + (8 if bold else 4)] = 0
+    return grey
+
+
+def test_templates():
+    regular, bold = (P.template_stroke(drawn, "資訊", 40, b, 128.0) for b in (False, True))
+    assert 3 < regular < bold
+    assert abs(P.template_weight(drawn, "資訊", 40, regular, 120.0) - 0) < 0.35 and P.template_weight(drawn, "資訊", 40, bold, 120.0) > 0.6
+    assert P.template_weight(drawn, "資", 40, 5.0, 120.0) is None and P.template_weight(lambda *a: None, "資訊", 40, 5.0, 120.0) is None
+    assert P.template_weight(drawn, "資訊", 40, 0.5, 120.0) is None
+    assert P.tight(np.zeros((3, 3), bool)) is None and P.tight(np.eye(5, dtype=bool)[:, 1:4]).shape == (3, 3)
+    img = flat(60, 60, 250)
+    img[10:50, 14:20] = img[10:50, 30:36] = 10
+    same = np.full((60, 60), 255)
+    same[10:50, 14:20] = same[10:50, 30:36] = 0
+    assert P.glyph_overlap(img, (5, 5, 55, 55), same) == 1.0
+    other = np.full((60, 60), 255)
+    other[10:14, 10:50] = other[46:50, 10:50] = 0
+    assert P.glyph_overlap(img, (5, 5, 55, 55), other) < 0.3 and P.glyph_overlap(img, (0, 0, 5, 5), same) is None and P.glyph_overlap(img, (0, 0, 50, 50), None) is None
