@@ -20,9 +20,11 @@ CJK_INK, LATIN_BASE, LATIN_ASC, LATIN_DESC = 0.875, 0.52, 0.22, 0.20
 BLUR_PX = 6.0
 TINY_PT, TINY_CJK_KEEP, TINY_LATIN_KEEP = 9, 0.85, 0.94
 SMALL_PT, SMALL_MIN_SCORE, GLYPH_MIN_SCORE = 14, 0.72, 0.75
+TPL_COMPUTE_PT = 14
 TPL_MIN_PT, MARGINAL_R, BOLD_R, CHROMA_MAX, STROKE_BOLD, AUTO_BOLD_PT = 16, 0.22, 0.13, 15, 0.13, 24
 VOCAB_MIN_SCORE = 0.8
 TITLE_PT = 28
+DECOR_ANGLE, MISREAD_SCORE, MISREAD_IOU = 15, 0.92, 0.30
 ARC_BOX_H, ARC_MIN_SAGITTA = 80, 12
 SLIDE_EMU, EMU_PER_PT, SLIDE_PT = 12192000, 12700, 960
 NARROW_PT = 28
@@ -45,6 +47,6 @@ class Options:
     keep_tiny_text: bool = False
     merge_lines: bool = False
     bold_mode: str = "auto"  # auto, never or always
-    font: str = "Microsoft JhengHei"
+    font: str = "Microsoft YaHei"
     debug: bool = False
     watermark_suffix: str = "NotebookLM"

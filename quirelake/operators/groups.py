@@ -53,33 +53,31 @@ def unify_sizes(lines: DataFrame, edges: DataFrame) -> DataFrame:
     for c in ("max_fit_pt", "clamp_pt"):
         if c not in lines.columns:
             lines = lines.withColumn(c, F.lit(None).cast("double"))
+    # one exchange by page serves the join and every window
     held = grouped(lines, edges)
     w = Window.partitionBy("page", "cc")
     n, bold = F.count(F.lit(1)).over(w), F.sum(F.col("bold").cast("int")).over(w)
     stripped = (bold > 0) & (bold * 2 < n) & P.marginal_bold()
-    held = held.withColumn("bold", F.when(stripped, False).otherwise(F.col("bold")))
-    step = G.ladder_step("font_pt")
-    sizes = held.groupBy("page", "cc", "font_pt").agg(F.count(F.lit(1)).alias("c"))
-    top = sizes.withColumn("k", F.rank().over(w.orderBy(F.desc("c")))).withColumn("step", step)
-    top = top.groupBy("page", "cc").agg(
-        F.count(F.lit(1)).alias("kinds"), F.min("step").alias("lo"), F.max("step").alias("hi"),
-        F.sum((F.col("k") == 1).cast("int")).alias("leaders"), F.min(F.when(F.col("k") == 1, F.col("font_pt"))).alias("leader"),
-    )
-    of = held.groupBy("page", "cc").agg(F.percentile("est_pt", 0.5).alias("median"), F.min(F.least("max_fit_pt", "clamp_pt")).alias("ceiling"))
-    goal = top.where((F.col("kinds") > 1) & (F.col("lo") > 0) & (F.col("hi") - F.col("lo") <= F.col("kinds") - 1)).join(of, ["page", "cc"])
-    target = F.when(F.col("leaders") == 1, F.col("leader")).otherwise(G.snap_font_size("median"))
-    goal = goal.select("page", "cc", target.alias("t"), "ceiling")
-    fit = F.array_max(F.filter(F.array(*[F.lit(float(s)) for s in G.C.FONT_LADDER]), lambda s: s <= F.col("ceiling")))
-    goal = goal.select("page", "cc", F.when(F.col("t") > F.col("ceiling"), F.coalesce(fit, "t")).otherwise(F.col("t")).alias("t"))
-    return held.join(goal, ["page", "cc"], "left").select("page", "pos", "cc", F.coalesce("t", "font_pt").alias("font_pt"), "bold")
+    c = F.count(F.lit(1)).over(Window.partitionBy("page", "cc", "font_pt"))
+    held = held.withColumn("bold", F.when(stripped, False).otherwise(F.col("bold"))).withColumn("__c", c).withColumn("__step", G.ladder_step("font_pt"))
+    held = held.withColumn("__lead", F.when(F.col("__c") == F.max("__c").over(w), F.col("font_pt")))
+    kinds, leaders = F.size(F.collect_set("font_pt").over(w)), F.size(F.collect_set("__lead").over(w))
+    lo, hi = F.min("__step").over(w), F.max("__step").over(w)
+    target = F.when(leaders == 1, F.min("__lead").over(w)).otherwise(G.snap_font_size(F.percentile("est_pt", 0.5).over(w)))
+    held = held.withColumn("__t", F.when((kinds > 1) & (lo > 0) & (hi - lo <= kinds - 1), target))
+    held = held.withColumn("__top", F.min(F.least("max_fit_pt", "clamp_pt")).over(w))
+    fit = F.array_max(F.filter(F.array(*[F.lit(float(s)) for s in G.C.FONT_LADDER]), lambda s: s <= F.col("__top")))
+    goal = F.when(F.col("__t") > F.col("__top"), F.coalesce(fit, "__t")).otherwise(F.col("__t"))
+    return held.select("page", "pos", "cc", F.coalesce(goal, "font_pt").alias("font_pt"), "bold")
 
 
 def median_fill(lines: DataFrame, edges: DataFrame) -> DataFrame:
     """One fill for each chip: page, pos, cc, bg_rgb, the median of each channel, cut to whole numbers."""
     held = grouped(lines.where(F.col("bg_rgb").isNotNull()), edges)
-    mid = held.groupBy("page", "cc").agg(F.count(F.lit(1)).alias("members"), *[F.percentile(f"bg_rgb.{c}", 0.5).cast("int").alias(c) for c in "rgb"])
-    out = held.join(mid, ["page", "cc"])
-    return out.select("page", "pos", "cc", F.when(F.col("members") > 1, F.struct("r", "g", "b")).otherwise(F.struct("bg_rgb.r", "bg_rgb.g", "bg_rgb.b")).alias("bg_rgb"))
+    w = Window.partitionBy("page", "cc")
+    mid = F.struct(*[F.percentile(f"bg_rgb.{c}", 0.5).over(w).cast("int").alias(c) for c in "rgb"])
+    fill = F.when(F.count(F.lit(1)).over(w) > 1, mid).otherwise(F.struct("bg_rgb.r", "bg_rgb.g", "bg_rgb.b"))
+    return held.select("page", "pos", "cc", fill.alias("bg_rgb"))
 
 
 def merge_titles(lines: DataFrame, edges: DataFrame, cjk: Column | None = None, spaced=T.pangu_spacing) -> DataFrame:

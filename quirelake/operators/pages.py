@@ -19,6 +19,7 @@ def page_selection(spark: SparkSession, spec: str, page_count: Column | int) ->
     ends = F.split(F.trim("s"), "-", 2)
     first = F.trim(ends[0]).cast("int")
     last = F.when(F.size(ends) > 1, F.trim(F.get(ends, F.lit(1))).cast("int")).otherwise(first)
+    last = F.least(last, count)  # before the sequence is built
     pages = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
     rows = parts.select("part", F.posexplode(pages).alias("k", "n")).where((F.col("n") >= 1) & (F.col("n") <= count))
     return rows.select(F.row_number().over(Window.orderBy("part", "k")).alias("ord"), (F.col("n") - 1).cast("long").alias("page_no"))
@@ -28,9 +29,11 @@ def keep_confident(lines: DataFrame, min_score: float = 0.5) -> DataFrame:
     return lines.where((T.strip("text") != "") & (F.col("score") >= min_score))
 
 
-def is_watermark(suffix: str, img_w: Column, img_h: Column) -> Column:
+def is_watermark(suffix: str, img_w: Column, img_h: Column, most: int | None = 16) -> Column:
+    """Text of at most ``most`` characters that ends with a mark, in the lower right on a known fill."""
     bare = T.no_spaces("text")
-    return bare.endswith(suffix) & (F.length(bare) <= 16) & (F.col("y0") > img_h * 0.85) & (F.col("x1") > img_w * 0.65) & F.col("bg_rgb").isNotNull()
+    short = F.lit(True) if most is None else F.length(bare) <= most
+    return bare.endswith(suffix) & short & (F.col("y0") > img_h * 0.85) & (F.col("x1") > img_w * 0.65) & F.col("bg_rgb").isNotNull()
 
 
 def is_illegible() -> Column:
@@ -53,9 +56,14 @@ def is_markup_strikethrough() -> Column:
 
 
 def is_axis_label(has_cjk: Column | None = None) -> Column:
-    """Far taller than wide, upright by the detector, and not typeset vertically."""
+    """Far taller than wide, upright by the detector, neither an arc nor typeset vertically."""
     cjk = T.has_cjk("text") if has_cjk is None else has_cjk
-    return (F.col("y1") - F.col("y0") > 2.5 * (F.col("x1") - F.col("x0"))) & cjk
+    return (F.col("y1") - F.col("y0") > 2.5 * (F.col("x1") - F.col("x0"))) & cjk & is_flat() & ~F.coalesce("vertical", F.lit(False))
+
+
+def is_flat() -> Column:
+    """Neither turned nor an arc."""
+    return (F.coalesce("angle", F.lit(0.0)) == 0) & (F.coalesce("arc", F.lit(0.0)) == 0)
 
 
 def is_vertical_cjk() -> Column:
@@ -77,9 +85,10 @@ def small_line() -> Column:
     return (F.col("font_pt") <= 14.0) | (F.col("score") < 0.8)
 
 
-def decorative_icons(lines: DataFrame, min_pt: float = 28) -> DataFrame:
-    """Single letters of title size with no other line in their row."""
-    icon = lines.where(T.strip("text").rlike("^[A-Za-z]$") & (F.col("font_pt") >= min_pt)).alias("a")
+def decorative_icons(lines: DataFrame, min_pt: float = 28, icon: Column | None = None) -> DataFrame:
+    """Single letters (or what ``icon`` says) of title size with no other line in their row."""
+    letter = T.strip("text").rlike("^[A-Za-z]$") if icon is None else icon
+    icon = lines.where(letter & (F.col("font_pt") >= min_pt)).alias("a")
     other = lines.select("page", "pos", "y0", "y1").alias("b")
     h = F.greatest(F.lit(1.0), G.height("a"))
     row = (F.col("a.page") == F.col("b.page")) & (F.col("a.pos") != F.col("b.pos")) & (G.y_overlap("a", "b") > 0.3 * h)

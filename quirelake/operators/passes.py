@@ -2,7 +2,9 @@
 
 These rules read what earlier steps of the same pass wrote, so a set formulation would give
 other results. A page crosses into Python once and all its passes run there in sequence;
-pages are independent groups.
+pages are independent groups. What boxes and colours alone decide about a pair of lines is
+tested on arrays, for a block of lines against all others at a time, so a page of n lines takes
+n * n of the cheapest operations and memory for ``CELLS`` pairs; rules run on the pairs left.
 """
 
 from __future__ import annotations
@@ -11,16 +13,24 @@ from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field, replace
 from statistics import median
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .. import config as C
 
 LADDER = tuple(float(s) for s in C.FONT_LADDER)
+CELLS = 1 << 18
 COLUMNS = (
     "page", "pos", "text", "x0", "y0", "x1", "y1", "score", "angle", "arc", "font_pt", "est_pt", "bold", "stroke_rel", "bold_r",
     "text_rgb", "bg_rgb", "max_fit_pt", "clamp_pt", "ink_top_px", "ink_bottom_px",
 )
+#: Columns that may be missing, which is as if they were null.
+MAYBE = {
+    "cx": "double", "cy": "double", "w": "double", "h": "double", "vertical": "boolean", "shifted": "boolean", "glyph_iou": "double",
+    "bg_segments": "array<struct<x0:double,x1:double,rgb:struct<r:int,g:int,b:int>>>",
+}
 SCHEMA = (
     "page bigint, pos bigint, ord int, text string, x0 double, y0 double, x1 double, y1 double, score double, font_pt double, bold boolean,"
     " text_rgb array<int>, bg_rgb array<int>, block int, align string"
@@ -72,6 +82,15 @@ class Row:
     clamp_pt: float | None = None
     ink_top_px: float | None = None
     ink_bottom_px: float | None = None
+    cx: float | None = None
+    cy: float | None = None
+    bw: float | None = None
+    bh: float | None = None
+    vertical: bool = False
+    shifted: bool = False
+    glyph_iou: float | None = None
+    segments: bool = False
+    merged: bool = False
     members: list[int] = field(default_factory=list)
 
     @property
@@ -114,22 +133,49 @@ def marginal(r: Row) -> bool:
     return r.bold and r.bold_r is not None and r.font_pt >= C.TPL_MIN_PT and r.bold_r < C.MARGINAL_R
 
 
-def clusters(n: int, linked) -> list[list[int]]:
-    """Groups of 0..n-1 joined by linked(i, j), in order of their first member."""
-    left, out = list(range(n)), []
-    while left:
-        group, rest = [left[0]], left[1:]
-        k = 0
-        while k < len(group):
-            more = [j for j in rest if linked(group[k], j)]
-            rest = [j for j in rest if j not in set(more)]
-            group += more
-            k += 1
-        left = rest
-        out.append(sorted(group))
+def columns_of(rows: list[Row], *names: str) -> list[np.ndarray]:
+    return [np.array([getattr(r, n) for r in rows], float) for n in names]
+
+
+def pairs_where(rows: list[Row], test) -> list[tuple[int, int]]:
+    """Pairs i <> j, in the order of i and then j, for which ``test(a, b)`` holds; a and b give boxes
+    (x0, y0, x1, y1, w, h) as arrays that broadcast."""
+    n = len(rows)
+    boxes = dict(zip(("x0", "y0", "x1", "y1", "w", "h"), columns_of(rows, "x0", "y0", "x1", "y1", "w", "h"), strict=True))
+    out = []
+    step = max(1, CELLS // max(1, n))
+    for k in range(0, n, step):
+        a = {c: v[k : k + step, None] for c, v in boxes.items()}
+        hit = test(a, boxes)
+        i, j = np.nonzero(hit)
+        some = i + k != j
+        out += zip((i[some] + k).tolist(), j[some].tolist(), strict=True)
     return out
 
 
+def over(a: dict, b: dict, axis: str) -> np.ndarray:
+    return np.minimum(a[f"{axis}1"], b[f"{axis}1"]) - np.maximum(a[f"{axis}0"], b[f"{axis}0"])
+
+
+def groups_by(n: int, links) -> list[list[int]]:
+    """Groups of 0..n-1 joined by pairs, in order of their first member."""
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for i, j in links:
+        a, b = root(i), root(j)
+        parent[max(a, b)] = min(a, b)
+    out: dict[int, list[int]] = {}
+    for i in range(n):
+        out.setdefault(root(i), []).append(i)
+    return list(out.values())
+
+
 # ---------------------------------------------------------------- drops
 
 
@@ -148,34 +194,50 @@ def weak(r: Row) -> bool:
     return r.font_pt <= C.TINY_PT or (r.font_pt <= 20 and len(bare) <= 2 and not any(map(is_cjk, bare)))
 
 
-def near(a: Row, b: Row) -> bool:
-    pad = 2 * a.h
-    return b.x0 < a.x1 + pad and b.x1 > a.x0 - pad and b.y0 < a.y1 + pad and b.y1 > a.y0 - pad
+def near(a: dict, b: dict) -> np.ndarray:
+    """b meets a's box padded by two of a's heights."""
+    pad = 2 * a["h"]
+    return (b["x0"] < a["x1"] + pad) & (b["x1"] > a["x0"] - pad) & (b["y0"] < a["y1"] + pad) & (b["y1"] > a["y0"] - pad)
 
 
-def twin(a: Row, b: Row) -> bool:
-    tall = max(a.h, b.h)
-    return a.font_pt == b.font_pt and abs(a.h - b.h) <= 0.3 * tall and xov(a, b) >= 0.6 * min(a.w, b.w) and -yov(a, b) <= 0.8 * tall
+def stacked_alike(a: dict, b: dict) -> np.ndarray:
+    tall = np.maximum(a["h"], b["h"])
+    return (np.abs(a["h"] - b["h"]) <= 0.3 * tall) & (over(a, b, "x") >= 0.6 * np.minimum(a["w"], b["w"])) & (-over(a, b, "y") <= 0.8 * tall)
+
+
+def crossing(a: Row, b: Row) -> bool:
+    """Steeply turned lines without CJK text whose turned boxes meet: decoration."""
+    if any(abs(r.angle) < C.DECOR_ANGLE or r.cx is None or r.bw is None or any(map(is_cjk, r.text)) for r in (a, b)):
+        return False
+    t = np.radians(a.angle)
+    dx, dy = b.cx - a.cx, b.cy - a.cy
+    return abs(dx * np.cos(t) + dy * np.sin(t)) < (a.bw + b.bw) / 2 and abs(dy * np.cos(t) - dx * np.sin(t)) < (a.bh + b.bh) / 2
 
 
 def junk(rows: list[Row]) -> set[int]:
-    """Indices of rows that are illegible, and of those that stand with them.
+    """Indices of rows that are illegible or cross each other turned, and of those that stand with them.
 
     A weak row by dropped ones, with no strong kept row by it, goes; so does a small row with a
     dropped twin. Both tests only become truer as rows go, so the outcome has no order.
     """
     out = {i for i, r in enumerate(rows) if illegible(r)}
+    turned = [i for i, r in enumerate(rows) if abs(r.angle) >= C.DECOR_ANGLE]
+    for k, i in enumerate(turned):
+        for j in turned[k + 1 :]:
+            if crossing(rows[i], rows[j]):
+                out |= {i, j}
     frail = [weak(r) for r in rows]
-    around = [[j for j, b in enumerate(rows) if j != i and near(a, b)] if frail[i] else [] for i, a in enumerate(rows)]
-    mates = [[j for j, b in enumerate(rows) if j != i and twin(a, b)] if a.font_pt <= C.SMALL_PT else [] for i, a in enumerate(rows)]
+    around: dict[int, list[int]] = {}
+    mates: dict[int, list[int]] = {}
+    for i, j in pairs_where(rows, near):
+        if frail[i]:
+            around.setdefault(i, []).append(j)
+    for i, j in pairs_where(rows, stacked_alike):
+        if rows[i].font_pt <= C.SMALL_PT and rows[i].font_pt == rows[j].font_pt:
+            mates.setdefault(i, []).append(j)
     while True:
-        more = set()
-        for i in range(len(rows)):
-            if i in out:
-                continue
-            flooded = frail[i] and any(j in out for j in around[i]) and all(j in out or frail[j] for j in around[i])
-            if flooded or any(j in out for j in mates[i]):
-                more.add(i)
+        flooded = {i for i, js in around.items() if i not in out and any(j in out for j in js) and all(j in out or frail[j] for j in js)}
+        more = flooded | {i for i, js in mates.items() if i not in out and any(j in out for j in js)}
         if not more:
             return out
         out |= more
@@ -190,10 +252,14 @@ def unreproducible(rows: list[Row]) -> set[int]:
             return False
         return all(j == i or yov(r, o) <= 0.3 * max(1.0, r.h) for j, o in enumerate(rows))
 
-    def turned(r: Row) -> bool:
-        return r.h > 2.5 * r.w and r.flat and any(map(is_cjk, r.text))
+    def axis(r: Row) -> bool:
+        return r.h > 2.5 * r.w and not r.vertical and r.flat and any(map(is_cjk, r.text))
+
+    def misread(r: Row) -> bool:
+        t = r.text.strip()
+        return len(t) == 1 and is_cjk(t) and r.score < C.MISREAD_SCORE and r.glyph_iou is not None and r.glyph_iou < C.MISREAD_IOU
 
-    return {i for i, r in enumerate(rows) if icon(i, r) or ("==" in r.text and "×" in r.text) or turned(r)}
+    return {i for i, r in enumerate(rows) if icon(i, r) or ("==" in r.text and "×" in r.text) or axis(r) or misread(r) or r.shifted}
 
 
 # ---------------------------------------------------------------- titles
@@ -225,7 +291,8 @@ def merge_titles(rows: list[Row]) -> list[Row]:
     rows = sorted(rows, key=lambda r: r.x0)
     fold = str.maketrans(C.FOLD_FROM, C.FOLD_TO)
     out = []
-    for group in clusters(len(rows), lambda i, j: same_title(rows[i], rows[j])):
+    side = pairs_where(rows, lambda a, b: over(a, b, "y") >= 0.6 * np.minimum(a["h"], b["h"]))
+    for group in groups_by(len(rows), ((i, j) for i, j in side if i < j and same_title(rows[i], rows[j]))):
         parts = [rows[i] for i in group]
         if len(parts) == 1:
             out.append(parts[0])
@@ -239,7 +306,7 @@ def merge_titles(rows: list[Row]) -> list[Row]:
         out.append(
             replace(
                 best, pos=parts[0].pos, text=pangu(text).strip(), x0=parts[0].x0, y0=min(p.y0 for p in parts), x1=end, y1=max(p.y1 for p in parts),
-                score=min(p.score for p in parts), angle=0.0, arc=0.0, members=[p.pos for p in parts],
+                score=min(p.score for p in parts), angle=0.0, arc=0.0, members=[p.pos for p in parts], merged=True,
             )
         )
     return out
@@ -250,18 +317,18 @@ def merge_titles(rows: list[Row]) -> list[Row]:
 
 def level_stacks(rows: list[Row]) -> None:
     """Overlapping or adjacent rows of one card take the smaller size."""
-    for i, a in enumerate(rows):
-        for b in rows[i + 1 :]:
-            if a.font_pt == b.font_pt or a.bold != b.bold or step(a.font_pt) is None or step(b.font_pt) is None:
-                continue
-            if xov(a, b) < 0.4 * min(a.w, b.w) or far(a.text_rgb, b.text_rgb) > 45 or not same_fill(a, b, 30):
-                continue
-            h = min(a.h, b.h)
-            beside = min(abs(a.y1 - b.y0), abs(b.y1 - a.y0)) <= 0.5 * h
-            alike = min(a.band, b.band) > 0 and abs(a.band - b.band) <= 0.15 * max(a.band, b.band)
-            small = a if a.font_pt < b.font_pt else b
-            if yov(a, b) > 0.12 * h or (beside and alike and small.font_pt < snap(small.est_pt)):
-                a.font_pt = b.font_pt = small.font_pt
+    for i, j in pairs_where(rows, lambda a, b: over(a, b, "x") >= 0.4 * np.minimum(a["w"], b["w"])):
+        a, b = rows[i], rows[j]
+        if i > j or a.font_pt == b.font_pt or a.bold != b.bold or step(a.font_pt) is None or step(b.font_pt) is None:
+            continue
+        if far(a.text_rgb, b.text_rgb) > 45 or not same_fill(a, b, 30):
+            continue
+        h = min(a.h, b.h)
+        beside = min(abs(a.y1 - b.y0), abs(b.y1 - a.y0)) <= 0.5 * h
+        alike = min(a.band, b.band) > 0 and abs(a.band - b.band) <= 0.15 * max(a.band, b.band)
+        small = a if a.font_pt < b.font_pt else b
+        if yov(a, b) > 0.12 * h or (beside and alike and small.font_pt < snap(small.est_pt)):
+            a.font_pt = b.font_pt = small.font_pt
 
 
 def wrapped(a: Row, b: Row) -> bool:
@@ -279,7 +346,8 @@ def wrapped(a: Row, b: Row) -> bool:
 
 def unify_wraps(rows: list[Row]) -> None:
     some = [r for r in rows if r.flat and r.est_pt > 0]
-    for group in clusters(len(some), lambda i, j: wrapped(some[i], some[j]) or wrapped(some[j], some[i])):
+    below = lambda a, b: (b["y0"] >= a["y0"]) & (b["y0"] - a["y1"] < 0.45 * np.minimum(a["h"], b["h"])) & (over(a, b, "x") >= 0.4 * np.minimum(a["w"], b["w"]))
+    for group in groups_by(len(some), [(i, j) for i, j in pairs_where(some, below) if wrapped(some[i], some[j])]):
         g = [some[i] for i in group]
         if 0 < 2 * sum(r.bold for r in g) < len(g):
             for r in [r for r in g if marginal(r)]:
@@ -421,14 +489,10 @@ def clamp_to_neighbour(rows: list[Row], px_to_pt: float) -> None:
 
 
 def unify_chips(rows: list[Row]) -> None:
-    some = [r for r in rows if r.flat and r.bg_rgb is not None]
-
-    def mates(i: int, j: int) -> bool:
-        a, b = some[i], some[j]
-        stacked = -yov(a, b) <= 0.6 * min(a.h, b.h) and xov(a, b) >= 0.5 * min(a.w, b.w)
-        return stacked and far(a.text_rgb, b.text_rgb) <= 25 and far(a.bg_rgb, b.bg_rgb) <= 40
-
-    for group in clusters(len(some), mates):
+    some = [r for r in rows if r.flat and r.bg_rgb is not None and not r.segments]
+    stacked = lambda a, b: (-over(a, b, "y") <= 0.6 * np.minimum(a["h"], b["h"])) & (over(a, b, "x") >= 0.5 * np.minimum(a["w"], b["w"]))
+    alike = lambda a, b: far(a.text_rgb, b.text_rgb) <= 25 and far(a.bg_rgb, b.bg_rgb) <= 40
+    for group in groups_by(len(some), [(i, j) for i, j in pairs_where(some, stacked) if i < j and alike(some[i], some[j])]):
         if len(group) > 1:
             mid = tuple(int(median(some[i].bg_rgb[c] for i in group)) for c in range(3))
             for i in group:
@@ -498,19 +562,28 @@ def rows_of(page: pd.DataFrame) -> list[Row]:
     rgb = lambda v: None if v is None else tuple(int(x) for x in v)
     out = []
     for r in page.sort_values("pos").to_dict("records"):
+        own = {k: null(r[c]) for k, c in (("cx", "cx"), ("cy", "cy"), ("bw", "w"), ("bh", "h"), ("glyph_iou", "glyph_iou"))}
+        segments = r["bg_segments"] is not None and len(r["bg_segments"]) > 1
         out.append(
             Row(
                 int(r["pos"]), r["text"] or "", r["x0"], r["y0"], r["x1"], r["y1"], r["score"], r["font_pt"], r["est_pt"], bool(r["bold"]), r["stroke_rel"], null(r["bold_r"]),
-                rgb(r["text_rgb"]) or (0, 0, 0), rgb(r["bg_rgb"]), r["angle"] or 0.0, r["arc"] or 0.0, null(r["max_fit_pt"]), null(r["clamp_pt"]), null(r["ink_top_px"]), null(r["ink_bottom_px"]),
+                rgb(r["text_rgb"]) or (0, 0, 0), rgb(r["bg_rgb"]), null(r["angle"]) or 0.0, null(r["arc"]) or 0.0, null(r["max_fit_pt"]), null(r["clamp_pt"]), null(r["ink_top_px"]), null(r["ink_bottom_px"]),
+                **own, vertical=r["vertical"] is True, shifted=r["shifted"] is True, segments=segments,
             )
         )
     return out
 
 
+def whole(lines: DataFrame) -> DataFrame:
+    """The columns that the passes read, with nulls for what is missing."""
+    return lines.select(*COLUMNS, *[(F.col(c) if c in lines.columns else F.lit(None)).cast(t).alias(c) for c, t in MAYBE.items()])
+
+
 def run_passes(lines: DataFrame, options: C.Options | None = None, px_to_pt: float = 0.5) -> DataFrame:
     """Lines after all passes, with the block each belongs to and its alignment.
 
-    lines has the columns of ``COLUMNS``, colours as arrays of three. A page of no lines gives none.
+    lines has the columns of ``COLUMNS`` and what there is of ``MAYBE``, colours as arrays of three. A
+    page of no lines gives none.
     """
     options = options or C.Options()
 
@@ -521,7 +594,7 @@ def run_passes(lines: DataFrame, options: C.Options | None = None, px_to_pt: flo
             out += [(int(pdf["page"].iloc[0]), r.pos, len(out) + i, r.text, r.x0, r.y0, r.x1, r.y1, r.score, r.font_pt, r.bold, list(r.text_rgb), None if r.bg_rgb is None else list(r.bg_rgb), k, side) for i, r in enumerate(g)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return lines.select(*COLUMNS).groupBy("page").applyInPandas(page, SCHEMA)
+    return whole(lines).groupBy("page").applyInPandas(page, SCHEMA)
 
 
 def flood(lines: DataFrame) -> DataFrame:
@@ -532,4 +605,4 @@ def flood(lines: DataFrame) -> DataFrame:
         gone = junk(rows)
         return pd.DataFrame({"page": int(pdf["page"].iloc[0]), "pos": [r.pos for r in rows], "dropped": [i in gone for i in range(len(rows))]})
 
-    return lines.select(*COLUMNS).groupBy("page").applyInPandas(page, "page bigint, pos bigint, dropped boolean")
+    return whole(lines).groupBy("page").applyInPandas(page, "page bigint, pos bigint, dropped boolean")

@@ -97,8 +97,9 @@ def free_bands(lines: DataFrame, short: Column, page_h: Column) -> DataFrame:
     return bands.alias("a").join(other.alias("b"), (F.col("a.page") == F.col("b.page")) & G.boxes_overlap("a", "b", 0.3), "left_anti").select("page", "pos", "band", "y0", "y1")
 
 
-def code_siblings(lines: DataFrame, latin: Column, wide: Column) -> DataFrame:
-    """Sizes of code lines that stand by a smaller line with CJK text: page, pos, font_pt.
+def code_siblings(lines: DataFrame, wide: Column | None = None, marks: str = "_`") -> DataFrame:
+    """Sizes of code lines (flat, no wide text, with an underscore or a backtick) that stand by a smaller
+    line with CJK text: page, pos, font_pt.
 
     Writers hold no CJK and sources do, so no row reads what another wrote; of several sources the
     first in order counts.
@@ -106,7 +107,9 @@ def code_siblings(lines: DataFrame, latin: Column, wide: Column) -> DataFrame:
     h = F.least(G.height("a"), G.height("b"))
     close = (F.abs(F.col("a.x0") - F.col("b.x0")) <= 0.5 * h) & (-G.y_overlap("a", "b") <= 0.6 * h)
     like = G.colours_near("a", "b", "bg_rgb", 25) & G.colours_near("a", "b", "text_rgb", 45)
-    marked = lines.withColumn("__latin", latin).withColumn("__wide", wide)
+    wide = T.has_cjk("text") if wide is None else wide
+    code = P.is_flat() & ~wide & T.is_pure_latin("text") & F.col("text").rlike(f"[{marks}]")
+    marked = lines.withColumn("__latin", code).withColumn("__wide", wide)
     on = F.col("a.__latin") & F.col("b.__wide") & (F.col("b.font_pt") < F.col("a.font_pt")) & close & like
     joined = pairs(marked, on, ordered=False).groupBy(F.col("a.page").alias("page"), F.col("a.pos").alias("pos"))
     return joined.agg(F.min(F.struct(F.col("b.pos").alias("p"), F.col("b.font_pt").alias("font_pt")))["font_pt"].alias("font_pt"))
@@ -118,12 +121,13 @@ def title_edges(lines: DataFrame) -> DataFrame:
     gap = F.when(F.col("a.x0") <= F.col("b.x0"), F.col("b.x0") - F.col("a.x1")).otherwise(F.col("a.x0") - F.col("b.x1"))
     same = (F.col("a.font_pt") >= C.TITLE_PT) & (F.col("b.font_pt") >= C.TITLE_PT) & (F.col("a.bold") == F.col("b.bold"))
     back = F.col("a.bg_rgb").isNull() == F.col("b.bg_rgb").isNull()
-    return ids(pairs(lines, same & (G.y_overlap("a", "b") >= 0.6 * h) & (gap <= 0.8 * h) & G.colours_near("a", "b", "text_rgb", 45) & back))
+    flat = lines.where(P.is_flat())
+    return ids(pairs(flat, same & (G.y_overlap("a", "b") >= 0.6 * h) & (gap <= 0.8 * h) & G.colours_near("a", "b", "text_rgb", 45) & back))
 
 
 def wrap_edges(lines: DataFrame) -> DataFrame:
     """Neighbouring lines of one paragraph. For lines of equal top either may be the upper one."""
-    marked = lines.where("est_pt > 0").withColumn("__weak", P.marginal_bold() | P.auto_bold_only())
+    marked = lines.where((F.col("est_pt") > 0) & P.is_flat()).withColumn("__weak", P.marginal_bold() | P.auto_bold_only())
     h = F.least(G.height("a"), G.height("b"))
     gap = F.col("b.y0") - F.col("a.y1")
     weight = (F.col("a.bold") == F.col("b.bold")) | F.when(F.col("a.bold"), F.col("a.__weak")).otherwise(F.col("b.__weak"))
@@ -137,8 +141,10 @@ def wrap_edges(lines: DataFrame) -> DataFrame:
 
 
 def chip_edges(lines: DataFrame) -> DataFrame:
-    """Stacked lines on one chip."""
-    filled = lines.where(F.col("bg_rgb").isNotNull())
+    """Stacked lines on one chip; lines of several fills are of none."""
+    filled = lines.where(F.col("bg_rgb").isNotNull() & P.is_flat())
+    if "bg_segments" in lines.columns:
+        filled = filled.where(F.coalesce(F.size("bg_segments"), F.lit(0)) < 2)
     h = F.least(G.height("a"), G.height("b"))
     on = (
         (-G.y_overlap("a", "b") <= 0.6 * h) & (G.x_overlap("a", "b") >= 0.5 * F.least(G.width("a"), G.width("b")))

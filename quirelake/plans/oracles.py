@@ -23,7 +23,10 @@ SELECT r.doc_id AS page, CAST(r.pos AS BIGINT) AS pos, r.line AS text, CAST(leng
   CAST((r.doc_id*11 + r.pos*5) % 20 AS DOUBLE) / CAST(100 AS DOUBLE) AS stroke_rel,
   CASE WHEN r.pos % 3 = 0 THEN NULL ELSE CAST((r.doc_id*13 + r.pos*7) % 60 - 20 AS DOUBLE) / CAST(100 AS DOUBLE) END AS bold_r,
   CAST((r.doc_id*3 + r.pos) % 4 * 40 AS INT) AS text_r,
-  CAST((r.doc_id*5 + r.pos) % 4 * 20 AS INT) AS bg_r
+  CAST((r.doc_id*5 + r.pos) % 4 * 20 AS INT) AS bg_r,
+  CASE (r.doc_id*17 + r.pos*11) % 23 WHEN 5 THEN 20.0::DOUBLE WHEN 9 THEN -18.0::DOUBLE ELSE 0.0::DOUBLE END AS angle,
+  CASE WHEN (r.doc_id*17 + r.pos*11) % 23 NOT IN (5, 9) AND (r.doc_id*3 + r.pos*7) % 29 = 4 THEN 16.0::DOUBLE ELSE 0.0::DOUBLE END AS arc,
+  (r.doc_id + r.pos*5) % 31 = 6 AS vertical
 FROM raw_lines r JOIN (VALUES {_LADDER}) AS ladder(idx, pt) ON ladder.idx = (r.doc_id*5 + r.pos*3) % 19
 WHERE length(trim(replace(replace(r.line, chr(9), ' '), chr(13), ' '))) > 0)
 """
@@ -43,6 +46,7 @@ _PAIR = "FROM {t} a JOIN {t} b ON a.page = b.page AND a.pos < b.pos"
 _BOTH = "FROM {t} a JOIN {t} b ON a.page = b.page AND a.pos <> b.pos"
 _OVER = f"{_XO} > 0 AND {_YO} > 0 AND {_XO} * {_YO} > 0.3 * greatest(1.0, least({_W.format('a')} * {_H.format('a')}, {_W.format('b')} * {_H.format('b')}))"
 _CJK = f"[{C.CJK_CLASS}]"
+_FLAT = "a.angle = 0 AND a.arc = 0 AND b.angle = 0 AND b.arc = 0"
 _ACC = "[à-öø-ÿ]"
 
 
@@ -102,7 +106,7 @@ SELECT page, pos, font_pt, vote, bold AS was, CASE
 """
 _WRAP = f"""{_COLUMNS}, e AS (
 SELECT DISTINCT a.page, a.pos AS i, b.pos AS j {_BOTH.format(t='cols')}
-WHERE a.est_pt > 0 AND b.est_pt > 0 AND a.y0 <= b.y0 AND b.y0 - a.y1 > -0.6 * {_MINH} AND b.y0 - a.y1 < 0.45 * {_MINH} AND {_XO} >= 0.4 * {_MINW}
+WHERE {_FLAT} AND a.est_pt > 0 AND b.est_pt > 0 AND a.y0 <= b.y0 AND b.y0 - a.y1 > -0.6 * {_MINH} AND b.y0 - a.y1 < 0.45 * {_MINH} AND {_XO} >= 0.4 * {_MINW}
   AND (a.bold = b.bold OR CASE WHEN a.bold THEN {_bold_weak('a')} ELSE {_bold_weak('b')} END)
   AND abs(a.bg_r - b.bg_r) <= 25 AND abs(a.text_r - b.text_r) <= 45 AND abs(a.est_pt - b.est_pt) <= 0.14 * greatest(a.est_pt, b.est_pt))
 {_CC}, g AS (SELECT l.*, coalesce(label.cc, l.pos) AS cc FROM cols l LEFT JOIN label USING (page, pos)),
@@ -118,7 +122,7 @@ SELECT s.page, s.pos, s.cc, coalesce(goal.t, s.font_pt) AS font_pt, s.bold FROM
 """
 _CHIP = f"""{_COLUMNS}, e AS (
 SELECT a.page, a.pos AS i, b.pos AS j {_PAIR.format(t='cols')}
-WHERE -{_YO} <= 0.6 * {_MINH} AND {_XO} >= 0.5 * {_MINW} AND abs(a.text_r - b.text_r) <= 25 AND abs(a.bg_r - b.bg_r) <= 40)
+WHERE {_FLAT} AND -{_YO} <= 0.6 * {_MINH} AND {_XO} >= 0.5 * {_MINW} AND abs(a.text_r - b.text_r) <= 25 AND abs(a.bg_r - b.bg_r) <= 40)
 {_CC}, g AS (SELECT l.page, l.pos, l.bg_r, coalesce(label.cc, l.pos) AS cc FROM cols l LEFT JOIN label USING (page, pos))
 SELECT page, pos, cc, CASE WHEN count(*) OVER w > 1 THEN CAST(trunc(median(bg_r) OVER w) AS INTEGER) ELSE bg_r END AS bg_r FROM g WINDOW w AS (PARTITION BY page, cc)
 """
@@ -152,7 +156,94 @@ j AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) >
 g AS (SELECT *, CAST(sum(jump) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS BIGINT) AS grp FROM j)
 SELECT user_id, grp, min(us) AS first_us, max(us) AS last_us, CAST(sum(n) AS BIGINT) AS n FROM g GROUP BY user_id, grp
 """
-_TITLES_ONLY = "a.font_pt >= 28 AND b.font_pt >= 28 AND a.bold = b.bold"
+_TITLES = f""", big AS (SELECT * REPLACE (font_pt + 20 AS font_pt), length(regexp_replace(text, '[^à-öø-ÿ]', '', 'g')) AS c FROM lines),
+e AS (
+SELECT a.page, a.pos AS i, b.pos AS j {_PAIR.format(t='big')}
+WHERE {_FLAT} AND a.font_pt >= 28 AND b.font_pt >= 28 AND a.bold = b.bold AND {_YO} >= 0.6 * {_MINH} AND abs(a.text_r - b.text_r) <= 45
+  AND CASE WHEN a.x0 <= b.x0 THEN b.x0 - a.x1 ELSE a.x0 - b.x1 END <= 0.8 * {_MINH})
+{_CC}, g AS (SELECT l.*, coalesce(label.cc, l.pos) AS cc FROM big l LEFT JOIN label USING (page, pos)),
+m AS (
+SELECT page, cc, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, min(score) AS score, arg_max(font_pt, (c, x1 - x0, -x0, -pos)) AS font_pt,
+  list_reduce(list({{'x0': x0, 'text': text, 'x1': x1}} ORDER BY x0, pos), lambda s, p: {{'x0': s.x0, 'text': s.text || CASE WHEN p.text <> '' AND s.text <> '' AND p.x0 < s.x1
+    AND translate(left(p.text, 1), '{C.FOLD_FROM}', '{C.FOLD_TO}') = translate(right(s.text, 1), '{C.FOLD_FROM}', '{C.FOLD_TO}') THEN substr(p.text, 2) ELSE p.text END, 'x1': greatest(s.x1, p.x1)}}).text AS text
+FROM g GROUP BY page, cc)
+SELECT page, cc, n, CASE WHEN n > 1 THEN regexp_replace({_pangu(C.CJK_CLASS)}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') ELSE text END AS text, x0, y0, x1, y1, score, font_pt FROM m
+"""
+_COLOURS = """, l AS (SELECT page, list([{'n': 1, 'r': CASE WHEN pos % 6 <> 5 THEN text_r END}] ORDER BY pos) AS l FROM lines GROUP BY page),
+r AS (
+SELECT page, list_reduce(l, lambda s, x: CASE WHEN x[1].r IS NULL OR s[-1].r IS NULL OR abs(x[1].r - s[-1].r) <= 45
+  THEN list_concat(s[:-2], [{'n': s[-1].n + 1, 'r': coalesce(s[-1].r, x[1].r)}]) ELSE list_concat(s, x) END) AS r FROM l),
+o AS (
+SELECT page, list_reduce([[x] for x in r], lambda s, x: CASE WHEN len(s) > 1 AND s[-1].n = 1 AND coalesce(abs(s[-2].r - x[1].r) <= 45, false)
+  THEN list_concat(s[:-3], [{'n': s[-2].n + 1 + x[1].n, 'r': s[-2].r}]) ELSE list_concat(s, x) END) AS o FROM r),
+c AS (SELECT page, o, [x.r for x in o if x.r IS NOT NULL] AS real FROM o WHERE len(o) > 1)
+SELECT page, CAST(i - 1 AS INTEGER) AS k, CAST(o[i].n AS INTEGER) AS n, CAST(coalesce(o[i].r, real[1]) AS INTEGER) AS r
+FROM (SELECT *, unnest(range(1, len(o) + 1)) AS i FROM c WHERE len(real) > 0 AND list_max(real) - list_min(real) >= 60)
+"""
+_MEANS = """, l AS (SELECT page, list([{'start': k, 'n': 1, 'sum': CAST(n AS DOUBLE)}] ORDER BY pos) AS l FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos) - 1 AS k FROM lines) GROUP BY page),
+s AS (
+SELECT page, list_reduce(l, lambda s, x: CASE WHEN abs(x[1].sum - s[-1].sum / s[-1].n) <= 26
+  THEN list_concat(s[:-2], [{'start': s[-1].start, 'n': s[-1].n + 1, 'sum': s[-1].sum + x[1].sum}]) ELSE list_concat(s, x) END) AS s FROM l)
+SELECT page, CAST(i - 1 AS INTEGER) AS k, CAST(s[i].start AS INTEGER) AS start, CAST(s[i].n AS INTEGER) AS n, round(s[i].sum / s[i].n, 6) AS mean FROM (SELECT page, s, unnest(range(1, len(s) + 1)) AS i FROM s)
+"""
+_PIECES = """, t AS (SELECT page, pos, text AS t, length(text) AS n, string_split(text, '') AS ch FROM lines),
+c AS (SELECT page, pos, t, n, list_filter(range(1, n + 1), lambda i: ch[i] <> ' ') AS solid FROM t),
+cut AS (
+SELECT page, pos, t, greatest(0, n - 3) AS tail, list_sort(list_distinct([0, CASE WHEN len(solid) > 1 THEN solid[len(solid) // 2 + 1] - 1 ELSE 0 END, greatest(0, n - 3), n])) AS cuts FROM c)
+SELECT page, pos, CAST(k - 1 AS INTEGER) AS k, substr(t, cuts[k] + 1, cuts[k + 1] - cuts[k]) AS text, cuts[k] >= tail AS raised FROM (SELECT *, unnest(range(1, len(cuts))) AS k FROM cut)
+"""
+_DEBUG = """
+SELECT page, '{"page":' || page || ',"lines":[' || string_agg('{"pos":' || pos || ',"text":' || CAST(to_json(text) AS VARCHAR) || ',"bbox":[' || x0 || ',' || y0 || ',' || x1 || ',' || y1 || '],"score":' || score
+  || ',"font_pt":' || font_pt || ',"bold":' || bold || ',"stroke_rel":' || round(stroke_rel, 4) || ',"est_pt":' || round(est_pt, 2) || ',"bold_r":' || coalesce(CAST(round(bold_r, 4) AS VARCHAR), 'null')
+  || ',"text_rgb":[' || text_r || ',0,0],"bg_rgb":[' || bg_r || ',0,0]}', ',' ORDER BY pos) || ']}' AS json FROM lines GROUP BY page
+"""
+_FLOOD = f"""{_COLUMNS}, f AS (
+SELECT * REPLACE (CASE WHEN pos % 3 = 0 THEN 9.0::DOUBLE ELSE font_pt END AS font_pt), replace(text, ' ', '') AS bare, length(regexp_replace(replace(text, ' ', ''), '[^{C.CJK_CLASS}]', '', 'g')) AS cjk FROM cols),
+w AS (
+SELECT *, font_pt <= 9 OR (font_pt <= 20 AND length(bare) <= 2 AND cjk = 0) AS frail,
+  CASE WHEN font_pt <= 9 THEN NOT (cjk = length(bare) AND length(bare) BETWEEN 2 AND 4 AND score >= 0.85) AND score < 0.94 ELSE (font_pt <= 14 AND score < 0.72) OR (cjk = 0 AND length(bare) <= 3 AND score < 0.75) END AS bad
+FROM f),
+box AS (SELECT l.page, l.pos, l.angle, l.text, (l.x0 + l.x1) / 2 AS cx, (l.y0 + l.y1) / 2 AS cy, l.x1 - l.x0 AS bw, l.y1 - l.y0 AS bh FROM lines l WHERE abs(l.angle) >= 15 AND NOT regexp_matches(l.text, '{_CJK}')),
+decor AS (
+SELECT a.page, a.pos AS i, b.pos AS j {_PAIR.format(t='box')} WHERE abs((b.cx - a.cx) * cos(radians(a.angle)) + (b.cy - a.cy) * sin(radians(a.angle))) < (a.bw + b.bw) / 2
+  AND abs((b.cy - a.cy) * cos(radians(a.angle)) - (b.cx - a.cx) * sin(radians(a.angle))) < (a.bh + b.bh) / 2),
+seed AS (SELECT page, pos FROM w WHERE bad UNION SELECT page, i FROM decor UNION SELECT page, j FROM decor),
+by_near AS (
+SELECT a.page, a.pos, list(b.pos) AS near, list(b.pos) FILTER (WHERE NOT b.frail) AS strong {_BOTH.format(t='w')}
+WHERE a.frail AND b.x0 < a.x1 + 2 * (a.y1 - a.y0) AND b.x1 > a.x0 - 2 * (a.y1 - a.y0) AND b.y0 < a.y1 + 2 * (a.y1 - a.y0) AND b.y1 > a.y0 - 2 * (a.y1 - a.y0) GROUP BY a.page, a.pos),
+by_mate AS (
+SELECT a.page, a.pos, list(b.pos) AS mates {_BOTH.format(t='w')}
+WHERE a.font_pt <= 14 AND a.font_pt = b.font_pt AND abs((a.y1 - a.y0) - (b.y1 - b.y0)) <= 0.3 * {_MAXH} AND {_XO} >= 0.6 * {_MINW} AND -{_YO} <= 0.8 * {_MAXH} GROUP BY a.page, a.pos),
+facts AS (
+SELECT page, list({{'pos': pos, 'near': coalesce(near, []), 'strong': coalesce(strong, []), 'mates': coalesce(mates, [])}}) AS facts FROM w LEFT JOIN by_near USING (page, pos) LEFT JOIN by_mate USING (page, pos) GROUP BY page),
+flood AS (
+SELECT page, 0 AS round, list(pos) AS gone FROM seed GROUP BY page
+UNION ALL
+SELECT page, round + 1, list_concat(gone, more) FROM (
+  SELECT s.page, s.round, s.gone, [f.pos for f in facts if NOT list_contains(s.gone, f.pos)
+    AND ((len(list_intersect(f.near, s.gone)) > 0 AND len(list_intersect(f.strong, s.gone)) = len(f.strong)) OR len(list_intersect(f.mates, s.gone)) > 0)] AS more
+  FROM flood s JOIN facts USING (page)) WHERE len(more) > 0),
+last AS (SELECT page, arg_max(gone, round) AS gone FROM flood GROUP BY page)
+SELECT w.page, w.pos, coalesce(list_contains(last.gone, w.pos), false) AS dropped FROM w LEFT JOIN last USING (page)
+"""
+
+
+def _shapes() -> str:
+    ex = lambda x: f"CAST(round_even(({x}) * {C.SLIDE_EMU} / 1728.0::DOUBLE, 0) AS BIGINT)"
+    ey = lambda x: f"CAST(round_even(({x}) * 6858000 / 972.0::DOUBLE, 0) AS BIGINT)"
+    return f""", b AS (
+SELECT page, pos, x0, y0, x1, y1, y1 - y0 AS h, pos % 9 = 8 AS turned, CASE WHEN pos % 5 <> 4 THEN bg_r END AS fill, CAST(round_even(font_pt * 0.2::DOUBLE * 12700, 0) AS BIGINT) AS nudge,
+  CASE WHEN pos % 11 = 3 THEN y0 - greatest(8.0, (y1 - y0) * 0.12) WHEN y1 - 4 > 0 THEN y0 + 4 - greatest(4.0, (y1 - y0 - 8) * 0.08) ELSE y0 - 3 END AS c0,
+  CASE WHEN pos % 11 = 3 THEN y1 + greatest(8.0, (y1 - y0) * 0.12) WHEN y1 - 4 > 0 THEN y1 - 4 + greatest(4.0, (y1 - y0 - 8) * 0.08) ELSE y1 + 3 END AS c1 FROM lines),
+d AS (
+SELECT page, CAST(pos AS INTEGER) AS block, turned, fill, nudge, {ex('x0 - 3')} AS l, {ex('x1 + 3')} AS r, {ey('c0')} AS cov0, {ey('c1')} AS cov1, {ey('y0 + 4')} - nudge AS txt,
+  {ex('x1 - x0 + 6')} AS tw, {ey('h + 6')} AS th, {ex('(x0 + x1) / 2')} AS mx, {ey('(y0 + y1) / 2')} AS my FROM b),
+p AS (SELECT *, NOT turned AND fill IS NOT NULL AND txt < cov0 AS own, CASE WHEN turned THEN my - th // 2 - nudge WHEN NOT turned AND fill IS NOT NULL AND txt < cov0 THEN txt ELSE least(txt, cov0) END AS top FROM d)
+SELECT page, block, CAST(0 AS INTEGER) AS z, 'cover' AS kind, 'Text ' || block || ' bg' AS name, greatest(0, l) AS left, greatest(0, cov0) AS top, r - l AS width, cov1 - cov0 AS height, 0.0::DOUBLE AS rotation, fill AS fill_r, CAST(0 AS BIGINT) AS margin_top FROM p WHERE own
+UNION ALL
+SELECT page, block, CAST(CASE WHEN own THEN 1 ELSE 0 END AS INTEGER), 'text', 'Text ' || block, greatest(0, CASE WHEN turned THEN mx - tw // 2 ELSE l END), greatest(0, top), CASE WHEN turned THEN tw ELSE r - l END,
+  CASE WHEN turned THEN th + nudge ELSE cov1 - top END, CASE WHEN turned THEN 12.0::DOUBLE ELSE 0.0::DOUBLE END, CASE WHEN NOT own THEN fill END, CASE WHEN own OR turned THEN 0 ELSE greatest(0, txt - top) END FROM p
+"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -176,12 +267,11 @@ def oracle_sql() -> dict[str, str]:
         f"font_pt <= 9 OR (font_pt <= 20 AND length({bare}) <= 2 AND NOT regexp_matches({bare}, '{_CJK}')) AS weak FROM lines"
     )
     q["decorative_icon_anti"] = over(
-        ", t AS (SELECT * REPLACE (CASE WHEN n % 7 = 0 THEN left(text, 1) ELSE text END AS text) FROM lines) "
-        "SELECT page, pos, text, font_pt FROM t a WHERE regexp_matches(trim(text), '^[A-Za-z]$') AND font_pt >= 28 AND NOT EXISTS "
-        "(SELECT 1 FROM t b WHERE a.page = b.page AND a.pos <> b.pos AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0.3 * greatest(1.0, a.y1 - a.y0))"
+        "SELECT page, pos, text, font_pt FROM lines a WHERE NOT contains(text, ',') AND font_pt >= 28 AND NOT EXISTS "
+        "(SELECT 1 FROM lines b WHERE a.page = b.page AND a.pos <> b.pos AND least(a.y1, b.y1) - greatest(a.y0, b.y0) > 0.3 * greatest(1.0, a.y1 - a.y0))"
     )
     q["markup_strike"] = over("SELECT page, pos FROM lines WHERE pos % 5 = 0 OR (contains(text, '==') AND contains(text, '×'))")
-    q["axis_label"] = over(f", t AS (SELECT page, pos, text, x0, x0 + (x1 - x0) / 40 AS x1, y1 - y0 AS h FROM lines) SELECT page, pos, x0, x1 FROM t WHERE h > 2.5 * (x1 - x0) AND regexp_matches(text, '{_ACC}')")
+    q["axis_label"] = over(f", t AS (SELECT page, pos, text, angle, arc, vertical, x0, x0 + (x1 - x0) / 40 AS x1, y1 - y0 AS h FROM lines) SELECT page, pos, x0, x1 FROM t WHERE angle = 0 AND arc = 0 AND NOT vertical AND h > 2.5 * (x1 - x0) AND regexp_matches(text, '{_ACC}')")
     q["small_line_report"] = over("SELECT page, count(*) FILTER (WHERE font_pt <= 14.0 OR score < 0.8) AS n_small, count(*) AS n_lines FROM lines GROUP BY page HAVING n_small > 0")
     latin = lambda x: f"NOT regexp_matches({x}, '[\\x{{2E80}}-\\x{{10FFFF}}]')"
     conf = "text"
@@ -225,12 +315,12 @@ def oracle_sql() -> dict[str, str]:
         f"FROM (SELECT * FROM lines WHERE pos % 4 = 2) a LEFT JOIN (SELECT * FROM lines WHERE pos % 4 <> 2) b ON a.page = b.page AND {_XO} >= 0.3 * greatest(1.0, a.x1 - a.x0) GROUP BY a.page, a.pos"
     )
     q["arc_propagate"] = over(
-        ", t AS (SELECT * REPLACE (y1 + 60 AS y1), CASE WHEN pos % 5 = 0 THEN 16.0::DOUBLE ELSE 0 END AS arc FROM lines) "
+        ", t AS (SELECT * REPLACE (y1 + 60 AS y1, CASE WHEN pos % 5 = 0 THEN 16.0::DOUBLE ELSE 0 END AS arc) FROM lines) "
         f"SELECT a.page, a.pos, arg_min(b.arc * pow((a.x1 - a.x0) / (b.x1 - b.x0), 2), b.pos) AS arc {_BOTH.format(t='t')} WHERE a.arc = 0 AND b.arc <> 0 AND a.y1 - a.y0 >= 80 AND {_XO} > 0.6 * {_MINW} AND {_YO} > 0 GROUP BY a.page, a.pos"
     )
     q["sibling_band_anti"] = over(f"{_BANDS} SELECT page, pos, band, y0, y1 FROM band a WHERE y0 >= 0 AND y1 <= 3000 AND NOT EXISTS (SELECT 1 FROM lines b WHERE a.page = b.page AND {_OVER})")
     q["code_block_siblings"] = over(
-        f"{_COLUMNS.replace('x0 / 10', 'x0 / 40')} SELECT a.page, a.pos, arg_min(b.font_pt, b.pos) AS font_pt {_BOTH.format(t='cols')} WHERE NOT regexp_matches(a.text, '{_ACC}') AND {latin('a.text')} AND regexp_matches(b.text, '{_ACC}') AND b.font_pt < a.font_pt "
+        f"{_COLUMNS.replace('x0 / 10', 'x0 / 40')} SELECT a.page, a.pos, arg_min(b.font_pt, b.pos) AS font_pt {_BOTH.format(t='cols')} WHERE a.angle = 0 AND a.arc = 0 AND regexp_matches(a.text, '[qz]') AND NOT regexp_matches(a.text, '{_ACC}') AND {latin('a.text')} AND regexp_matches(b.text, '{_ACC}') AND b.font_pt < a.font_pt "
         f"AND abs(a.x0 - b.x0) <= 0.5 * {_MINH} AND -{_YO} <= 0.6 * {_MINH} AND abs(a.bg_r - b.bg_r) <= 25 AND abs(a.text_r - b.text_r) <= 45 GROUP BY a.page, a.pos"
     )
     q["wrap_groups"] = over(_WRAP)
@@ -251,12 +341,14 @@ def oracle_sql() -> dict[str, str]:
     marks = q["watermark_split"].removeprefix(LINES)
     q["wipe_rows"] = over(f", m AS ({marks}) SELECT page, pos AS i, greatest(0, {ex('x0')}) AS left, greatest(0, {ey('y0')}) AS top, {ex('x1')} - {ex('x0')} AS width, {ey('y1')} - {ey('y0')} AS height FROM m")
     q["arc_cover_strips"] = over(
-        ", a AS (SELECT page, pos AS block, x0, x1, y0 + 10 AS ym, y1 + 10 AS ye, y1 - y0 AS g FROM lines WHERE pos % 10 = 0), "
+        ", a AS (SELECT page, pos AS block, x0, x1, y0 + 10 AS ym, y1 + 10 AS ye, y1 - y0 AS g FROM lines), "
         "s AS (SELECT *, (k + 0.5::DOUBLE) / 12 * 2 - 1 AS t, (x1 - x0) / 2 AS half FROM a, (SELECT unnest(range(0, 12)) AS k)), "
         "b AS (SELECT *, (ye - ym) * 2 * t / half AS slope FROM s) "
         "SELECT page, block, CAST(k AS INTEGER) AS k, round((x0 + x1) / 2 + half * t, 6) AS cx, round(ym + (ye - ym) * t * t, 6) AS cy, round(half * 2 / 12 * sqrt(slope * slope + 1), 6) AS w, "
         "round(g * 1.5, 6) AS h, round(degrees(atan(slope)), 6) AS rotation FROM b"
     )
+    q["row_title_merge"] = over(_TITLES)
+    q["color_runs"], q["mean_segments"], q["split_text_runs"], q["debug_json"], q["junk_flood"], q["shape_rows"] = map(over, (_COLOURS, _MEANS, _PIECES, _DEBUG, _FLOOD, _shapes()))
     q["longest_run"], q["role_runs"], q["gap_split"] = _RUNS, _ROLES, _GAPS
     q["prefix_cuts"] = over(
         ", c AS (SELECT page, pos, n, sum(n) OVER (PARTITION BY page ORDER BY pos ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY page) AS total FROM lines) "

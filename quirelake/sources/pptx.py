@@ -61,7 +61,7 @@ def _relations(rows: list[tuple[str, str, str]]) -> str:
     return f'{_HEAD}<Relationships xmlns="{_REL}">' + "".join(f'<Relationship Id="{i}" Type="{_R}/{t}" Target="{to}"/>' for i, t, to in rows) + "</Relationships>"
 
 
-def deck_bytes(slides: list[dict], slide_h: int, font: str = "Microsoft JhengHei") -> bytes:
+def deck_bytes(slides: list[dict], slide_h: int, font: str = "Microsoft YaHei") -> bytes:
     """A presentation of slides, each {"png": bytes or None, "shapes": [...]}, in their order."""
     n = len(slides)
     out = io.BytesIO()

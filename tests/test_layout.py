@@ -210,7 +210,7 @@ def test_style_from_pixels(spark):
     out = {(r["page"], r["pos"]): r for r in style.estimate(style.measure(pages_df, lines)).collect()}
     head = out[(1, 0)]
     assert head["ink_top_px"] == 40 and head["room_px"] == float("inf") and head["font_pt"] == 60 and head["bold"]
-    assert out[(1, 1)]["text_rgb"] is None and out[(2, 0)]["ink_top_px"] is None
+    assert out[(1, 1)]["ink_top_px"] == 5 and out[(1, 1)]["stroke_rel"] == 0 and out[(2, 0)]["ink_top_px"] is None and out[(2, 0)]["text_rgb"] is None
 
 
 def test_shapes_and_files(spark, tmp_path):
