@@ -33,7 +33,7 @@ MAYBE = {
 }
 SCHEMA = (
     "page bigint, pos bigint, ord int, text string, x0 double, y0 double, x1 double, y1 double, score double, font_pt double, bold boolean,"
-    " text_rgb array<int>, bg_rgb array<int>, block int, align string"
+    " text_rgb array<int>, bg_rgb array<int>, block int, align string, src bigint, angle double, arc double, ink_top_px double, ink_bottom_px double"
 )
 
 
@@ -90,7 +90,7 @@ class Row:
     shifted: bool = False
     glyph_iou: float | None = None
     segments: bool = False
-    merged: bool = False
+    src: int | None = None  # the line whose style it has, where that is another one
     members: list[int] = field(default_factory=list)
 
     @property
@@ -306,7 +306,7 @@ def merge_titles(rows: list[Row]) -> list[Row]:
         out.append(
             replace(
                 best, pos=parts[0].pos, text=pangu(text).strip(), x0=parts[0].x0, y0=min(p.y0 for p in parts), x1=end, y1=max(p.y1 for p in parts),
-                score=min(p.score for p in parts), angle=0.0, arc=0.0, members=[p.pos for p in parts], merged=True,
+                score=min(p.score for p in parts), angle=0.0, arc=0.0, members=[p.pos for p in parts], src=best.pos if best.src is None else best.src,
             )
         )
     return out
@@ -579,6 +579,14 @@ def whole(lines: DataFrame) -> DataFrame:
     return lines.select(*COLUMNS, *[(F.col(c) if c in lines.columns else F.lit(None)).cast(t).alias(c) for c, t in MAYBE.items()])
 
 
+def told(page: int, r: Row, ord_: int, block: int, side: str) -> tuple:
+    """A row of ``SCHEMA``."""
+    return (
+        page, r.pos, ord_, r.text, r.x0, r.y0, r.x1, r.y1, r.score, r.font_pt, r.bold, list(r.text_rgb), None if r.bg_rgb is None else list(r.bg_rgb), block, side,
+        r.pos if r.src is None else r.src, r.angle, r.arc, r.ink_top_px, r.ink_bottom_px,
+    )
+
+
 def run_passes(lines: DataFrame, options: C.Options | None = None, px_to_pt: float = 0.5) -> DataFrame:
     """Lines after all passes, with the block each belongs to and its alignment.
 
@@ -591,7 +599,7 @@ def run_passes(lines: DataFrame, options: C.Options | None = None, px_to_pt: flo
         out = []
         for k, g in enumerate(process(rows_of(pdf), options, px_to_pt)):
             side = align(g)
-            out += [(int(pdf["page"].iloc[0]), r.pos, len(out) + i, r.text, r.x0, r.y0, r.x1, r.y1, r.score, r.font_pt, r.bold, list(r.text_rgb), None if r.bg_rgb is None else list(r.bg_rgb), k, side) for i, r in enumerate(g)]
+            out += [told(int(pdf["page"].iloc[0]), r, len(out) + i, k, side) for i, r in enumerate(g)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return whole(lines).groupBy("page").applyInPandas(page, SCHEMA)

@@ -431,16 +431,20 @@ def junk_flood(spark, sf_dir):
     return passes.flood(_for_passes(_columns(read_lines(spark, sf_dir)).withColumn("font_pt", F.when(F.col("pos") % 3 == 0, 9.0).otherwise(F.col("font_pt")))))
 
 
+def _laid(out: DataFrame) -> DataFrame:
+    return out.drop("src", "angle", "arc", "ink_top_px", "ink_bottom_px")
+
+
 @query
 def ordered_passes(spark, sf_dir):
-    return passes.run_passes(_for_passes(_columns(read_lines(spark, sf_dir))))
+    return _laid(passes.run_passes(_for_passes(_columns(read_lines(spark, sf_dir)))))
 
 
 @query
 def merged_blocks(spark, sf_dir):
     from ..config import Options
 
-    return passes.run_passes(_for_passes(_columns(read_lines(spark, sf_dir))), Options(merge_lines=True, keep_tiny_text=True))
+    return _laid(passes.run_passes(_for_passes(_columns(read_lines(spark, sf_dir))), Options(merge_lines=True, keep_tiny_text=True)))
 
 
 @query

@@ -34,6 +34,6 @@ LINE = _struct(
     char_boxes=ArrayType(CHAR_BOX), arc_sagitta=DoubleType(), style=STYLE,
 )
 LAYOUT_PAGE = _struct(
-    deck_id=StringType(), page_no=IntegerType(), img_w=IntegerType(), img_h=IntegerType(), px_to_slide_pt=DoubleType(), rgb=BinaryType(), png=BinaryType()
+    deck_id=StringType(), page_no=IntegerType(), img_w=IntegerType(), img_h=IntegerType(), page_w_pt=DoubleType(), page_h_pt=DoubleType(), rgb=BinaryType(), png=BinaryType()
 )
 DECK_TEXT = _struct(side=StringType(), slide=IntegerType(), shape_idx=IntegerType(), text=StringType())

@@ -3,13 +3,21 @@
 from __future__ import annotations
 
 import io
+import os
+import posixpath
+import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import groupby
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from .. import config as C
 from ..schema import DECK_TEXT
@@ -27,6 +35,7 @@ _ALIGN = {"left": "l", "center": "ctr", "right": "r"}
 
 
 def _fill(rgb) -> str:
+    rgb = tuple(rgb.values()) if isinstance(rgb, dict) else rgb
     return "<a:noFill/>" if rgb is None else '<a:solidFill><a:srgbClr val="{:02X}{:02X}{:02X}"/></a:solidFill>'.format(*rgb)
 
 
@@ -43,7 +52,9 @@ def _shape(k: int, s: dict, font: str) -> str:
     body = ""
     if s.get("runs"):
         frame = f'<a:bodyPr wrap="{"square" if s.get("wrap") else "none"}" lIns="0" rIns="0" bIns="0" tIns="{s.get("margin_top") or 0}" anchor="{"ctr" if s.get("vertical") else "t"}"' + (' vert="eaVert"/>' if s.get("vertical") else "/>")
-        body = f'<p:txBody>{frame}<a:lstStyle/><a:p><a:pPr algn="{_ALIGN.get(s.get("align"), "l")}"/>{"".join(_run(r, font) for r in s["runs"])}</a:p></p:txBody>'
+        side = f'<a:pPr algn="{_ALIGN.get(s.get("align"), "l")}"/>'
+        paragraphs = groupby(s["runs"], key=lambda r: r.get("para") or 0)
+        body = f'<p:txBody>{frame}<a:lstStyle/>{"".join(f"<a:p>{side}{''.join(_run(r, font) for r in some)}</a:p>" for _, some in paragraphs)}</p:txBody>'
     return (
         f'<p:sp><p:nvSpPr><p:cNvPr id="{k}" name={quoteattr(s["name"])}/><p:cNvSpPr/><p:nvPr/></p:nvSpPr>'
         f"<p:spPr>{place}{_fill(s.get('fill'))}<a:ln><a:noFill/></a:ln></p:spPr>{body}</p:sp>"
@@ -121,15 +132,76 @@ def read_texts(spark: SparkSession, path: str, side: str = "gen") -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(scan, DECK_TEXT)
 
 
-def build_decks(shapes: DataFrame) -> DataFrame:
+def build_decks(shapes: DataFrame, font: str = "Microsoft YaHei") -> DataFrame:
     """(deck_id, pptx) of shapes(deck_id, page, z, slide_h, png, shape struct with runs): a deck is one
     group, as it is one file."""
 
-    def deck(pdf: pd.DataFrame) -> pd.DataFrame:
-        plain = lambda v: v.asDict(True) if hasattr(v, "asDict") else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else [plain(x) for x in v] if hasattr(v, "__len__") and not isinstance(v, str | bytes) else v
-        slides = []
-        for _, page in pdf.sort_values(["page", "z"]).groupby("page", sort=True):
-            slides.append({"png": next((p for p in page["png"] if p), None), "shapes": [plain(s) for s in page["shape"]]})
-        return pd.DataFrame({"deck_id": [pdf["deck_id"].iloc[0]], "pptx": [deck_bytes(slides, int(pdf["slide_h"].iloc[0]))]})
+    def deck(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        slides: dict[int, dict] = {}
+        for r in sorted(rows.to_pylist(), key=lambda r: (r["page"], r["z"])):
+            slide = slides.setdefault(r["page"], {"png": None, "shapes": []})
+            slide["png"] = slide["png"] or r["png"]
+            slide["shapes"] += [r["shape"]] if r["shape"] else []
+        data = deck_bytes(list(slides.values()), rows.column("slide_h")[0].as_py(), font)
+        return pa.table({"deck_id": [key[0].as_py()], "pptx": pa.array([data], pa.binary())})
 
-    return shapes.groupBy("deck_id").applyInPandas(deck, "deck_id string, pptx binary")
+    return shapes.groupBy("deck_id").applyInArrow(deck, "deck_id string, pptx binary")
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[tuple[str, str]]
+
+
+class _DeckWriter(DataSourceWriter):
+    """Each task writes under a name of its own; only what the committed tasks wrote gets its name."""
+
+    def __init__(self, path: str):
+        self.path = path
+        self.staging = f"_staging-{uuid.uuid4().hex}"
+
+    def _open(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else os.path.abspath(self.path))
+
+    def write(self, iterator) -> _Written:
+        store, base = self._open()
+        store.create_dir(posixpath.join(base, self.staging), recursive=True)
+        files = []
+        for row in iterator:
+            name = posixpath.splitext(posixpath.basename(row["deck_id"]))[0] + ".pptx"
+            part = posixpath.join(self.staging, uuid.uuid4().hex)
+            with store.open_output_stream(posixpath.join(base, part)) as out:
+                out.write(bytes(row["pptx"]))
+            files.append((part, name))
+        return _Written(files)
+
+    def commit(self, messages: list) -> None:
+        store, base = self._open()
+        for part, name in sorted(f for m in messages if m is not None for f in m.files):
+            store.move(posixpath.join(base, part), posixpath.join(base, name))
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        store, base = self._open()
+        if store.get_file_info(posixpath.join(base, self.staging)).type != fs.FileType.NotFound:
+            store.delete_dir(posixpath.join(base, self.staging))
+
+
+class DeckFiles(DataSource):
+    """Sink of (deck_id, pptx): one file a deck, by the name of the deck's source."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "deck_files"
+
+    def schema(self) -> str:
+        return "deck_id string, pptx binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _DeckWriter(self.options["path"])
+
+
+def write_decks(decks: DataFrame, path: str) -> None:
+    """Presentation files of (deck_id, pptx) under a path that all executors reach."""
+    decks.sparkSession.dataSource.register(DeckFiles)
+    decks.select("deck_id", "pptx").write.format("deck_files").mode("append").save(path)
