@@ -209,7 +209,7 @@ def _linked_in_blocks(placed: DataFrame, open_keys: DataFrame, classes: DataFram
     sum_of = lambda c, x: F.sum(F.when(c, x).otherwise(0))
     blocks = lambda c: F.greatest(F.lit(1), F.ceil(sum_of(c, F.lit(1)) / BLOCK), F.ceil(sum_of(c, F.col("n")) / BLOCK_SHINGLES)).cast("int")
     sizes = rows.groupBy("gid").agg(blocks(F.col("out")).alias("few"), blocks(~F.col("out")).alias("rest"))
-    rows = rows.join(sizes, "gid")
+    rows = rows.join(stage.cut(sizes, "block-sizes"), "gid")  # a table, so a large group's side of the join can be split
     at = F.when(F.col("out"), F.pmod(F.xxhash64("node"), "few")).otherwise(F.col("few") + F.pmod(F.xxhash64("node"), "rest"))
     rows = rows.withColumn("at", at.cast("int"))
     # groups (i, j): i a block of those that stand out, j >= i any block
