@@ -375,6 +375,50 @@ def test_lm_scoring(spark):
     assert all(r["n_known"] == 0 and r["score"] == r["base_score"] for r in alone.collect())
 
 
+def test_lm_score_against_brute_force(spark):
+    """The score of every text, put together word by word from classes, counts and transitions."""
+    rows = documents(n=40)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    before = lm_scoring.train.__defaults__
+    lm_scoring.train.__defaults__ = (60, 30, 7)
+    try:
+        got = sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_tokens"], round(r["score"], 6)) for r in lm_scoring.score_texts(frame(spark, rows, clash=False)).collect())
+        docs = frame(spark, rows, clash=False).select(F.col("doc_id").alias("id"), F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)).alias("held_out"), F.col("text").cast("binary").alias("text"))
+        stage = common.Stage(spark)
+        model, _ = lm_scoring.train(docs.where("NOT held_out").select("text"), stage)
+        encoded = docs.mapInArrow(lm_scoring._encode(spark.sparkContext.broadcast(model.units), pa.int64()), lm_scoring._ENCODED.format("bigint"))
+        words, lexicon = lm_scoring.exchange_words(stage.cut(encoded, "encoded"), model, stage)
+        cls = {bytes(r["word"]): r["cls"] for r in words.collect()} | {w: int(lexicon.head_cls[r]) for w, r in model.units.rank.items() if r <= model.units.clustered}
+    finally:
+        lm_scoring.train.__defaults__ = before
+    tokens = lambda t: [w.encode() for w in BLANK.findall(lower(t))]
+    of = lambda w: cls[w] if w in cls else int(model.group_cls[lm_scoring.tail_group(w)])
+    count, pairs = collections.Counter(), collections.Counter()
+    for i, t, *_ in rows:
+        if not held(i):
+            count.update(tokens(t))
+            chain = [0, *map(of, tokens(t)), 0]
+            pairs.update(zip(chain, chain[1:]))
+    k, total = len(model.pairs), sum(pairs.values())
+    into, out = collections.Counter(), collections.Counter()
+    for (a, b), n in pairs.items():
+        into[b] += n
+        out[a] += n
+    mass = collections.Counter({c: 0.0 for c in range(k)})  # of a class: its words, and one unknown of each of its groups
+    for w, n in count.items():
+        mass[of(w)] += n + lm_scoring.DELTA
+    for c in model.group_cls:
+        mass[int(c)] += lm_scoring.DELTA
+    step = lambda a, b: math.log10((pairs[a, b] + lm_scoring.ALPHA * k * (into[b] + 1) / (total + k)) / (out[a] + lm_scoring.ALPHA * k))
+    want = []
+    for i, t, *_ in rows:
+        chain = [0, *map(of, tokens(t)), 0]
+        score = sum(step(a, b) for a, b in zip(chain, chain[1:])) + sum(math.log10((count[w] + lm_scoring.DELTA) / mass[of(w)]) for w in tokens(t))
+        want.append((i is not None, i or 0, len(chain) - 1, round(score, 6)))
+    assert [g[:3] for g in got] == [w[:3] for w in sorted(want)]
+    assert np.allclose([g[3] for g in got], [w[3] for w in sorted(want)], atol=1e-5)
+
+
 def test_lm_is_a_distribution(spark):
     """Over the next word, all known words and one unknown of each group sum to one."""
     docs = spark.createDataFrame([(f"the {a} sees the {b}".encode(),) for a in ("cat", "dog", "cow") for b in ("hat", "mat", "bat")], "text binary")
