@@ -228,6 +228,46 @@ SELECT w.page, w.pos, coalesce(list_contains(last.gone, w.pos), false) AS droppe
 """
 
 
+_CORRECT = """, raw AS (SELECT page, pos, score, [w for w in regexp_extract_all(lower(text), '[a-z]+') if length(w) BETWEEN 2 AND 4] AS ws FROM lines),
+words AS (SELECT page, pos, score, CAST(k - 1 AS INTEGER) AS k, ws[k] AS w FROM (SELECT *, unnest(range(1, len(ws) + 1)) AS k FROM raw)),
+known AS (SELECT page, w AS token, count(*) AS cnt FROM words WHERE score >= 0.8 GROUP BY page, w),
+cand AS (SELECT DISTINCT page, w AS cand FROM words c WHERE score < 0.8 AND NOT EXISTS (SELECT 1 FROM known k WHERE k.page = c.page AND k.token = c.w)),
+hit AS (
+SELECT c.page, c.cand, k.token, k.cnt FROM cand c JOIN known k ON c.page = k.page AND length(c.cand) = length(k.token)
+WHERE len([i for i in range(1, length(c.cand) + 1) if substr(c.cand, i, 1) <> substr(k.token, i, 1)]) = 1),
+best AS (SELECT *, max(cnt) OVER (PARTITION BY page, cand) AS top FROM hit),
+fixed AS (SELECT page, cand, min(token) AS fixed FROM best WHERE cnt = top GROUP BY page, cand HAVING count(*) = 1)
+SELECT w.page, w.pos, w.k, CASE WHEN w.score < 0.8 THEN coalesce(f.fixed, w.w) ELSE w.w END AS text FROM words w LEFT JOIN fixed f ON w.page = f.page AND w.w = f.cand
+"""
+
+
+def _sizes() -> str:
+    k = "(960.0::DOUBLE / 1728.0::DOUBLE)"
+    points = lambda h, ratio: f"(greatest({h} - 6.0::DOUBLE, {h} * 0.6::DOUBLE) * {k} / {ratio})"
+    ratio = f"CASE WHEN NOT regexp_matches(text, '[\\x{{2E80}}-\\x{{10FFFF}}]') THEN {_ink()} ELSE 0.875::DOUBLE END"
+    return f""", a AS (
+SELECT * EXCLUDE (est_pt, font_pt, bold, stroke_rel), y1 - y0 - pos % 5 AS tall, CASE WHEN pos % 13 <> 7 THEN (x1 - x0 - pos % 7) * {k} END AS ink, CASE WHEN pos % 3 = 1 THEN CAST('inf' AS DOUBLE) WHEN pos % 3 = 2 THEN pos % 50 * 2.0::DOUBLE END AS room,
+  CASE WHEN pos % 11 <> 3 THEN ((page * 5 + pos) % 9) / 2.0::DOUBLE END AS stroke, x1 - x0 AS wide FROM lines),
+b AS (SELECT *, CASE WHEN vertical THEN {points('(20.0::DOUBLE + pos % 9)', '0.875::DOUBLE')} ELSE {points('(tall - page % 3)', f'({ratio})')} END AS pt FROM a),
+c AS (SELECT *, CASE WHEN pos % 17 = 2 THEN CASE WHEN pt >= 28 THEN n / 3.0::DOUBLE ELSE n / 2.0::DOUBLE END ELSE {_em()} END AS e FROM b),
+d AS (SELECT * REPLACE (CASE WHEN NOT vertical AND e > 0 THEN e END AS e) FROM c),
+f AS (
+SELECT *, CASE WHEN arc = 0 AND ink IS NOT NULL AND room IS NOT NULL AND NOT isinf(room) THEN ((wide + room) * {k} - 3) / e END AS clamp_pt, CASE WHEN angle = 0 AND arc = 0 THEN (960 - x0 * {k} - 3) / e END AS max_fit_pt,
+  CASE WHEN arc <> 0 THEN wide * {k} / e * 0.85::DOUBLE WHEN ink IS NOT NULL AND room IS NULL THEN ink / e * CASE WHEN e <= 8 THEN 1.12::DOUBLE WHEN e >= 12 THEN 1.03::DOUBLE ELSE 1.12::DOUBLE - (e - 8) * (0.09::DOUBLE / 4) END END AS soft FROM d),
+g AS (SELECT *, nullif(least(clamp_pt, soft, max_fit_pt), 0) AS lim FROM f),
+h AS (SELECT *, least(pt, lim) AS est_pt FROM g),
+s1 AS (SELECT *, CASE WHEN lim IS NULL THEN {_snap('est_pt')} ELSE {_ceiled('est_pt', 'lim')} END AS z, {_snap('est_pt')} AS best FROM h),
+s2 AS (SELECT * REPLACE (CASE WHEN best > z AND z < best * 0.9::DOUBLE AND best <= soft * 1.03::DOUBLE AND (best - soft) * e <= 3 AND coalesce(best <= max_fit_pt, true) THEN best ELSE z END AS z) FROM s1),
+s3 AS (SELECT *, list_max([s for s in {_SIZES} if s < z]) AS less FROM s2),
+s4 AS (
+SELECT *, CASE WHEN angle = 0 AND arc = 0 AND NOT vertical AND e >= 10 AND z * e > ink * CASE WHEN z >= 28 THEN 1.07::DOUBLE ELSE 1.13::DOUBLE END AND less * e >= ink * 0.9::DOUBLE THEN less ELSE z END AS pts,
+  coalesce(stroke / greatest(1.0, tall), 0) AS rel FROM s3),
+s5 AS (SELECT *, CASE WHEN pts >= 14 THEN bold_r END AS r FROM s4)
+SELECT page, pos, round(est_pt, 6) AS est_pt, round(clamp_pt, 6) AS clamp_pt, round(max_fit_pt, 6) AS max_fit_pt, round(rel, 6) AS stroke_rel, pts AS font_pt, r AS bold_r,
+  CASE WHEN vertical THEN pts >= 24 ELSE pts >= 24 OR CASE WHEN r IS NOT NULL AND pts >= 16 AND NOT (text_r > 15 AND text_r < bg_r) THEN r >= 0.13 ELSE rel >= 0.13::DOUBLE END END AS bold FROM s5
+"""
+
+
 def _shapes() -> str:
     ex = lambda x: f"CAST(round_even(({x}) * {C.SLIDE_EMU} / 1728.0::DOUBLE, 0) AS BIGINT)"
     ey = lambda x: f"CAST(round_even(({x}) * 6858000 / 972.0::DOUBLE, 0) AS BIGINT)"
@@ -349,6 +389,7 @@ def oracle_sql() -> dict[str, str]:
     )
     q["row_title_merge"] = over(_TITLES)
     q["color_runs"], q["mean_segments"], q["split_text_runs"], q["debug_json"], q["junk_flood"], q["shape_rows"] = map(over, (_COLOURS, _MEANS, _PIECES, _DEBUG, _FLOOD, _shapes()))
+    q["vocab_correct"], q["style_sizes"] = over(_CORRECT), over(_sizes())
     q["longest_run"], q["role_runs"], q["gap_split"] = _RUNS, _ROLES, _GAPS
     q["prefix_cuts"] = over(
         ", c AS (SELECT page, pos, n, sum(n) OVER (PARTITION BY page ORDER BY pos ROWS UNBOUNDED PRECEDING) - n AS before, sum(n) OVER (PARTITION BY page) AS total FROM lines) "

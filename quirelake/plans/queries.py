@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as G
 from ..functions import runs as R
 from ..functions import text as T
-from ..operators import compare, groups, passes, relate, vocab
+from ..operators import compare, groups, passes, relate, style, vocab
 from ..operators import pages as P
 from ..sources.lines import read_lines
 from . import shapes
@@ -153,9 +153,9 @@ def page_vocab(spark, sf_dir):
     return vocab.page_vocab(read_lines(spark, sf_dir), LETTERS)
 
 
-def _words(lines: DataFrame) -> DataFrame:
+def _words(lines: DataFrame, *more: str) -> DataFrame:
     words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), lambda w: F.length(w).between(2, 4))
-    return lines.select("page", "score", F.explode(words).alias("w"))
+    return lines.select("page", *more, F.posexplode(words).alias("k", "w")) if more else lines.select("page", "score", F.explode(words).alias("w"))
 
 
 @query
@@ -168,6 +168,14 @@ def vocab_match(spark, sf_dir):
     return vocab.vocab_match(unsure, known)
 
 
+@query
+def vocab_correct(spark, sf_dir):
+    """Every short word of a page as a line of its own, uncertain ones corrected by the page's words."""
+    words = _words(read_lines(spark, sf_dir), "pos", "score").withColumnRenamed("w", "text")
+    known = words.where("score >= 0.8").groupBy("page", F.col("text").alias("token")).agg(F.count(F.lit(1)).alias("cnt"))
+    return vocab.correct_lines(words, known, LETTERS).select("page", "pos", "k", "text")
+
+
 # ---------------------------------------------------------------- numbers
 
 
@@ -378,6 +386,22 @@ def debug_json(spark, sf_dir):
     return debug_rows(read_lines(spark, sf_dir))
 
 
+@query
+def style_sizes(spark, sf_dir):
+    """Sizes, ceilings and weights of lines whose ink is a function of their place."""
+    i, p = F.col("page"), F.col("pos")
+    real = lambda c: c.cast("double")
+    tall = F.col("y1") - F.col("y0") - real(p % 5)
+    seen = read_lines(spark, sf_dir).withColumns(
+        {
+            "img_w": F.lit(1728.0), "ink_h_px": tall, "ink_h_font_px": tall - real(i % 3), "ink_w_px": F.when(p % 13 != 7, F.col("x1") - F.col("x0") - real(p % 7)),
+            "room_px": F.when(p % 3 == 1, F.lit(float("inf"))).when(p % 3 == 2, real(p % 50) * 2), "stroke_px": F.when(p % 11 != 3, real((i * 5 + p) % 9) / 2), "column_px": real(p % 9) + 20,
+            "look_x0": F.col("x0"), "em_regular": F.when(p % 17 == 2, real(F.col("n")) / 2), "em_narrow": F.when(p % 17 == 2, real(F.col("n")) / 3),
+        }
+    )
+    return style.estimate(seen).select("page", "pos", *[F.round(c, 6).alias(c) for c in ("est_pt", "clamp_pt", "max_fit_pt", "stroke_rel")], "font_pt", "bold_r", "bold")
+
+
 # ---------------------------------------------------------------- shapes
 
 

@@ -67,6 +67,38 @@ def test_runs(spark):
     assert [(e["start"], e["n"], e["mean"]) for e in means[0]] == [(0, 2, 1.5), (2, 2, 51.0), (4, 1, 1.0)] and means[1] == []
 
 
+def test_small_functions(spark):
+    t = lambda rows, f: values(spark, rows, "k int, t string", f("t"))
+    assert t(["a", "Z", "7", "é", "字", "-", "ab"], T.is_latin_alnum) == [True, True, True, False, False, False, False]
+    assert t(["a", "é", "7", "字", "。", "-", " "], T.is_word_char) == [True, True, True, True, True, False, False]
+    boxes = spark.createDataFrame([([0.0, 10.0, 40.0], [8.0, 18.0, 50.0]), ([0.0], [8.0]), ([0.0, 9.0], [8.0, 18.0])], "l array<double>, r array<double>")
+    assert [r["o"] for r in boxes.select(R.first_gap_stop("l", "r", F.lit(5.0)).alias("o")).collect()] == [2, 1, 2]
+    bow = [(200.0, 40.0), (0.0, 40.0), (100.0, 20.0)]
+    frags = spark.createDataFrame([([{"x": x, "y": y} for x, y in bow], 30.0), ([{"x": x, "y": y} for x, y in bow], 60.0), ([{"x": 0.0, "y": 1.0}], 1.0)], "f array<struct<x:double,y:double>>, h double")
+    assert [r["o"] for r in frags.select(G.arc_sagitta("f", F.col("h")).alias("o")).collect()] == [20.0, 0.0, 0.0]
+    tall = spark.createDataFrame([("純寫作", 0.0, 0.0, 30.0, 90.0), ("純A作", 0.0, 0.0, 30.0, 90.0), ("純寫作", 0.0, 0.0, 90.0, 90.0), ("純", 0.0, 0.0, 30.0, 90.0)], "text string, x0 double, y0 double, x1 double, y1 double")
+    assert [r["o"] for r in tall.select(pages.is_vertical_cjk().alias("o")).collect()] == [True, False, False, False]
+    assert [style.is_vertical(r["text"], (r["x0"], r["y0"], r["x1"], r["y1"]), True) for r in tall.collect()] == [True, False, False, False]
+    assert spark.range(1).select(shapes.slide_height(F.lit(960.0), F.lit(540.0)).alias("h")).first()["h"] == 6858000
+    swap = lambda a, b: lambda t: t.replace(a, b)
+    assert providers.strip_simplified("执規", swap("执", "執"), swap("規", "规")) == "執規" and providers.strip_simplified("执", swap("执", "執"), swap("規", "规")) == "执"
+
+
+def test_axis_labels_that_stay(spark):
+    """Upright narrow CJK lines go, unless they are typeset vertically, turned or bent."""
+    rows = [(k, "直排文字", 0.0, 0.0, 20.0, 90.0, a, c, v) for k, (a, c, v) in enumerate([(0.0, 0.0, False), (0.0, 0.0, True), (12.0, 0.0, False), (0.0, 9.0, False), (None, None, None)])]
+    df = spark.createDataFrame(rows, "k int, text string, x0 double, y0 double, x1 double, y1 double, angle double, arc double, vertical boolean")
+    assert [r["k"] for r in df.where(pages.is_axis_label()).orderBy("k").collect()] == [0, 4]
+
+
+def test_colour_runs_of_a_line(spark):
+    rng = np.random.default_rng(2)
+    pool = [None, (0, 0, 0), (30, 30, 30), (200, 0, 0), (0, 0, 200)]
+    rows = [[pool[i] for i in rng.integers(0, 5, rng.integers(0, 12))] for _ in range(60)]
+    got = values(spark, rows, "k int, c array<struct<r:int,g:int,b:int>>", R.colour_runs("c"))
+    assert [None if x is None else [(e["n"], tuple(e["rgb"])) for e in x] for x in got] == [style.runs_of(r) for r in rows]
+
+
 def test_text_runs(spark):
     rgb = {"r": 1, "g": 2, "b": 3}
     rows = [("AB CD", [(2, rgb), (2, rgb)], 0), ("ABC。", [(1, rgb), (2, rgb)], 0), ("A", [(1, rgb), (1, rgb)], 0), ("佐證[1]", [(5, rgb)], 3), ("a b", [(2, rgb)], 9)]
@@ -148,7 +180,7 @@ def test_merge_titles_in_sets_as_in_sequence(spark):
     lines = spark.createDataFrame(
         [(1, 0, "標題：", 0.0, 0.0, 100.0, 40.0, 0.9, 36.0), (1, 1, ":二 A", 90.0, 2.0, 200.0, 41.0, 0.8, 28.0), (1, 2, "遠", 600.0, 0.0, 640.0, 40.0, 0.9, 36.0)],
         "page long, pos long, text string, x0 double, y0 double, x1 double, y1 double, score double, font_pt double",
-    ).withColumns({"bold": F.lit(True), "text_rgb": F.struct(F.lit(0).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b")), "bg_rgb": F.lit(None).cast("struct<r:int,g:int,b:int>")})
+    ).withColumns({"angle": F.lit(0.0), "arc": F.lit(0.0), "bold": F.lit(True), "text_rgb": F.struct(F.lit(0).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b")), "bg_rgb": F.lit(None).cast("struct<r:int,g:int,b:int>")})
     out = {r["cc"]: (r["text"], r["n"], r["font_pt"], r["score"]) for r in groups.merge_titles(lines, relate.title_edges(lines)).collect()}
     assert out == {0: ("標題：二 A", 2, 36.0, 0.8), 2: ("遠", 1, 36.0, 0.9)}
 
