@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from types import FunctionType
 
 import numpy as np
 import pandas as pd
@@ -32,7 +33,8 @@ _NAMES = [c.strip().split()[0] for c in _LAID.split(", ")]
 
 @dataclass(frozen=True)
 class Providers:
-    """What a conversion needs from outside; None where it is missing."""
+    """What a conversion needs from outside; None where it is missing. ``ocr`` and ``reader`` may be
+    functions of lang, fast and device instead, which are called once in each worker."""
 
     renderer: providers.PageRenderer | None = None
     ocr: providers.OcrProvider | None = None
@@ -42,6 +44,13 @@ class Providers:
     to_simplified: Callable[[str], str] | None = None
 
 
+def engine(given, options: C.Options):
+    """A recogniser as it is, or made by its function for the options of a run."""
+    if given is None or not isinstance(given, FunctionType | type):
+        return given
+    return providers.Lazy(given, lang=options.lang, fast=options.fast, device=providers.resolve_device(options.device))
+
+
 def selected(spec: str | None, count: int) -> list[int] | None:
     """Zero-based pages of a list such as '1-5,8' in its order, each once; None for all."""
     if spec is None:
@@ -213,7 +222,7 @@ def convert_pages(pages: DataFrame, options: C.Options, given: Providers, lines:
     """
     converters = (given.to_traditional, given.to_simplified) if options.s2t else (None, None)
     if lines is None:
-        lines = providers.recognise(pages, given.ocr, options.min_score, given.reader, *converters)
+        lines = providers.recognise(pages, engine(given.ocr, options), options.min_score, engine(given.reader, options), *converters)
     first = pages.groupBy("deck_id").agg(F.min_by(F.struct("page_w_pt", "page_h_pt"), "page_no").alias("f"))
     pages = pages.join(first, "deck_id").withColumn("slide_h", shapes.slide_height(F.col("f.page_w_pt"), F.col("f.page_h_pt")))
     styled = styled_lines(pages, lines, options, given.metrics)

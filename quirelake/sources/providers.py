@@ -74,6 +74,30 @@ def resolve_device(device: str = "auto", available: list[str] | None = None) ->
     return next((name for key, name in known.items() if key in available), "cpu")
 
 
+_ENGINES: dict[tuple, object] = {}
+
+
+class Lazy:
+    """A provider that is made where it is first used, once in each worker: models don't travel.
+
+    ``factory(**settings)`` makes it; only the factory and the settings are sent.
+    """
+
+    def __init__(self, factory: Callable, **settings):
+        self.factory, self.settings = factory, settings
+
+    def _engine(self):
+        key = (self.factory.__module__, self.factory.__qualname__, *sorted(self.settings.items()))
+        if key not in _ENGINES:
+            _ENGINES[key] = self.factory(**self.settings)
+        return _ENGINES[key]
+
+    def __getattr__(self, name: str):
+        if name.startswith("__") or name in ("factory", "settings"):
+            raise AttributeError(name)
+        return getattr(self._engine(), name)
+
+
 _BOX = "array<struct<ch:string,l:double,t:double,r:double,b:double>>"
 READ = f"page bigint, pos bigint, text string, x0 double, y0 double, x1 double, y1 double, score double, angle double, arc double, cx double, cy double, w double, h double, char_boxes {_BOX}"
 

@@ -51,6 +51,11 @@ class Ocr:
         yield {"quad": box(500, 500, 510, 506), "text": "zz", "score": 0.6}
 
 
+def make_ocr(lang, fast, device):
+    assert (lang, fast, device) == ("ch", False, "cpu")
+    return Ocr()
+
+
 @pytest.fixture(scope="module")
 def source(tmp_path_factory):
     folder = tmp_path_factory.mktemp("pdf")
@@ -60,9 +65,9 @@ def source(tmp_path_factory):
 
 
 def test_from_pixels_to_files(spark, source, tmp_path):
-    given = convert.Providers(Renderer(), Ocr())
+    given = convert.Providers(Renderer(), make_ocr)
     target = str(tmp_path / "out")
-    stats = convert.convert(spark, source, target, Options(debug=True, pages="1-2"), given).collect()
+    stats = convert.convert(spark, source, target, Options(debug=True, pages="1-2", device="cpu"), given).collect()
     assert {tuple(r)[1:] for r in stats} == {(0, 4, 4, 1, 1), (1, 4, 4, 1, 1)} and len(stats) == 4
     texts = pptx.read_texts(spark, target).collect()
     assert len(texts) == 16 and {r["text"] for r in texts} == {"標題文字內容", "第一行的內文文字共十", "第二行的內文文字共十", "深色底上的白字"}
@@ -140,3 +145,27 @@ def test_overlays(spark):
     (r,) = sinks.overlays(pages, lines).collect()
     assert r["page"] == 1 and bytes(r["png"]) == sinks.png_bytes(sinks.overlay(img, [(5, 5, 50, 50)]))
     assert sinks.debug_decks(lines.limit(0).withColumns({"deck_id": F.lit("d"), "pos": F.lit(1), "text": F.lit(""), "score": F.lit(1.0), "font_pt": F.lit(1.0), "bold": F.lit(True), "stroke_rel": F.lit(0.0), "est_pt": F.lit(1.0), "bold_r": F.lit(0.1), "text_rgb": F.lit(None).cast("struct<r:int,g:int,b:int>"), "bg_rgb": F.lit(None).cast("struct<r:int,g:int,b:int>")})).count() == 0
+
+
+def test_command_line():
+    from quirelake.__main__ import options_of, parser
+
+    read = lambda *argv: options_of(parser().parse_args(["in", *argv]))
+    assert read() == Options()
+    assert read("--dpi", "150", "--pages", "1-3", "--no-s2t", "--no-cover", "--force-bold", "--merge-lines", "--keep-tiny-text", "--keep-watermark", "--fast", "--device", "cpu", "--min-score", "0.7", "--font", "F", "--debug", "--lang", "en") == Options(
+        150, "en", True, "cpu", False, "1-3", 0.7, False, True, True, True, "always", "F", True
+    )
+    assert read("--no-bold").bold_mode == "never"
+    with pytest.raises(SystemExit):
+        read("--no-bold", "--force-bold")
+
+
+def test_engines_are_made_once():
+    made = []
+
+    def factory(lang):
+        made.append(lang)
+        return Ocr()
+
+    a, b = providers.Lazy(factory, lang="x"), providers.Lazy(factory, lang="x")
+    assert not made and len(list(a.lines(None, 1, 1))) == len(list(b.lines(None, 1, 1))) == 6 and made == ["x"]
