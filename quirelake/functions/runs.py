@@ -57,18 +57,19 @@ def prefix_cuts(df: DataFrame, keys: list[str], order: str, advance: str, parts:
 
 def running_mean_segments(values: Column | str, far: float) -> Column:
     """Segments (start, n, mean): a value further than ``far`` from the running mean starts a new one."""
-    v = col(values)
-    zero = F.array().cast("array<struct<start:int,n:int,sum:double>>")
+    # only the open segment changes from step to step; closed ones are put aside
+    seg = "struct<start:int,n:int,sum:double>"
+    zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("start"), F.lit(0).alias("n"), F.lit(0.0).alias("sum"), F.array().cast(f"array<{seg}>").alias("done"))
+    open_ = lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), s["sum"].alias("sum"))
 
     def step(s: Column, x: Column) -> Column:
-        last = F.try_element_at(s["segs"], F.lit(-1))
-        near = last.isNotNull() & (F.abs(x - last["sum"] / last["n"]) <= far)
-        grown = F.concat(F.slice(s["segs"], F.lit(1), F.size(s["segs"]) - 1), F.array(F.struct(last["start"].alias("start"), (last["n"] + 1).alias("n"), (last["sum"] + x).alias("sum"))))
-        fresh = F.concat(s["segs"], F.array(F.struct(s["i"].alias("start"), F.lit(1).alias("n"), x.alias("sum"))))
-        return F.struct((s["i"] + 1).alias("i"), F.when(near, grown).otherwise(fresh).alias("segs"))
+        near = (s["n"] > 0) & (F.abs(x - s["sum"] / s["n"]) <= far)
+        pick = lambda yes, no: F.when(near, yes).otherwise(no)
+        done = F.when(near | (s["n"] == 0), s["done"]).otherwise(F.concat(s["done"], F.array(open_(s))))
+        return F.struct((s["i"] + 1).alias("i"), pick(s["start"], s["i"]).alias("start"), pick(s["n"] + 1, F.lit(1)).alias("n"), pick(s["sum"] + x, x).alias("sum"), done.alias("done"))
 
-    out = F.aggregate(F.transform(v, lambda x: x.cast("double")), F.struct(F.lit(0).alias("i"), zero.alias("segs")), step)
-    return F.transform(out["segs"], lambda e: F.struct(e["start"], e["n"], (e["sum"] / e["n"]).alias("mean")))
+    out = F.aggregate(F.transform(col(values), lambda x: x.cast("double")), zero, step, lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(open_(s)))).otherwise(s["done"]))
+    return F.transform(out, lambda e: F.struct(e["start"], e["n"], (e["sum"] / e["n"]).alias("mean")))
 
 
 def first_gap_stop(lefts: Column | str, rights: Column | str, gap: Column) -> Column:
@@ -89,11 +90,12 @@ def colour_runs(colours: Column | str, join: float = 45, split: float = 60) -> C
     far = lambda x, y: F.greatest(*[F.abs(x[c] - y[c]) for c in "rgb"])
     seg = lambda n, rgb: F.struct(n.cast("int").alias("n"), rgb.alias("rgb"))
 
+    none = F.lit(None).cast("struct<r:int,g:int,b:int>")
+
     def add(s: Column, x: Column) -> Column:
-        last = F.try_element_at(s, F.lit(-1))
-        joins = last.isNotNull() & (x.isNull() | last["rgb"].isNull() | (far(x, last["rgb"]) <= join))
-        grown = F.concat(F.slice(s, F.lit(1), F.size(s) - 1), F.array(seg(last["n"] + 1, F.coalesce(last["rgb"], x))))
-        return F.when(joins, grown).otherwise(F.concat(s, F.array(seg(F.lit(1), x))))
+        joins = (s["n"] > 0) & (x.isNull() | s["rgb"].isNull() | (far(x, s["rgb"]) <= join))
+        done = F.when(joins | (s["n"] == 0), s["done"]).otherwise(F.concat(s["done"], F.array(seg(s["n"], s["rgb"]))))
+        return F.struct(F.when(joins, s["n"] + 1).otherwise(1).alias("n"), F.when(joins, F.coalesce(s["rgb"], x)).otherwise(x).alias("rgb"), done.alias("done"))
 
     def absorb(s: Column, x: Column) -> Column:
         # the last two of s and x: if the middle one is single and both sides alike, they are one
@@ -103,7 +105,9 @@ def colour_runs(colours: Column | str, join: float = 45, split: float = 60) -> C
         return F.when(like, one).otherwise(F.concat(s, F.array(seg(x["n"], x["rgb"]))))
 
     empty = F.array().cast(kind)
-    runs = F.aggregate(F.aggregate(col(colours), empty, add), empty, absorb)
+    first = F.struct(F.lit(0).alias("n"), none.alias("rgb"), empty.alias("done"))
+    opened = F.aggregate(col(colours), first, add, lambda s: F.when(s["n"] > 0, F.concat(s["done"], F.array(seg(s["n"], s["rgb"])))).otherwise(s["done"]))
+    runs = F.aggregate(opened, empty, absorb)
     real = F.filter(runs, lambda r: r["rgb"].isNotNull())
     spread = F.array_max(F.flatten(F.transform(real, lambda a: F.transform(real, lambda b: far(a["rgb"], b["rgb"])))))
     filled = F.transform(runs, lambda r: seg(r["n"], F.coalesce(r["rgb"], real[0]["rgb"])))

@@ -42,7 +42,8 @@ def matches(gen: DataFrame, ref: DataFrame) -> DataFrame:
     """For each reference text the best generated text of its slide: slide, shape_idx, text, score, near.
 
     Both have slide, shape_idx, text; empty texts take no part, and a slide that lacks generated
-    texts leaves its reference texts without a match. Slides behind the end of the shorter deck
+    texts leaves its reference texts without a match. The texts of one slide stand in one array beside
+    each of its reference texts, so work and memory are bounded by the shapes of a slide. Slides behind the end of the shorter deck
     don't count.
     """
     clean = lambda d: d.withColumn("text", normalized("text")).where("text <> ''")

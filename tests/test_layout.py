@@ -195,8 +195,8 @@ def page_image():
 
 def test_pixels():
     img = page_image()
-    band = pixels.ink_band(img, 36, 34, 204, 76)
-    assert band["bg_rgb"] == (240, 240, 240) and band["text_rgb"] == (20, 20, 20) and (band["ink_top_px"], band["ink_bottom_px"]) == (40, 70)
+    band = style.look_at(img, {"text": "標題", "x0": 36, "y0": 34, "x1": 204, "y1": 76})
+    assert band["bg_rgb"] == dict.fromkeys("rgb", 240) and band["text_rgb"] == dict.fromkeys("rgb", 20) and (band["ink_top_px"], band["ink_bottom_px"]) == (40, 70)
     assert pixels.room_to_the_right(img, 204, 40, 70, 80, (240, 240, 240)) == 96
     assert pixels.room_to_the_right(img, 310, 40, 70, 30, (240, 240, 240)) == float("inf") and pixels.room_to_the_right(img, 400, 0, 9, 9, (0, 0, 0)) == 0
     assert pixels.gap_is_blank(img, 205, 240, 40, 70) and not pixels.gap_is_blank(img, 40, 100, 40, 70)

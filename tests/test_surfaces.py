@@ -1,6 +1,7 @@
 import numpy as np
 
 from quirelake.operators import pixels as P
+from quirelake.operators import style
 
 
 def flat(h, w, c):
@@ -60,7 +61,8 @@ def test_bands():
     assert P.cjk_band_height(ink, "abcd") is None and P.cjk_band_height(ink, "") is None and P.cjk_band_height(ink, "資訊", 3) is None
     img = flat(200, 60, 250)
     img[10:190, 20:41] = 10
-    assert P.vertical_column_px(img, 15, 5, 46, 195) == 21.0
+    seen = style.look_at(img, {"text": "直排文字", "x0": 15, "y0": 5, "x1": 55, "y1": 195})
+    assert seen["vertical"] and seen["column_px"] == 21.0 and (seen["ink_top_px"], seen["ink_bottom_px"]) == (5, 195) and seen["bg_rgb"] == {"r": 250, "g": 250, "b": 250}
 
 
 def test_glyph_rows_bridge_solid_rows():
@@ -149,3 +151,66 @@ def test_templates():
     other = np.full((60, 60), 255)
     other[10:14, 10:50] = other[46:50, 10:50] = 0
     assert P.glyph_overlap(img, (5, 5, 55, 55), other) < 0.3 and P.glyph_overlap(img, (0, 0, 5, 5), same) is None and P.glyph_overlap(img, (0, 0, 50, 50), None) is None
+
+
+def strokes(img, x0, y0, n, size, colour, gap=4, stroke=5):
+    for k in range(n):
+        left = x0 + k * (size + gap)
+        for x in range(left, left + size - stroke, 11):
+            img[y0 : y0 + size, x : x + stroke] = colour
+        img[y0 + size - 4 : y0 + size, left : left + size - 4] = colour
+    return [{"ch": "字", "l": x0 + k * (size + gap), "t": y0, "r": x0 + k * (size + gap) + size, "b": y0 + size} for k in range(n)]
+
+
+def test_look_at_two_fills():
+    """Text that changes its colour with the fill keeps both; a highlight under one colour goes."""
+    img = flat(120, 400, 245)
+    img[20:100, 200:] = (20, 40, 120)
+    boxes = strokes(img, 24, 44, 6, 24, 10) + strokes(img, 220, 44, 6, 24, 250)
+    line = {"text": "字" * 12, "x0": 16, "y0": 30, "x1": 392, "y1": 82, "char_boxes": boxes}
+    seen = style.look_at(img, line)
+    assert [r["n"] for r in seen["runs"]] == [6, 6] and len(seen["bg_segments"]) == 2 and not seen["highlight_removed"]
+    assert seen["bg_rgb"] == seen["bg_segments"][1]["rgb"] and abs(seen["bg_segments"][0]["x1"] - 200) < 8
+    marked = flat(120, 400, 245)
+    marked[30:82, 180:300] = (250, 235, 120)
+    boxes = strokes(marked, 24, 44, 13, 24, 10)
+    seen = style.look_at(marked, line | {"text": "字" * 13, "char_boxes": boxes})
+    assert seen["highlight_removed"] and seen["bg_segments"] is None and seen["bg_rgb"] == {"r": 245, "g": 245, "b": 245}
+
+
+def test_look_at_tilted_arc_and_icon():
+    img = flat(120, 400, 245)
+    boxes = strokes(img, 60, 44, 8, 24, 10)
+    img[30:90, 12:44] = (10, 10, 10)
+    line = {"text": "字" * 8, "x0": 8, "y0": 28, "x1": 290, "y1": 92, "char_boxes": boxes}
+    seen = style.look_at(img, line)
+    assert seen["ink_h_px"] == 24 and 50 < seen["cover_x0_px"] <= 60  # the icon counts neither in height nor in cover
+    arc = style.look_at(img, line | {"arc": 20.0, "char_boxes": None})
+    assert arc["look_x0"] == 102 and arc["runs"] is None
+    flat_ = style.look_at(img, {"text": "字字", "x0": 100, "y0": 30, "x1": 200, "y1": 90, "angle": 10.0, "cx": 150.0, "cy": 56.0, "w": 80.0, "h": 30.0})
+    assert flat_["bg_rgb"] == {"r": 245, "g": 245, "b": 245} and flat_["bg_segments"] is None
+    assert style.look_at(img, line | {"x0": 500, "x1": 600, "char_boxes": None}) is None
+
+
+def test_look_at_with_faces():
+    class Faces:
+        def width_em(self, text, narrow):
+            return len(text) * (0.8 if narrow else 1.0)
+
+        def draw(self, text, em, bold):
+            return drawn(text, em, bold)
+
+    img = flat(120, 400, 245)
+    strokes(img, 24, 40, 6, 40, 10, stroke=8)
+    heavy = style.look_at(img, {"text": "字" * 6, "x0": 16, "y0": 30, "x1": 300, "y1": 90}, Faces())
+    strokes(img2 := flat(120, 400, 245), 24, 40, 6, 40, 10, stroke=4)
+    light = style.look_at(img2, {"text": "字" * 6, "x0": 16, "y0": 30, "x1": 300, "y1": 90}, Faces())
+    assert heavy["em_regular"] == 6 and abs(heavy["em_narrow"] - 4.8) < 1e-9 and heavy["bold_r"] > 0.5 > light["bold_r"]
+    one = style.look_at(img, {"text": "字", "x0": 20, "y0": 36, "x1": 66, "y1": 84}, Faces())
+    assert 0 <= one["glyph_iou"] <= 1 and heavy["glyph_iou"] is None
+
+
+def test_runs_of_colours():
+    red, blue = (200, 0, 0), (0, 0, 200)
+    assert style.runs_of([red, red, blue]) == [(2, red), (1, blue)] and style.runs_of([red, blue, red]) is None
+    assert style.runs_of([None, red, None, blue, blue]) == [(3, red), (2, blue)] and style.runs_of([]) is None and style.runs_of([None]) is None
