@@ -40,6 +40,36 @@ def test_words_and_windows():
         assert len(set(got)) == len(by_words)
 
 
+def test_staging_needs_a_shared_folder():
+    class Session:
+        def __init__(self, master):
+            self.conf, self.sparkContext, self.master = self, self, master
+
+        def get(self, key, default):
+            return default
+
+        def set(self, key, value):
+            self.kept = value
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(Session(master))
+    alone = Session("local[4]")
+    assert common.shared_dir(alone) == alone.kept
+
+
+def test_windows_are_told_apart_by_both_hashes():
+    """Windows whose first hash agrees by chance are not taken for equal."""
+    texts = [[b"a%d" % k for k in range(25)], [b"b%d" % k for k in range(25)], [b"a%d" % k for k in range(25)]]
+    rolled = [common.window_hashes(common.word_hashes(t), 20) for t in texts]
+    rolled[1] = rolled[0].copy()  # as if the first hashes met
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+    assert substring_dedup._starts_earlier(rolled, texts, none, 20).tolist() == [False] * 12 + [True] * 6
+    seen = rolled[0][:2], substring_dedup._second(texts[1], 20)[:2]  # of another window than the first text's
+    assert substring_dedup._starts_earlier(rolled, texts, seen, 20).tolist() == [False] * 6 + [True] * 2 + [False] * 4 + [True] * 6
+    assert substring_dedup._starts_earlier([], [], none, 20).tolist() == []
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (7, 9), (5, 5), (9, 8), (3, 1), (20, 3)] + [(k, k + 1) for k in range(100, 140)]
     df = spark.createDataFrame(edges, "a long, b long")
@@ -108,6 +138,7 @@ def test_substring_dedup(spark):
         assert key(tuple(r) for r in substring_dedup.digest(frame(spark, rows)).collect()) == key(want)
     finally:
         substring_dedup.CHUNK_BYTES, substring_dedup.BUCKET_WINDOWS = before, windows
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("quirelake")]  # nothing stays in the catalog
     texts = substring_dedup.remove_repeats(frame(spark, rows)).where("doc_id = 206").first()
     assert texts["kept_text"] == "a b c d"
     assert substring_dedup.digest(frame(spark, rows).limit(0)).count() == 0
@@ -180,12 +211,15 @@ def test_near_duplicates_dense_group(spark):
         for _ in range(rng.randrange(1, 7)):
             w[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
         rows.append((i, " ".join(w), "en", "s", 0))
-    near_dedup.BLOCK, before = 40, near_dedup.BLOCK
-    try:
-        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows, clash=False)).collect()}
-    finally:
-        near_dedup.BLOCK = before
-    assert got == brute_components(rows)
+    want = brute_components(rows)
+    for block, shingles in ((40, 2_000_000), (1024, 4000)):  # blocks by rows, then by shingles
+        before = near_dedup.BLOCK, near_dedup.BLOCK_SHINGLES
+        near_dedup.BLOCK, near_dedup.BLOCK_SHINGLES = block, shingles
+        try:
+            got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(frame(spark, rows, clash=False)).collect()}
+        finally:
+            near_dedup.BLOCK, near_dedup.BLOCK_SHINGLES = before
+        assert got == want
 
 
 def test_set_sketch():
