@@ -59,7 +59,8 @@ def topological_levels(calls: DataFrame, stage: Stage) -> DataFrame:
     """Level of each call(conv_id, call_id, needs): 0 without needs, else one above the highest of
     them; null for calls that are in or behind a circle. Needs that no call meets don't count.
 
-    Each round settles the calls whose needs are settled, so rounds are as many as levels.
+    Each round settles the calls whose needs are settled, so rounds are as many as levels: the longest
+    chain of needs in any conversation, however many conversations and turns there are.
     """
     nodes = stage.cut(calls.select(*_KEY).where("call_id IS NOT NULL").distinct(), "nodes")
     edges = calls.select(*_KEY, F.explode("needs").alias("need")).where("call_id IS NOT NULL").distinct()

@@ -103,7 +103,7 @@ call AS (
     CASE WHEN c % 11 = 4 THEN ['unknown tool'] WHEN t % 5 NOT IN (1, 2, 3) THEN ['not in enum top'] ELSE [] END AS problems
   FROM m WHERE calling
   UNION ALL
-  SELECT c, t, 1, 'c' || t, 'count', CASE WHEN c % 7 = 3 THEN [CASE WHEN c % 5 = 2 THEN 's' ELSE 's' || t END] WHEN t > 4 THEN [CASE WHEN c % 5 = 2 THEN 's' ELSE 's' || (t - 4) END] ELSE [] END,
+  SELECT c, t, 1, 'c' || t, 'count', CASE WHEN c % 7 = 3 THEN [CASE WHEN c % 5 = 2 THEN 's' ELSE 's' || t END] WHEN t // 4 % 4 <> 0 THEN [CASE WHEN c % 5 = 2 THEN 's' ELSE 's' || (t - 4) END] ELSE [] END,
     '{"n":' || length(x) || CASE WHEN c % 3 = 1 THEN '' ELSE ',"unit":"char"' END || '}', CASE WHEN c % 3 = 1 THEN ['missing unit'] ELSE [] END
   FROM m WHERE calling),
 result AS (SELECT c, t, CASE WHEN c % 6 = 5 THEN 'lost' WHEN c % 5 = 2 THEN 's' ELSE 's' || (t - 1) END AS id, CAST(to_json(x) AS VARCHAR) AS content FROM m WHERE answering),

@@ -48,8 +48,8 @@ def with_calls(messages: DataFrame) -> DataFrame:
     """The turns of conversations, which hold no calls, told as conversations with tools.
 
     Of an assistant's turn t (t mod 4 = 1) become two calls, s<t> to search for the whole text and
-    c<t> to count its characters, s after c, and c after the s of four turns before; every seventh
-    conversation has both after each other, every fifth calls its searches s alike, every third
+    c<t> to count its characters, s after c, and c after the s of four turns before, up to four in a
+    row; every seventh conversation has both after each other, every fifth calls its searches s alike, every third
     names no unit, every eleventh calls an unknown tool. The next turn, a user's, becomes the result
     of s<t>, of every sixth conversation one that no call waits for. All other turns stay.
     """
@@ -67,7 +67,7 @@ def with_calls(messages: DataFrame) -> DataFrame:
         F.struct(
             count.alias("id"), F.lit("count").alias("name"),
             F.to_json(F.struct(F.when(~every(3, 1), "char").alias("unit"), F.length(F.coalesce("text", F.lit(""))).alias("n"))).alias("arguments"),
-            F.when(every(7, 3), F.array(search(t))).when(t > 4, F.array(search(t - 4))).otherwise(none).alias("depends_on"),
+            F.when(every(7, 3), F.array(search(t))).when(F.floor(t / 4) % 4 != 0, F.array(search(t - 4))).otherwise(none).alias("depends_on"),
         ),
     )
     calling, answering = (F.col("role") == "assistant") & (t % 4 == 1), (F.col("role") == "user") & (t % 4 == 2)
