@@ -9,6 +9,7 @@ n * n of the cheapest operations and memory for ``CELLS`` pairs; rules run on th
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field, replace
 from statistics import median
@@ -37,16 +38,23 @@ SCHEMA = (
 )
 
 
-def wide(c: str) -> bool:
-    return ord(c) >= 0x2E80
+CJK = re.compile("[\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff]")
+WIDE = re.compile("[\u2e80-\U0010ffff]")
 
 
-def is_cjk(c: str) -> bool:
-    return "㐀" <= c <= "䶿" or "一" <= c <= "鿿" or "豈" <= c <= "﫿"
+def wide(text: str) -> bool:
+    """Whether any character is of full width."""
+    return WIDE.search(text) is not None
+
+
+def is_cjk(text: str) -> bool:
+    """Whether any character is an ideograph."""
+    return CJK.search(text) is not None
 
 
 def em_width(text: str) -> float:
-    return sum(C.EM_WIDE if wide(c) else C.EM_SPACE if c == " " else C.EM_LATIN for c in text)
+    full, space = len(WIDE.findall(text)), text.count(" ")
+    return full * C.EM_WIDE + space * C.EM_SPACE + (len(text) - full - space) * C.EM_LATIN
 
 
 def snap(pt: float) -> float:
@@ -181,7 +189,7 @@ def groups_by(n: int, links) -> list[list[int]]:
 
 def illegible(r: Row) -> bool:
     bare = r.text.replace(" ", "")
-    cjk = sum(map(is_cjk, bare))
+    cjk = len(CJK.findall(bare))
     if r.font_pt <= C.TINY_PT:
         chip = cjk == len(bare) and 2 <= len(bare) <= 4 and r.score >= C.TINY_CJK_KEEP
         return not chip and r.score < C.TINY_LATIN_KEEP
@@ -191,7 +199,7 @@ def illegible(r: Row) -> bool:
 
 def weak(r: Row) -> bool:
     bare = r.text.replace(" ", "")
-    return r.font_pt <= C.TINY_PT or (r.font_pt <= 20 and len(bare) <= 2 and not any(map(is_cjk, bare)))
+    return r.font_pt <= C.TINY_PT or (r.font_pt <= 20 and len(bare) <= 2 and not is_cjk(bare))
 
 
 def near(a: dict, b: dict) -> np.ndarray:
@@ -207,7 +215,7 @@ def stacked_alike(a: dict, b: dict) -> np.ndarray:
 
 def crossing(a: Row, b: Row) -> bool:
     """Steeply turned lines without CJK text whose turned boxes meet: decoration."""
-    if any(abs(r.angle) < C.DECOR_ANGLE or r.cx is None or r.bw is None or any(map(is_cjk, r.text)) for r in (a, b)):
+    if any(abs(r.angle) < C.DECOR_ANGLE or r.cx is None or r.bw is None or is_cjk(r.text) for r in (a, b)):
         return False
     t = np.radians(a.angle)
     dx, dy = b.cx - a.cx, b.cy - a.cy
@@ -253,7 +261,7 @@ def unreproducible(rows: list[Row]) -> set[int]:
         return all(j == i or yov(r, o) <= 0.3 * max(1.0, r.h) for j, o in enumerate(rows))
 
     def axis(r: Row) -> bool:
-        return r.h > 2.5 * r.w and not r.vertical and r.flat and any(map(is_cjk, r.text))
+        return r.h > 2.5 * r.w and not r.vertical and r.flat and is_cjk(r.text)
 
     def misread(r: Row) -> bool:
         t = r.text.strip()
@@ -302,7 +310,7 @@ def merge_titles(rows: list[Row]) -> list[Row]:
             again = p.text and text and p.x0 < end and p.text[0].translate(fold) == text[-1].translate(fold)
             text += p.text[1:] if again else p.text
             end = max(end, p.x1)
-        best = max(parts, key=lambda p: (sum(map(is_cjk, p.text)), p.w))
+        best = max(parts, key=lambda p: (len(CJK.findall(p.text)), p.w))
         out.append(
             replace(
                 best, pos=parts[0].pos, text=pangu(text).strip(), x0=parts[0].x0, y0=min(p.y0 for p in parts), x1=end, y1=max(p.y1 for p in parts),
@@ -371,12 +379,12 @@ def follow_cjk(rows: list[Row]) -> None:
     """Code lines take the size of the first smaller CJK line that they are stacked with."""
     for a in rows:
         t = a.text.strip()
-        if not a.flat or any(map(wide, t)) or not ("_" in t or "`" in t):
+        if not a.flat or wide(t) or not ("_" in t or "`" in t):
             continue
         for b in rows:
             h = min(a.h, b.h)
             if (
-                b is not a and any(map(is_cjk, b.text)) and b.font_pt < a.font_pt and abs(a.x0 - b.x0) <= 0.5 * h and -yov(a, b) <= 0.6 * h
+                b is not a and is_cjk(b.text) and b.font_pt < a.font_pt and abs(a.x0 - b.x0) <= 0.5 * h and -yov(a, b) <= 0.6 * h
                 and same_fill(a, b, 25) and far(a.text_rgb, b.text_rgb) <= 45
             ):
                 a.font_pt = b.font_pt
