@@ -22,6 +22,7 @@ from ..functions import geometry as G
 from ..operators import pages as P
 from ..operators import passes, pixels, repair, style
 from ..sources import pptx, providers, sinks
+from ..sources.staging import staging
 from . import shapes
 
 _LAID = (
@@ -214,20 +215,27 @@ def statistics(pages: DataFrame, styled: DataFrame, laid: DataFrame, wipes: Data
 # ---------------------------------------------------------------- driver
 
 
-def convert_pages(pages: DataFrame, options: C.Options, given: Providers, lines: DataFrame | None = None) -> dict[str, DataFrame]:
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
+def convert_pages(pages: DataFrame, options: C.Options, given: Providers, lines: DataFrame | None = None, keep: Keep = lambda df, name: df) -> dict[str, DataFrame]:
     """All relations of a conversion by name: lines, styled, laid, shapes, decks, statistics.
 
+    ``keep`` may write a relation that later ones read several times; pixels are looked at twice, by
+    the styles and by the passes of a page.
+
     pages has page, deck_id, page_no, img_w, img_h, page_w_pt, page_h_pt, rgb and png; ``lines`` are
     recognised from it unless they are given. A deck's slides have the size of its first page.
     """
     converters = (given.to_traditional, given.to_simplified) if options.s2t else (None, None)
     if lines is None:
         lines = providers.recognise(pages, engine(given.ocr, options), options.min_score, engine(given.reader, options), *converters)
+        lines = keep(lines, "lines")
     first = pages.groupBy("deck_id").agg(F.min_by(F.struct("page_w_pt", "page_h_pt"), "page_no").alias("f"))
     pages = pages.join(first, "deck_id").withColumn("slide_h", shapes.slide_height(F.col("f.page_w_pt"), F.col("f.page_h_pt")))
-    styled = styled_lines(pages, lines, options, given.metrics)
+    styled = keep(styled_lines(pages, lines, options, given.metrics), "styled")
     kept, wipes = split_watermarks(styled, options)
-    laid = lay_out(pages, kept, options)
+    laid = keep(lay_out(pages, kept, options), "laid")
     out = slide_shapes(pages, laid, kept, wipes, options)
     order = F.row_number().over(Window.partitionBy("page").orderBy("z1", "z2", "z3"))
     sheets = pages.select("deck_id", F.col("page_no").alias("no"), "page", "slide_h", "png").join(out.withColumn("z", order), "page", "left")
@@ -237,15 +245,20 @@ def convert_pages(pages: DataFrame, options: C.Options, given: Providers, lines:
 
 
 def convert(spark: SparkSession, source: str, target: str, options: C.Options | None = None, given: Providers | None = None, page_count: int = 10_000) -> DataFrame:
-    """Convert the documents under ``source`` to presentation files under ``target``; the statistics.
+    """Convert the documents under ``source`` to presentation files under ``target``.
 
-    With ``debug`` the dumps of all decks stand beside them, in a folder of their own.
+    Returns ``statistics``, a row a page, from a table that stands beside the files. Pages are rendered, recognised and measured once:
+    each stage is a written table, which lost executors don't replay. With ``debug`` the dumps of all
+    decks stand beside them, in a folder of their own.
     """
     options, given = options or C.Options(), given or Providers()
-    pages = providers.render_pages(spark, source, given.renderer, options.dpi, selected(options.pages, page_count))
-    made = convert_pages(pages, options, given)
-    pptx.write_decks(made["decks"], target)
-    if options.debug:
-        dump = made["styled"].join(pages.select("page", "deck_id", F.col("page_no").alias("no")), "page").drop("page")
-        sinks.write_debug_json(dump.withColumn("page", F.col("no") + 1), f"{target.rstrip('/')}-debug")
-    return made["statistics"]
+    with staging(spark, target) as keep:
+        pages = keep(providers.render_pages(spark, source, given.renderer, options.dpi, selected(options.pages, page_count)), "pages")
+        made = convert_pages(pages, options, given, keep=keep)
+        pptx.write_decks(made["decks"], target)
+        if options.debug:
+            dump = made["styled"].join(pages.select("page", "deck_id", F.col("page_no").alias("no")), "page").drop("page")
+            sinks.write_debug_json(dump.withColumn("page", F.col("no") + 1), f"{target.rstrip('/')}-debug")
+        counts = f"{target.rstrip('/')}-statistics"
+        made["statistics"].write.mode("overwrite").parquet(counts)
+    return spark.read.parquet(counts)

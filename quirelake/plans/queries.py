@@ -161,11 +161,9 @@ def _words(lines: DataFrame, *more: str) -> DataFrame:
 @query
 def vocab_match(spark, sf_dir):
     """Short words of uncertain lines, corrected by the short words of confident ones."""
-    words = _words(read_lines(spark, sf_dir))
-    known = words.where("score >= 0.8").groupBy("page", F.col("w").alias("token")).agg(F.count(F.lit(1)).alias("cnt"))
-    unsure = words.where("score < 0.8").select("page", F.col("w").alias("cand")).distinct()
-    unsure = unsure.join(known.select("page", F.col("token").alias("cand")), ["page", "cand"], "left_anti")
-    return vocab.vocab_match(unsure, known)
+    by = _words(read_lines(spark, sf_dir)).groupBy("page", "w").agg(F.count_if(F.col("score") >= 0.8).alias("cnt"), F.max(F.col("score") < 0.8).alias("doubt"))
+    unsure = by.where("doubt AND cnt = 0").select("page", F.col("w").alias("cand"))
+    return vocab.vocab_match(unsure, by.where("cnt > 0").select("page", F.col("w").alias("token"), "cnt"))
 
 
 @query
